@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from civicspark.llm.decontaminate import with_tilings
+from civicspark.llm.licenses import NOTICES, license_scan
+from civicspark.llm.line_dedup import line_dedup
 from civicspark.llm.ngram_join import ngram_jaccard_join
+from civicspark.llm.quality import CUT_SCORE, fit_quality, score_quality
+from civicspark.llm.substring_dedup import substring_dedup
+from civicspark.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,10 +32,10 @@ QUERIES["op1_ngram_jaccard_join"] = op1_ngram_jaccard_join
 ORACLE_SQL["op1_ngram_jaccard_join"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
 ), s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i+4], ' ')) END) AS shingles FROM w
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' ')) END) AS shingles FROM w
 ), n AS (SELECT doc_id, len(shingles) AS n FROM s),
 x AS (SELECT doc_id, unnest(shingles) AS g FROM s),
 pairs AS (
@@ -41,3 +48,129 @@ pairs AS (
 )
 SELECT n.doc_id, n.n AS n_shingles, min(r.other) AS component_id FROM n JOIN reach r USING (doc_id) GROUP BY ALL
 """
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of 13-word windows that start in a smaller document."""
+    found = substring_dedup(_table(spark, sf_dir, "documents"), width=13, block=7)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES["op2_substring_dedup"] = op2_substring_dedup
+ORACLE_SQL["op2_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(words[i:i+12], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)
+), low AS (SELECT g, min(doc_id) AS least FROM win GROUP BY g),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM win JOIN low USING (g) WHERE least < doc_id
+), dropped AS (SELECT doc_id, list(i) AS places FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+    CASE WHEN places IS NULL THEN words
+      ELSE list_filter(words, lambda x, k: NOT list_contains(places, k)) END AS rest
+  FROM w LEFT JOIN dropped USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(rest, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines of 40 or more code points that five or more documents hold."""
+    found = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=40, least_docs=5)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES["op6_line_dedup"] = op6_line_dedup
+ORACLE_SQL["op6_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+), k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), shared AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (SELECT k.*, s.keeper IS NOT NULL AND s.keeper <> k.doc_id AS gone FROM k LEFT JOIN shared s USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def held_out(id_col: str = "doc_id"):
+    """Whether a document is never learned from."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels").where(~held_out()))
+    found = score_quality(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT_SCORE).cast("int").alias("predicted"))
+
+
+QUERIES["op7_quality_classifier"] = op7_quality_classifier
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half the words of a benchmark item in tiles of five or more words."""
+    rows = with_tilings(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), seed=5, least_coverage=0.5)
+    found = rows.select("doc_id", F.explode("tilings").alias("t"))
+    return found.select("doc_id", "t.item_id", "t.item_words", "t.covered", F.size("t.tiles").alias("n_tiles"))
+
+
+QUERIES["op3_benchmark_decontamination"] = op3_benchmark_decontamination
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to deduplicated archives and read back, with their record types."""
+    found = archive_round_trip(_table(spark, sf_dir, "pages"), least_bytes=1000)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+
+
+QUERIES["op4_warc_revisits"] = op4_warc_revisits
+ORACLE_SQL["op4_warc_revisits"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), t AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS target FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN target = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN target <> page_id THEN target END AS refers_to
+FROM t
+"""
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents whose word bigrams have a Dice coefficient of 0.8 or more with a license notice."""
+    found = license_scan(_table(spark, sf_dir, "documents"), least_dice=0.8)
+    return found.select("doc_id", "line_no", "license_id", "dice")
+
+
+QUERIES["op8_license_scan"] = op8_license_scan
+_TEMPLATES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in NOTICES)
+ORACLE_SQL["op8_license_scan"] = r"""
+WITH lines AS (
+  SELECT doc_id, NULL AS license_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
+), templates AS (SELECT license_id, text AS line FROM (VALUES """ + _TEMPLATES + r""") t(license_id, text)),
+every AS (
+  SELECT doc_id, license_id, line_no, line FROM lines UNION ALL SELECT NULL, license_id, NULL, line FROM templates
+), words AS (
+  SELECT *, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ -/:-@[-^`{-]+'), lambda x: x <> '') AS w FROM every
+), grams AS (
+  SELECT doc_id, license_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) AS g
+  FROM words WHERE len(w) >= 2
+), scored AS (
+  SELECT a.doc_id, a.line_no, b.license_id, 2.0 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) AS dice
+  FROM grams a JOIN grams b ON a.doc_id IS NOT NULL AND b.license_id IS NOT NULL
+    AND len(a.g) * 1.2 >= 0.8 * len(b.g) AND len(a.g) * 0.8 <= 1.2 * len(b.g)
+)
+SELECT doc_id, line_no, license_id, dice::DOUBLE AS dice FROM scored WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license_id) = 1
+"""

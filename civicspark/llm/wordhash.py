@@ -151,3 +151,24 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[keep], doc[keep]
     return h, np.searchsorted(doc, np.arange(docs + 1)).astype(np.int64)
+
+
+def join_words(words: Words, kept: np.ndarray) -> pa.Array:
+    """The kept words of every document, joined by one space."""
+    start, size = words.start[kept], (words.end - words.start)[kept]
+    per_doc = np.concatenate([np.zeros(1, np.int64), np.cumsum(kept)])[words.first]
+    stops = np.concatenate([np.zeros(1, np.int64), np.cumsum(size + 1)])
+    total = int(stops[-1])
+    at = np.arange(total) - np.repeat(stops[:-1] - start, size + 1)
+    space = np.zeros(total, bool)
+    space[stops[1:] - 1] = True
+    at[space] = 0
+    out = words.data[at] if len(words.data) else np.zeros(0, np.uint8)
+    out[space] = 32
+    # the space after each document's last word goes
+    filled = np.diff(per_doc) > 0
+    drop = stops[per_doc[1:]][filled] - 1
+    mask = np.ones(total, bool)
+    mask[drop] = False
+    offsets = stops[per_doc] - np.concatenate([np.zeros(1, np.int64), np.cumsum(filled)])
+    return pa.Array.from_buffers(pa.large_string(), len(per_doc) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out[mask])])
