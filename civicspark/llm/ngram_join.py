@@ -7,7 +7,9 @@ least overlap ``t = ceil(threshold * n)`` is its first ``n - t + k`` shingles;
 two sets that link share ``k`` shingles of their ``k``-prefixes, for every k.
 Each document takes the k of least estimated cost (matches read plus documents
 that reach k matches, which Markov's inequality bounds), and a pair must share
-as many prefix shingles as the smaller k of the two before it is verified.
+as many prefix shingles as the smaller k of the two before it is verified.  What
+lies behind a prefix of ``p`` shingles adds ``n - p`` at most to the overlap, so a
+pair must also share what its least overlap exceeds that by.
 """
 
 from __future__ import annotations
@@ -16,26 +18,30 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from civicspark.llm import wordhash as wh
 from civicspark.llm.common import (
-    bounded, connected_components, grouped_rows, keep, partition_blobs, parts_for, unpack, with_schema,
+    bounded, connected_components, grouped_rows, input_bytes, keep, partition_blobs, parts_for, unpack, with_schema,
 )
 
 #: Largest k of a k-prefix.
 MAX_MATCHES = 4
 #: Cost of a verification in units of one read posting.
 VERIFY_COST = 16.0
-#: Counters of the frequency sketch; its size is fixed, whatever the corpus.
-SKETCH_BITS = 20
+#: Counters of the frequency sketch: about one for SKETCH_LOAD words, within these bounds.
+LEAST_SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_LOAD = 18, 23, 32
 #: Postings longer than this go through pivots instead of all pairs.
 LONG_POSTING = 48
+#: Turns of linking sets of long postings to pivots, and pivots of a set in each.
+PIVOT_TURNS, PIVOTS = 5, 3
 #: Partners of one hub that a task verifies.
 HUB_ROWS = 512
 
-_ROW = [np.uint64, np.uint64, np.uint32, np.uint8]  # shingle, set id, set size, matches * 16 + layer
+_ROW = [np.uint64, np.uint64, np.uint32, np.uint8]  # shingle, set id, set size, k
 
 
 def _set_ids(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -59,50 +65,56 @@ def _least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def shingle_profile(docs: DataFrame, text: str, id_col: str, width: int) -> tuple[DataFrame, np.ndarray]:
-    """Set size and set id of every document, and the frequency sketch of all shingles."""
+    """Set size and set id of every document, and the frequency sketch of all shingles.
+
+    The sketch counts shingles by their leading bits, up to 65,535.
+    """
     slices = 64
+    expected = max(1, input_bytes(docs) // 4 // SKETCH_LOAD)
+    bits = max(LEAST_SKETCH_BITS, min(MOST_SKETCH_BITS, math.ceil(math.log2(expected))))
 
     def scan(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
         for part, h, off in _sets(batches, text, width):
-            counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+            np.add.at(counts, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
             n = part.num_rows
             yield {
                 "id": part.column(part.schema.get_field_index(id_col)), "n": np.diff(off),
                 "set_id": _set_ids(h, off).view(np.int64), "slice": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary()),
             }
         if counts.any():
-            blobs = [x.astype(np.uint32).tobytes() for x in np.split(counts, slices)]
-            yield {"id": pa.nulls(slices, pa.int64()), "n": pa.nulls(slices, pa.int64()), "set_id": pa.nulls(slices, pa.int64()), "slice": range(slices), "counts": blobs}
+            none, press = pa.nulls(slices, pa.int64()), zstandard.ZstdCompressor(level=1)
+            blobs = [press.compress(np.minimum(x, 65535).astype(np.uint16).tobytes()) for x in np.split(counts, slices)]
+            yield {"id": none, "n": none, "set_id": none, "slice": range(slices), "counts": blobs}
 
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
     base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias(text))
     scanned = keep(base.mapInArrow(with_schema(scan, schema), "id long, n long, set_id long, slice int, counts binary"), "profile")
 
     def add(batches):
+        unpress = zstandard.ZstdDecompressor()
         for (which,), held in grouped_rows(batches, ["slice"]):
-            total = np.zeros((1 << SKETCH_BITS) // slices, np.uint64)
+            total = np.zeros((1 << bits) // slices, np.uint32)
             for batch in held:
                 for blob in batch.column(1).to_pylist():
-                    total += np.frombuffer(blob, np.uint32)
-            yield {"slice": [which], "counts": [total.tobytes()]}
+                    total += np.frombuffer(unpress.decompress(blob), np.uint16)
+            yield {"slice": [which], "counts": [np.minimum(total, 65535).astype(np.uint16).tobytes()]}
 
     summed = (
         scanned.where("slice is not null").select("slice", "counts").repartition(slices, "slice").sortWithinPartitions("slice")
         .mapInArrow(with_schema(add, pa.schema([("slice", pa.int32()), ("counts", pa.binary())])), "slice int, counts binary")
         .collect()
-    )  # 2 ** SKETCH_BITS counters, whatever the input
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint64)
+    )  # at most 2 ** MOST_SKETCH_BITS counters
+    sketch = np.zeros((slices, (1 << bits) // slices), np.uint16)
     for row in summed:
-        size = len(sketch) // slices
-        sketch[row.slice * size : (row.slice + 1) * size] = np.frombuffer(row.counts, np.uint64)
-    return scanned.where("slice is null").select("id", "n", "set_id"), sketch
+        sketch[row.slice] = np.frombuffer(row.counts, np.uint16)
+    return scanned.where("slice is null").select("id", "n", "set_id"), sketch.ravel()
 
 
-def _prefixes(h, off, set_id, sketch, num, den):
-    """Prefix rows of the sets: shingle, set index, k, layer of the shingle."""
+def _prefixes(h, off, sketch, num, den):
+    """Prefix rows of the sets: shingle, set index, k."""
     n = np.diff(off)
-    seen = sketch[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    seen = sketch[(h >> np.uint64(65 - len(sketch).bit_length())).astype(np.int64)]
     doc = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((h, seen, doc))
     h, seen = h[order], seen[order]
@@ -119,12 +131,27 @@ def _prefixes(h, off, set_id, sketch, num, den):
         better = cost < best
         best[better], matches[better] = cost[better], k
     used = place < (base + matches)[doc]
-    layer = np.maximum(1, place - base[doc] + 1)
-    return h[used], doc[used], matches[doc][used], layer[used]
+    return h[used], doc[used], matches[doc][used]
+
+
+def _needed(na, nb, ka, kb, num, den):
+    """Shared prefix shingles that a pair needs at least, and whether its sizes let it link."""
+    overlap = -(-num * (na + nb) // (num + den))
+    behind = np.maximum(np.maximum(0, _least_overlap(na, num, den) - ka), np.maximum(0, _least_overlap(nb, num, den) - kb))
+    fits = np.minimum(na, nb) * den >= num * np.maximum(na, nb)
+    return np.maximum(np.minimum(ka, kb), overlap - behind), fits
+
+
+def _summed(a, b, need):
+    """Pairs once each, with their number of rows."""
+    order = np.lexsort((b, a))
+    a, b, need = a[order], b[order], need[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    return a[first], b[first], need[first], np.diff(np.r_[first, len(a)])
 
 
-def _pairs(token, doc, n, code, num, den):
-    """(small, large, bound on k, valid matches) of short postings, and rows of long ones.
+def _pairs(token, doc, n, k, num, den):
+    """(smaller, larger, needed, shared) of short postings, and which rows are of long ones.
 
     The rows come sorted by shingle and set id, without repeats.
     """
@@ -135,18 +162,9 @@ def _pairs(token, doc, n, code, num, den):
         at = starts[count == c]
         i, j = np.triu_indices(c, 1)
         a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-        na, nb = n[a].astype(np.int64), n[b].astype(np.int64)
-        k = np.minimum(code[a] >> 4, code[b] >> 4)
-        ok = (np.maximum(code[a] & 15, code[b] & 15) <= k) & (np.minimum(na, nb) * den >= num * np.maximum(na, nb))
-        out.append((doc[a][ok], doc[b][ok], k[ok]))
-    long = np.repeat(count > LONG_POSTING, count)
-    if not out:
-        return None, long
-    a, b, k = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((b, a))
-    a, b, k = a[order], b[order], k[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-    return (a[first], b[first], k[first], np.diff(np.r_[first, len(a)])), long
+        need, fits = _needed(n[a], n[b], k[a], k[b], num, den)
+        out.append((doc[a][fits], doc[b][fits], need[fits]))
+    return _summed(*(np.concatenate(x) for x in zip(*out))) if out else None, np.repeat(count > LONG_POSTING, count)
 
 
 def candidate_rows(docs: DataFrame, text: str, id_col: str, width: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
@@ -156,7 +174,7 @@ def candidate_rows(docs: DataFrame, text: str, id_col: str, width: int, num: int
     that many documents share costs one row a task.
     """
     parts = 4 * parts_for(docs, 4_000_000)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.uint32))  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of bounded size
 
     def send(batches):
         counts, sent = shared.value, np.zeros(0, np.uint64)
@@ -170,33 +188,32 @@ def candidate_rows(docs: DataFrame, text: str, id_col: str, width: int, num: int
             h = h[np.repeat(fresh, np.diff(off))]
             n, ids = np.diff(off)[fresh], ids[fresh]
             off = np.r_[0, np.cumsum(n)]
-            token, doc, k, layer = _prefixes(h, off, ids, counts, num, den)
+            token, doc, k = _prefixes(h, off, counts, num, den)
             where = (token % np.uint64(parts)).astype(np.int64)
-            blobs = list(partition_blobs(where, [token, ids[doc], n[doc].astype(np.uint32), (k * 16 + layer).astype(np.uint8)]))
+            blobs = list(partition_blobs(where, [token, ids[doc], n[doc].astype(np.uint32), k.astype(np.uint8)]))
             if blobs:
                 yield {"part": [p for p, _ in blobs], "rows": [x for _, x in blobs]}
 
     def meet(batches):
         for (_,), held in grouped_rows(batches, ["part"]):
             columns = [unpack(x, _ROW) for batch in held for x in batch.column(1).to_pylist()]
-            token, doc, n, code = (np.concatenate(x) for x in zip(*columns))
+            token, doc, n, k = (np.concatenate(x) for x in zip(*columns))
             order = np.lexsort((doc, token))
             token, doc = token[order], doc[order]
             fresh = np.r_[True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])]
             token, doc, order = token[fresh], doc[fresh], order[fresh]
-            n, code = n[order], code[order]
-            pairs, long = _pairs(token, doc, n, code, num, den)
+            n, k, doc = n[order].astype(np.int64), k[order].astype(np.int64), doc.view(np.int64)
+            pairs, long = _pairs(token, doc, n, k, num, den)
             if pairs is not None:
-                a, b, k, matches = pairs
-                none = pa.nulls(len(a), pa.int64())
-                yield {"a": a.view(np.int64), "b": b.view(np.int64), "k": k, "matches": matches, "shingle": none, "n": none}
+                none = pa.nulls(len(pairs[0]), pa.int64())
+                yield dict(zip(["a", "b", "need", "shared"], pairs)) | {"shingle": none, "n": none, "k": none}
             if long.any():
                 none = pa.nulls(int(long.sum()), pa.int64())
-                yield {"a": doc[long].view(np.int64), "b": none, "k": none, "matches": none, "shingle": token[long].view(np.int64), "n": n[long]}
+                yield {"a": doc[long], "b": none, "need": none, "shared": none, "shingle": token[long].view(np.int64), "n": n[long], "k": k[long]}
 
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(text).cast("string").alias(text))
     sent = base.mapInArrow(with_schema(send, pa.schema([("part", pa.int32()), ("rows", pa.binary())])), "part int, rows binary")
-    names = ["a", "b", "k", "matches", "shingle", "n"]
+    names = ["a", "b", "need", "shared", "shingle", "n", "k"]
     return (
         sent.repartition(max(1, parts // 4), "part").sortWithinPartitions("part")
         .mapInArrow(with_schema(meet, pa.schema([(x, pa.int64()) for x in names])), ", ".join(f"{x} long" for x in names))
@@ -252,11 +269,59 @@ def verify(pairs: DataFrame, docs: DataFrame, owner: DataFrame, text: str, id_co
     )
 
 
-def _across(rows: DataFrame, component: DataFrame) -> DataFrame:
-    """Rows of long postings with their set's component, of shingles in more than one."""
-    rows = rows.join(component.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
+    held = bounded(component)
+    for end in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("id").alias(end), F.col("component").alias(f"component_{end}")), end, "left")
+    return pairs.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).drop("component_a", "component_b")
+
+
+def _long_pairs(rows: DataFrame, component: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs across components of long postings, with the prefix shingles they need and share there."""
+    rows = rows.join(bounded(component.withColumnRenamed("id", "a")), "a", "left").withColumn("component", F.coalesce("component", "a"))
     open_ones = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return rows.join(open_ones.select("shingle", "low"), "shingle")
+    rows = rows.join(bounded(open_ones.select("shingle")), "shingle")
+
+    def meet(batches):
+        for _, held in grouped_rows(batches, ["shingle"]):
+            table = pa.Table.from_batches(held)
+            doc, n, k, c = (table.column(x).to_numpy() for x in ("a", "n", "k", "component"))
+            order = np.argsort(n, kind="stable")
+            doc, n, k, c = doc[order], n[order], k[order], c[order]
+            for low in range(0, len(doc), 256):
+                # only sizes within the threshold of this block's
+                stop = int(np.searchsorted(n * num, n[min(low + 255, len(n) - 1)] * den, "right"))
+                i, j = np.meshgrid(np.arange(low, min(low + 256, len(doc))), np.arange(low, stop), indexing="ij")
+                apart = (i < j) & (c[i] != c[j])
+                i, j = i[apart], j[apart]
+                need, fits = _needed(n[i], n[j], k[i], k[j], num, den)
+                i, j, need = i[fits], j[fits], need[fits]
+                if len(i):
+                    yield {"a": np.minimum(doc[i], doc[j]), "b": np.maximum(doc[i], doc[j]), "need": need, "shared": np.ones(len(i), np.int64)}
+
+    names = ["a", "b", "need", "shared"]
+    return rows.select("shingle", "a", "n", "k", "component").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(
+        with_schema(meet, pa.schema([(x, pa.int64()) for x in names])), ", ".join(f"{x} long" for x in names)
+    )
+
+
+def _star(rows: DataFrame, component: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Pairs of sets with pivots: in every long posting, one set of the component that has most of it.
+
+    Which one changes with the turn.  A set gets at most PIVOTS pivots, those it
+    shares most postings with, so the pairs are as many as the sets.
+    """
+    rows = rows.join(bounded(component.withColumnRenamed("id", "a")), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    head = F.max(F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("pivot"), F.col("n").alias("pivot_n"))).alias("head")
+    of_component = rows.groupBy("shingle", "component").agg(F.count("*").alias("rows"), head)
+    top = of_component.groupBy("shingle").agg(
+        F.max(F.struct("rows", F.xxhash64("component", F.lit(turn)).alias("h"), F.col("component").alias("main"), "head")).alias("top"), F.count("*").alias("components")
+    ).where("components > 1").select("shingle", "top.main", "top.head.pivot", "top.head.pivot_n")
+    near = F.least("n", "pivot_n") * den >= F.lit(num) * F.greatest("n", "pivot_n")
+    shared = rows.join(bounded(top), "shingle").where(near & (F.col("component") != F.col("main"))).groupBy("a", "pivot").count()
+    order = Window.partitionBy("a").orderBy(F.desc("count"), "pivot")
+    return shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select("a", F.col("pivot").alias("b"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -276,40 +341,43 @@ def ngram_jaccard_join(
     form one class before anything is paired.  Rows of a null id get a null
     component and link nothing.  Other columns of ``docs`` are not read.
 
-    Postings of up to LONG_POSTING sets give all their pairs.  Longer ones first
-    link their sets to one pivot; only pairs that then still lie in different
-    components are verified one by one, so a large group of near copies costs
-    rows in proportion to its size, and no link across components is lost.
+    Candidates are verified in waves.  The first takes each set's partner of most
+    shared shingles and, in postings of more than LONG_POSTING sets, pivots as
+    everyone's partners; a few more turns take other pivots for what they left
+    apart.  The last wave takes every pair whose ends then still lie in
+    different components.  So a large group of near copies costs rows in
+    proportion to its size, and no link between components is lost.
     """
     g = math.gcd(*threshold)
     num, den = threshold[0] // g, threshold[1] // g
     profile, sketch = shingle_profile(docs, text, id_col, width)
     owner = keep(profile.where("n > 0 and id is not null").groupBy("set_id", "n").agg(F.min("id").alias("id")), "owner")
     found = keep(candidate_rows(docs, text, id_col, width, num, den, sketch), "candidates")
-    short = found.where("shingle is null").groupBy("a", "b").agg(F.min("k").alias("k"), F.sum("matches").alias("matches"))
-    short = short.where("matches >= k").select("a", "b")
-    long_rows = found.where("shingle is not null").select("a", "shingle", "n")
-    near = (F.least("n", "pivot_n") * den >= F.lit(num) * F.greatest("n", "pivot_n"))
-    pivot = long_rows.groupBy("shingle").agg(F.min(F.struct(F.col("n").alias("pivot_n"), F.col("a").alias("pivot"))).alias("p")).select("shingle", "p.*")
-    star = long_rows.join(bounded(pivot), "shingle").where(near).select("a", F.col("pivot").alias("b"))
+    counted = found.where("shingle is null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
+    short = keep(counted, "short")
+    strong = short.where("shared >= need")
+    long_rows = found.where("shingle is not null").select("a", "shingle", "n", "k")
     args = (docs, owner, text, id_col, width, num, den)
-    links = keep(verify(_ordered(short.union(star)), *args), "links")
+    ends = strong.select("a", "b", "shared").union(strong.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    wave = ends.groupBy("a").agg(F.max(F.struct("shared", F.col("b").alias("b"))).alias("best")).select("a", "best.b")
     has_long = long_rows.limit(1).count() > 0
-    component = connected_components(links)
-    if has_long:
-        component = keep(component, "component")
-        # one more star, between the components that a shingle still holds, then whatever is left, pair by pair
-        heads = _across(long_rows, component).groupBy("shingle", "low", "component").agg(F.min(F.struct("n", "a")).alias("head"))
-        low = heads.where("component = low").select("shingle", F.col("head.n").alias("pivot_n"), F.col("head.a").alias("pivot"))
-        again = heads.where("component <> low").select("shingle", "head.*").join(low, "shingle").where(near)
-        more = keep(verify(_ordered(again.select("a", F.col("pivot").alias("b"))), *args), "links")
-        links = links.union(more)
+    component = owner.select(F.col("set_id").alias("id"), F.col("set_id").alias("component"))
+    links = None
+    for turn in range(PIVOT_TURNS if has_long else 1):
+        if has_long:
+            star = _star(long_rows, component, turn, num, den)
+            wave = star if links is not None else wave.union(star)
+        new = keep(verify(_ordered(wave), *args), "links")
+        if links is not None and not new.limit(1).count():
+            break
+        links = new if links is None else links.union(new)
         component = keep(connected_components(links), "component")
-        rest = keep(_across(long_rows, component).select("shingle", "a", "n", "component"), "rest")
-        other = rest.select("shingle", F.col("a").alias("b"), F.col("n").alias("pivot_n"), F.col("component").alias("other"))
-        left = rest.join(other, "shingle").where(F.col("component") < F.col("other")).where(near).select("a", "b")
-        links = links.union(keep(verify(_ordered(left), *args), "links"))
-        component = connected_components(links)
+    rest = _apart(short, component)
+    if has_long:
+        rest = rest.unionByName(_long_pairs(long_rows, component, num, den))
+        rest = rest.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
+    links = links.union(keep(verify(rest.where("shared >= need").select("a", "b"), *args), "links"))
+    component = connected_components(links)
     # components of set ids; the smallest document of each
     classes = owner.join(component.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = classes.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -162,7 +162,7 @@ every AS (
   SELECT doc_id, license_id, line_no, line FROM lines UNION ALL SELECT NULL, license_id, NULL, line FROM templates
 ), words AS (
   SELECT *, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[ -/:-@[-^`{-]+'), lambda x: x <> '') AS w FROM every
+    '[\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM every
 ), grams AS (
   SELECT doc_id, license_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) AS g
   FROM words WHERE len(w) >= 2
