@@ -53,11 +53,8 @@ def parts_for(df: DataFrame, bytes_each: int = 8_000_000) -> int:
     return max(least, min(100_000, input_bytes(df) // bytes_each + 1))
 
 
-def grouped_rows(
-    batches: Iterator[pa.RecordBatch], keys: list[str]
-) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
-    """Runs of equal keys in a partition sorted by them; one run is held at a time."""
-    now, held = None, []
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Slices of equal keys, in the order of the batches; a key's rows may come in several slices."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -68,12 +65,18 @@ def grouped_rows(
             change[1:] |= c[1:] != c[:-1]
         starts = np.flatnonzero(change)
         for a, b in zip(starts, [*starts[1:], batch.num_rows]):
-            key = tuple(c[a].item() if hasattr(c[a], "item") else c[a] for c in columns)
-            if key != now:
-                if held:
-                    yield now, held
-                now, held = key, []
-            held.append(batch.slice(a, b - a))
+            yield tuple(c[a].item() for c in columns), batch.slice(a, b - a)
+
+
+def grouped_rows(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """All slices of each key of a partition sorted by the keys; one key is held at a time."""
+    now, held = None, []
+    for key, part in runs(batches, keys):
+        if key != now:
+            if held:
+                yield now, held
+            now, held = key, []
+        held.append(part)
     if held:
         yield now, held
 

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.llm.decontaminate import with_tilings
+from civicspark.llm.html_extract import extract_main_text
+from civicspark.llm.inverted_multi_index import nearest
 from civicspark.llm.licenses import NOTICES, license_scan
 from civicspark.llm.line_dedup import line_dedup
+from civicspark.llm.mixing import Mixture, mix_to_targets
 from civicspark.llm.ngram_join import ngram_jaccard_join
 from civicspark.llm.quality import CUT_SCORE, fit_quality, score_quality
 from civicspark.llm.substring_dedup import substring_dedup
@@ -174,3 +177,44 @@ every AS (
 SELECT doc_id, line_no, license_id, dice::DOUBLE AS dice FROM scored WHERE dice >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license_id) = 1
 """
+
+
+#: Target shares of the tokens by language.
+LANGUAGE_TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def language_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Mixture:
+    """Rates that bring the expected tokens of the languages to their targets.
+
+    The labelled table is the languages of the documents that ``labels`` covers.
+    """
+    covered = _table(spark, sf_dir, "labels").select("doc_id").distinct()
+    labelled = _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain")).join(covered, "doc_id", "left_semi")
+    return mix_to_targets(docs, labelled, LANGUAGE_TARGETS)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language posteriors and sampling rate of every document."""
+    mixture = language_mixture(spark, _table(spark, sf_dir, "documents"), sf_dir)
+    names = [F.round(F.col("posterior")[k], 9).alias(f"p_{d}") for k, d in enumerate(mixture.model.domains)]
+    return mixture.table().select("doc_id", "n_tokens", *names, "rate")
+
+
+QUERIES["op5_mixing"] = op5_mixing
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+QUERIES["op9_html_extraction"] = op9_html_extraction
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of largest inner product found for every 20th vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+QUERIES["op10_nearest_neighbours"] = op10_nearest_neighbours
