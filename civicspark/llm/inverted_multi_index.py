@@ -24,7 +24,7 @@ from civicspark.llm.common import keep, runs, with_schema
 #: Rows that the codebooks are fitted on, at most, and centroids of each half.
 SAMPLE_ROWS, CENTROIDS = 20_000, 64
 #: Share of all rows that a query's cells hold at least.
-SHARE = 0.5
+SHARE = 0.6
 #: Rows of a block of a cell, and of a group of blocks, about.
 BLOCK_ROWS, GROUP_ROWS = 4_000, 16_000
 _QUERIES = 256
