@@ -2,9 +2,41 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from civicspark.plans.projection import Tables, with_prefix
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of :class:`Tables` under ``name``, with equal SQL where there is any."""
+
+    def register(function: Callable[[Tables], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return function(Tables(spark, sf_dir))
+
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        run.__name__, run.__doc__ = name, function.__doc__
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE_SQL[name] = with_prefix(sql)
+        return function
+
+    return register
+
+
+def load() -> None:
+    """Import the query modules, which register themselves."""
+    from civicspark.plans import suites
+
+    for module in pkgutil.iter_modules(suites.__path__):
+        importlib.import_module(f"civicspark.plans.suites.{module.name}")
+
+
