@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from civicspark.llm import wordhash as wh
 from civicspark.llm.common import (
-    bounded, connected_components, grouped_rows, input_bytes, keep, partition_blobs, parts_for, unpack, with_schema,
+    bounded, connected_components, grouped_rows, input_bytes, keep, partition_blobs, parts_for, runs, unpack, with_schema,
 )
 
 #: Largest k of a k-prefix.
@@ -37,9 +37,13 @@ LEAST_SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_LOAD = 18, 23, 32
 #: Postings longer than this go through pivots instead of all pairs.
 LONG_POSTING = 48
 #: Turns of linking sets of long postings to pivots, and pivots of a set in each.
-PIVOT_TURNS, PIVOTS = 5, 3
-#: Partners of one hub that a task verifies.
-HUB_ROWS = 512
+PIVOT_TURNS, PIVOTS = 2, 3
+#: Hubs of a block, and partners of a block that a task verifies.
+BLOCK_HUBS, BLOCK_ROWS = 48, 1_000
+#: Turns of verifying each set's best partner of what is still apart.
+BEST_TURNS = 2
+#: Distinct pairs that a task gathers before it passes them on.
+PAIR_ROWS = 1_000_000
 
 _ROW = [np.uint64, np.uint64, np.uint32, np.uint8]  # shingle, set id, set size, k
 
@@ -220,19 +224,37 @@ def candidate_rows(docs: DataFrame, text: str, id_col: str, width: int, num: int
     )
 
 
-def verify(pairs: DataFrame, docs: DataFrame, owner: DataFrame, text: str, id_col: str, width: int, num: int, den: int) -> DataFrame:
+def verify(
+    pairs: DataFrame, docs: DataFrame, owner: DataFrame, text: str, id_col: str, width: int, num: int, den: int, component: DataFrame | None = None
+) -> DataFrame:
     """Those of the pairs ``a``, ``b`` of set ids that link.
 
-    A pair is checked where the set of its hub is: the hub's shingles are sent
-    once for each HUB_ROWS partners, the partners' once for each pair.
+    One end of a pair is its hub, the end of the larger component if components
+    are given.  Hubs of one component form blocks; a block holds its hubs' sets
+    while partners' sets stream by, each sent once to a block, and is dealt over
+    several tasks if it has many partners.
     owner: ``set_id`` and ``id`` of one document that has the set.
     """
-    busy = pairs.select(F.col("a").alias("hub")).groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).alias("slots"))
-    dealt = pairs.withColumnRenamed("a", "hub").join(busy, "hub").withColumn("slot", F.pmod(F.xxhash64("b"), F.col("slots")))
-    asked = dealt.select("hub", "slot", F.col("b").alias("set_id")).union(
-        busy.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), F.col("hub").alias("set_id"))
+    if component is None:
+        dealt = pairs.select(F.col("a").alias("hub"), "b", F.col("a").alias("block"))
+    else:
+        sizes = component.groupBy("component").agg(F.count("*").alias("size"))
+        held = bounded(component.join(sizes, "component"))
+        for end in ("a", "b"):
+            pairs = pairs.join(held.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"), F.col("size").alias(f"s_{end}")), end, "left")
+        turn = F.coalesce("s_b", F.lit(1)) > F.coalesce("s_a", F.lit(1))
+        hub, home = F.when(turn, F.col("b")).otherwise(F.col("a")), F.when(turn, F.col("c_b")).otherwise(F.col("c_a"))
+        size = F.when(turn, F.col("s_b")).otherwise(F.coalesce("s_a", F.lit(1)))
+        slice_of = F.pmod(F.xxhash64(hub), F.ceil(size / BLOCK_HUBS))
+        dealt = pairs.select(hub.alias("hub"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.xxhash64(F.coalesce(home, hub), slice_of).alias("block"))
+    dealt = keep(dealt.groupBy("block", "b").agg(F.collect_set("hub").alias("hubs")), "dealt")
+    busy = dealt.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("slots"))
+    partners = dealt.join(busy, "block").select("block", F.pmod(F.xxhash64("b"), F.col("slots")).alias("slot"), F.col("b").alias("set_id"), "hubs")
+    hubs = dealt.select("block", F.explode("hubs").alias("set_id")).distinct().join(busy, "block").select(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), "set_id", F.lit(None).cast("array<long>").alias("hubs")
     )
-    wanted = owner.join(asked.select("set_id").distinct(), "set_id", "left_semi").select("set_id", F.col("id").alias("doc"))
+    asked = hubs.union(partners)
+    wanted = owner.join(dealt.select(F.explode("hubs").alias("set_id")).union(dealt.select("b")).distinct(), "set_id", "left_semi").select("set_id", F.col("id").alias("doc"))
     wanted = bounded(keep(wanted, "wanted"))
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("string").alias(text))
 
@@ -246,25 +268,27 @@ def verify(pairs: DataFrame, docs: DataFrame, owner: DataFrame, text: str, id_co
     ).dropDuplicates(["set_id"])
 
     def meet(batches):
-        now, hub = None, None
-        for batch in batches:
-            rows, found = batch.to_pydict(), []
-            for key, slot, other, blob in zip(rows["hub"], rows["slot"], rows["set_id"], rows["shingles"]):
+        now, held = None, {}
+        for key, part in runs(batches, ["block", "slot"]):
+            if key != now:
+                now, held = key, {}
+            found = []
+            for other, mine, blob in zip(*(part.column(k).to_pylist() for k in (2, 3, 4))):
                 one = np.frombuffer(blob, np.uint64)
-                if (key, slot) != now:
-                    if other != key:
-                        raise ValueError("the hub's own shingles must come first")
-                    now, hub = (key, slot), one
+                if mine is None:
+                    held[other] = one
                     continue
-                same = int(np.count_nonzero(hub[np.minimum(np.searchsorted(hub, one), len(hub) - 1)] == one))
-                if same * den >= num * (len(hub) + len(one) - same):
-                    found.append((key, other))
+                for hub in mine:
+                    x = held[hub]
+                    same = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, one), len(x) - 1)] == one))
+                    if same * den >= num * (len(x) + len(one) - same):
+                        found.append((hub, other))
             if found:
                 yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
 
     return (
-        asked.join(sets_of, "set_id").withColumn("late", F.col("hub") != F.col("set_id"))
-        .repartition("hub", "slot").sortWithinPartitions("hub", "slot", "late").select("hub", "slot", "set_id", "shingles")
+        asked.join(sets_of, "set_id").withColumn("late", F.col("hubs").isNotNull())
+        .repartition("block", "slot").sortWithinPartitions("block", "slot", "late").select("block", "slot", "set_id", "hubs", "shingles")
         .mapInArrow(with_schema(meet, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long")
     )
 
@@ -280,28 +304,48 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
 def _long_pairs(rows: DataFrame, component: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs across components of long postings, with the prefix shingles they need and share there."""
     rows = rows.join(bounded(component.withColumnRenamed("id", "a")), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    open_ones = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rows = rows.join(bounded(open_ones.select("shingle")), "shingle")
+    open_ones = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("a").alias("lead")).where("low < high")
+    rows = rows.join(bounded(open_ones.select("shingle", "lead")), "shingle")
+
+    def pairs_of(doc, n, k, c):
+        order = np.argsort(n, kind="stable")
+        doc, n, k, c = doc[order], n[order], k[order], c[order]
+        for low in range(0, len(doc), 256):
+            # only sizes within the threshold of this block's
+            stop = int(np.searchsorted(n * num, n[min(low + 255, len(n) - 1)] * den, "right"))
+            i, j = np.meshgrid(np.arange(low, min(low + 256, len(doc))), np.arange(low, stop), indexing="ij")
+            apart = (i < j) & (c[i] != c[j])
+            i, j = i[apart], j[apart]
+            need, fits = _needed(n[i], n[j], k[i], k[j], num, den)
+            i, j, need = i[fits], j[fits], need[fits]
+            yield np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), need, np.ones(len(i), np.int64)
+
+    def add(held):
+        a, b, need, shared = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((b, a))
+        a, b, need, shared = a[order], b[order], need[order], shared[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+        return a[first], b[first], need[first], np.add.reduceat(shared, first) if len(a) else shared
 
     def meet(batches):
-        for _, held in grouped_rows(batches, ["shingle"]):
-            table = pa.Table.from_batches(held)
-            doc, n, k, c = (table.column(x).to_numpy() for x in ("a", "n", "k", "component"))
-            order = np.argsort(n, kind="stable")
-            doc, n, k, c = doc[order], n[order], k[order], c[order]
-            for low in range(0, len(doc), 256):
-                # only sizes within the threshold of this block's
-                stop = int(np.searchsorted(n * num, n[min(low + 255, len(n) - 1)] * den, "right"))
-                i, j = np.meshgrid(np.arange(low, min(low + 256, len(doc))), np.arange(low, stop), indexing="ij")
-                apart = (i < j) & (c[i] != c[j])
-                i, j = i[apart], j[apart]
-                need, fits = _needed(n[i], n[j], k[i], k[j], num, den)
-                i, j, need = i[fits], j[fits], need[fits]
-                if len(i):
-                    yield {"a": np.minimum(doc[i], doc[j]), "b": np.maximum(doc[i], doc[j]), "need": need, "shared": np.ones(len(i), np.int64)}
+        # postings of one group of sets mostly have the same lead, so their pairs meet here before they are passed on
+        held, size = [], 0
+        for _, parts in grouped_rows(batches, ["lead", "shingle"]):
+            table = pa.Table.from_batches(parts)
+            for found in pairs_of(*(table.column(x).to_numpy() for x in ("a", "n", "k", "component"))):
+                held.append(found)
+                size += len(found[0])
+                if size > 2 * PAIR_ROWS:
+                    held = [add(held)]
+                    size = len(held[0][0])
+                    if size > PAIR_ROWS:
+                        yield dict(zip(names, held[0]))
+                        held, size = [], 0
+        if held:
+            yield dict(zip(names, add(held)))
 
     names = ["a", "b", "need", "shared"]
-    return rows.select("shingle", "a", "n", "k", "component").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(
+    return rows.select("lead", "shingle", "a", "n", "k", "component").repartition("lead").sortWithinPartitions("lead", "shingle").mapInArrow(
         with_schema(meet, pa.schema([(x, pa.int64()) for x in names])), ", ".join(f"{x} long" for x in names)
     )
 
@@ -324,6 +368,16 @@ def _star(rows: DataFrame, component: DataFrame, turn: int, num: int, den: int)
     return shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select("a", F.col("pivot").alias("b"))
 
 
+def _joined(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links; those there were are stars already."""
+    edges = links.select("a", "b")
+    if component is not None:
+        if not edges.limit(1).count():
+            return component
+        edges = edges.union(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return keep(connected_components(edges), "component")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
@@ -368,16 +422,21 @@ def ngram_jaccard_join(
             star = _star(long_rows, component, turn, num, den)
             wave = star if links is not None else wave.union(star)
         new = keep(verify(_ordered(wave), *args), "links")
-        if links is not None and not new.limit(1).count():
-            break
-        links = new if links is None else links.union(new)
-        component = keep(connected_components(links), "component")
+        component = _joined(component if links is not None else None, new)
+        links = new
     rest = _apart(short, component)
     if has_long:
         rest = rest.unionByName(_long_pairs(long_rows, component, num, den))
         rest = rest.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
-    links = links.union(keep(verify(rest.where("shared >= need").select("a", "b"), *args), "links"))
-    component = connected_components(links)
+    rest = keep(rest.where("shared >= need").select("a", "b", (F.col("shared") - F.col("need")).alias("more")), "rest")
+    for _ in range(BEST_TURNS):
+        rest = _apart(rest, component)
+        both = rest.select("a", "b", "more").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b"), "more"))
+        best = both.groupBy("a").agg(F.max(F.struct("more", F.col("b").alias("b"))).alias("best")).select("a", "best.b")
+        new = keep(verify(_ordered(best), *args, component), "links")
+        component = _joined(component, new)
+    new = keep(verify(_apart(rest, component).select("a", "b"), *args, component), "links")
+    component = _joined(component, new)
     # components of set ids; the smallest document of each
     classes = owner.join(component.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = classes.groupBy("component").agg(F.min("id").alias("component_id"))
