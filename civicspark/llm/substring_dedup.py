@@ -210,8 +210,8 @@ def substring_dedup(
     if width < 2 * block - 1:
         raise ValueError("a repeat of width words must hold a whole block: width >= 2 * block - 1")
     n = parts_for(docs)
-    parts = min(4 * n, 1 << _LOW)
-    chunk = F.pmod(F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)) + F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(0) % 1024, F.lit(2 * n))
+    parts = min(2 * n, 1 << _LOW)
+    chunk = F.pmod(F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)) + F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(0) % 1024, F.lit(n))
     base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias(text)).withColumn("chunk", chunk.cast("int")).repartition(n, "chunk")
     blobs = "chunk int, part int, rows binary"
     schema = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("rows", pa.binary())])
