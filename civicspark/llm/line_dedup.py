@@ -22,24 +22,32 @@ from pyspark.sql import functions as F
 from civicspark.llm.common import BROADCAST_ROWS, bounded, grouped_rows, input_bytes, keep, with_schema
 
 #: Stripped at both ends of a line.
-MARKS = " \t\n\x0b\x0c\r"
+MARKS = b" \t\n\x0b\x0c\r"
 #: Bits of each filter: about 16 for each expected line, within these bounds.
 LEAST_BITS, MOST_BITS = 20, 28
 #: Stored bytes of input for each line that is expected.
 LINE_BYTES = 200
 _SLICES = 64
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def line_keys(text: str | None, least: int) -> list[str | None]:
+def line_keys(lines: list[bytes], least: int) -> list[bytes | None]:
     """The key of every line, or None for a line whose key is shorter than ``least`` code points."""
     out = []
-    for line in (text or "").split("\n"):
+    for line in lines:
         key = line.strip(MARKS)
-        out.append(key.translate(_FOLD) if len(key) >= least else None)
+        long = len(key) >= least and (len(key) >= 4 * least or key.isascii() or len(key.decode("utf-8", "replace")) >= least)
+        out.append(key.lower() if long else None)  # of bytes: A-Z only
     return out
 
 
+def _lines(text: bytes | None) -> list[bytes]:
+    return (text or b"").split(b"\n")
+
+
+def _texts(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
+
+
 def _places(h: int, bits: int) -> tuple[int, int]:
     return h & ((1 << bits) - 1), (h >> 32) & ((1 << bits) - 1)
 
@@ -56,8 +64,8 @@ def twice_seen(docs: DataFrame, text: str, least: int, bits: int) -> np.ndarray:
     def fill(batches):
         once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                for key in {k for k in line_keys(value, least) if k is not None}:
+            for value in _texts(batch.column(0)):
+                for key in {k for k in line_keys(_lines(value), least) if k is not None}:
                     a, b = _places(xxhash.xxh3_64_intdigest(key), bits)
                     if once[a] and once[b]:
                         twice[a] = twice[b] = True
@@ -100,8 +108,8 @@ def suspected_lines(docs: DataFrame, text: str, id_col: str, least: int, twice:
         held = shared.value
         for batch in batches:
             ids, digests = [], []
-            for number, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for key in {k for k in line_keys(value, least) if k is not None}:
+            for number, value in zip(batch.column(0).to_pylist(), _texts(batch.column(1))):
+                for key in {k for k in line_keys(_lines(value), least) if k is not None}:
                     if all(held[x >> 3] >> (7 - (x & 7)) & 1 for x in _places(xxhash.xxh3_64_intdigest(key), bits)):
                         ids.append(number)
                         digests.append(_digest(key))
@@ -112,15 +120,15 @@ def suspected_lines(docs: DataFrame, text: str, id_col: str, least: int, twice:
     return base.mapInArrow(with_schema(pick, schema), "digest binary, id long")
 
 
-def _digest(key: str) -> bytes:
-    return hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=20).digest()
+def _digest(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=20).digest()
 
 
-def _dropped(text: str | None, least: int, drop) -> tuple[int, int, str]:
+def _dropped(text: bytes | None, least: int, drop) -> tuple[int, int, bytes]:
     """Lines before, lines dropped, and the rest joined."""
-    lines, keys = (text or "").split("\n"), line_keys(text, least)
-    rest = [x for x, k in zip(lines, keys) if k is None or not drop(_digest(k))]
-    return len(lines), len(lines) - len(rest), "\n".join(rest)
+    lines = _lines(text)
+    rest = [x for x, k in zip(lines, line_keys(lines, least)) if k is None or not drop(_digest(k))]
+    return len(lines), len(lines) - len(rest), b"\n".join(rest)
 
 
 def line_dedup(
@@ -157,7 +165,7 @@ def line_dedup(
     def cut(batches):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            texts = _texts(batch.column(batch.schema.get_field_index(text)))
             lost = [None] * len(ids) if few else batch.column(batch.schema.get_field_index("__lost")).to_pylist()
             found = []
             for number, value, gone in zip(ids, texts, lost):
@@ -168,7 +176,7 @@ def line_dedup(
                 else:
                     found.append(_dropped(value, least_chars, set(gone or ()).__contains__))
             columns = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
-            columns[text] = pa.array([None if t is None else x[2] for x, t in zip(found, texts)], pa.string())
+            columns[text] = pa.array([None if t is None else x[2] for x, t in zip(found, texts)], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_pydict(columns | {"n_lines": pa.array([x[0] for x in found], pa.int64()), "n_dropped": pa.array([x[1] for x in found], pa.int64())})
 
     kinds = [f for f in rows.schema.fields if f.name in names]
