@@ -23,7 +23,7 @@ SAMPLE_ROWS = 4_000
 #: Words that the classifier looks for.
 VOCABULARY = 64
 #: Projected gradient steps, at most, and the relative gap at which they end.
-STEPS, GAP = 25, 1e-9
+STEPS, GAP = 20, 1e-8
 
 
 def words_of(text: Column) -> Column:
@@ -43,19 +43,28 @@ class DomainModel:
     base: list[float]
     weights: list[list[float]] = field(default_factory=list)  # by domain, then word
 
-    def posterior(self, words: Column) -> Column:
-        """Array of posteriors in the order of ``domains``."""
+    def add_posterior(self, rows: DataFrame, text: str) -> DataFrame:
+        """``rows`` with ``n_tokens`` and ``posterior``, an array in the order of ``domains``.
+
+        Each step is a column of its own, so that no expression is computed twice.
+        """
+        rows = rows.withColumn("__words", words_of(F.col(text))).withColumn("n_tokens", F.size("__words").cast("long"))
+        if not self.domains:
+            return rows.withColumn("posterior", F.array().cast("array<double>")).drop("__words")
         vocabulary = F.lit(self.vocabulary) if self.vocabulary else F.array().cast("array<string>")
-        present = F.array_intersect(words, vocabulary)
-        places = F.transform(present, lambda w: F.array_position(vocabulary, w).cast("int"))
+        rows = rows.withColumn("__places", F.transform(F.array_intersect("__words", vocabulary), lambda w: F.array_position(vocabulary, w).cast("int")))
 
         def log_weight(d: int) -> Column:
             table = F.lit(self.weights[d]) if self.vocabulary else F.array(F.lit(0.0))
-            return F.aggregate(places, F.lit(self.base[d]), lambda total, k: total + F.element_at(table, k))
+            return F.aggregate("__places", F.lit(self.base[d]), lambda total, k: total + F.element_at(table, k))
 
-        logs = F.array(*[log_weight(d) for d in range(len(self.domains))])
-        shifted = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-        return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+        logs = [f"__log{d}" for d in range(len(self.domains))]
+        rows = rows.withColumns({name: log_weight(d) for d, name in enumerate(logs)})
+        rows = rows.withColumn("__top", F.greatest(*logs) if len(logs) > 1 else F.col(logs[0]))
+        rows = rows.withColumns({name: F.exp(F.col(name) - F.col("__top")) for name in logs})
+        rows = rows.withColumn("__sum", sum((F.col(name) for name in logs[1:]), F.col(logs[0])))
+        rows = rows.withColumn("posterior", F.array(*[F.col(name) / F.col("__sum") for name in logs]))
+        return rows.drop("__words", "__places", "__top", "__sum", *logs)
 
 
 def fit_domains(
@@ -109,9 +118,6 @@ def rate_after(mass: Column, steps: list[list[float]]) -> Column:
     """A document's rate: from 1, one projected step after the other; ``mass`` is its tokens by domain."""
     if not steps:
         return F.lit(1.0)
-    flat = F.lit(steps[0]) if len(steps) == 1 else None
-    if flat is not None:
-        return F.greatest(F.lit(0.0), F.lit(1.0) - _dot(mass, flat))
     table = F.array(*[F.lit(s) for s in steps])
     return F.aggregate(table, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate - _dot(mass, step)))
 
@@ -168,8 +174,7 @@ class Mixture:
 
     def rated(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with ``n_tokens``, ``posterior`` and ``rate``; columns of these names are replaced."""
-        rows = docs.drop("n_tokens", "posterior", "rate")
-        return self._rate(rows.withColumns(_mass(self.model, text)))
+        return self._rate(self.model.add_posterior(docs.drop("n_tokens", "posterior", "rate"), text))
 
     def table(self) -> DataFrame:
         """The id, ``n_tokens``, ``posterior`` and ``rate`` of every document, without its text."""
@@ -177,14 +182,10 @@ class Mixture:
 
     def _rate(self, rows: DataFrame) -> DataFrame:
         tokens = F.col("n_tokens") / F.lit(self.scale)
-        mass = F.transform("posterior", lambda p: p * tokens)
-        return rows.withColumn("rate", F.round(rate_after(mass, self.steps), 9) if self.model.domains else F.lit(1.0))
-
-
-def _mass(model: DomainModel, text: str) -> dict[str, Column]:
-    words = words_of(F.col(text))
-    posterior = model.posterior(words) if model.domains else F.array().cast("array<double>")
-    return {"n_tokens": F.size(words).cast("long"), "posterior": posterior}
+        if not self.steps:
+            return rows.withColumn("rate", F.lit(1.0))
+        rows = rows.withColumn("__mass", F.transform("posterior", lambda p: p * tokens))
+        return rows.withColumn("rate", F.round(rate_after(F.col("__mass"), self.steps), 9)).drop("__mass")
 
 
 def mix_to_targets(
@@ -201,7 +202,7 @@ def mix_to_targets(
     ids are documents of their own.  An empty table gives an empty mixture.
     """
     model = fit_domains(docs, labelled, text, id_col, domain)
-    rows = docs.select(id_col, text).withColumns(_mass(model, text)).select(id_col, "n_tokens", "posterior")
+    rows = model.add_posterior(docs.select(id_col, text), text).select(id_col, "n_tokens", "posterior")
     compact = keep(rows, "posteriors")
     total = float(compact.agg(F.sum("n_tokens")).first()[0] or 0)
     known = sum(max(0.0, targets.get(d, 0.0)) for d in model.domains)
