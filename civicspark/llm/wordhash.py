@@ -105,7 +105,7 @@ def windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the ``width`` words from each word on, and whether its document has as many."""
     h, n = words.hash, len(words.hash)
     out = np.zeros(n, np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         out[: n - k] = out[: n - k] * _STEP + h[k:]
     last = np.repeat(words.first[1:], np.diff(words.first))
     return mix(out), np.arange(n) + width <= last
