@@ -43,8 +43,13 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The planner's estimate of the size of ``df``: file sizes, for a scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of ``df``: the planner's estimate, which is file sizes for a scan, or else those of its strings, summed."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate < 1 << 60:  # the planner's default, where it knows nothing, is larger
+        return estimate
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    total = df.agg(F.sum(sum(strings, F.lit(8).cast("long")))).first()[0]
+    return int(total or 0)
 
 
 def parts_for(df: DataFrame, bytes_each: int = 8_000_000) -> int:
