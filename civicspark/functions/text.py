@@ -59,7 +59,7 @@ def meeting_display_name(kind, date, context) -> Column:
     """``Type Meeting — Context — Mon D, YYYY``; a date that is none stays as it is."""
     name = F.trim(F.coalesce(_col(kind), F.lit("Meeting")))
     name = F.when(F.lower(name).endswith("meeting"), name).otherwise(F.concat(name, F.lit(" Meeting")))
-    day = F.coalesce(F.date_format(F.try_to_date(_col(date), F.lit("yyyy-MM-dd")), "MMM d, yyyy"), _col(date))
+    day = F.coalesce(F.date_format(F.try_to_date(_col(date), "yyyy-MM-dd"), "MMM d, yyyy"), _col(date))
     return F.concat_ws(" — ", name, F.nullif(_col(context), F.lit("")), day)
 
 
@@ -157,7 +157,7 @@ def tag_error(message, category) -> Column:
 
 def slug(value) -> Column:
     """Lower case with runs of other characters than letters and digits as one hyphen."""
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(F.trim(_col(value))), "[^a-z0-9]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(F.trim(_col(value))), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def url_domain(url) -> Column:

@@ -38,8 +38,8 @@ VIEWS: dict[str, str] = {
         concat(p_type, ' ', p_name) AS title, concat(p_brand, ' hearing on ', p_type, CASE WHEN l_returnflag = 'R' THEN ' was denied' WHEN l_returnflag = 'A' THEN ' motion to approve carried' ELSE ' received and filed' END) AS item_text
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "permits": """SELECT CASE WHEN l_linenumber = 7 THEN CAST(NULL AS STRING) ELSE concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) END AS permit_number,
-        md5(concat(CAST(l_orderkey AS STRING), '|', CAST(l_partkey AS STRING))) AS row_hash, CAST(CAST(l_quantity AS INT) AS STRING) AS permit_square_feet,
-        CAST(CAST(l_extendedprice AS BIGINT) AS STRING) AS permit_valuation, substring(CAST(l_shipdate AS STRING), 1, 10) AS permit_issue_date,
+        md5(concat(CAST(l_orderkey AS STRING), '|', CAST(l_partkey AS STRING))) AS row_hash, CAST(CAST(floor(l_quantity) AS INT) AS STRING) AS permit_square_feet,
+        CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) AS permit_valuation, substring(CAST(l_shipdate AS STRING), 1, 10) AS permit_issue_date,
         CASE WHEN p_type LIKE '%STEEL%' THEN 'Commercial' WHEN p_type LIKE '%BRASS%' THEN 'Residential' WHEN p_type LIKE '%TIN%' THEN 'Trade' ELSE 'Other' END AS normalized_category,
         CASE WHEN p_type LIKE 'PROMO%' OR p_type LIKE 'ECONOMY%' THEN 'New' WHEN p_type LIKE 'STANDARD%' THEN 'Alteration' ELSE 'Addition' END AS work_type,
         l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey""",

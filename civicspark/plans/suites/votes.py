@@ -124,13 +124,13 @@ def v10(t):
     return V.dissents(V.normalized(t.member_votes)).join(named, "member_id")
 
 
-@query("v11", f"""WITH {_TALLY}, b AS (SELECT v.* FROM v JOIN meetings m ON m.meeting_id = v.agenda_item_vote_id WHERE m.body = 'china' AND m.meeting_date <= '1998-12-31')
+@query("v11", f"""WITH {_TALLY}, b AS (SELECT v.* FROM v JOIN meetings m ON m.meeting_id = v.agenda_item_vote_id WHERE m.body = 'nation_0' AND m.meeting_date <= '1998-12-31')
   SELECT member_id, count(*) AS total_votes, count(*) FILTER (WHERE is_split) AS split_votes, count(*) FILTER (WHERE is_split AND majority IN ('yes', 'no') AND vote IN ('yes', 'no') AND vote <> majority) AS against_majority,
   count(*) FILTER (WHERE is_split) - count(*) FILTER (WHERE is_split AND majority IN ('yes', 'no') AND vote IN ('yes', 'no') AND vote <> majority) AS with_majority FROM b JOIN t USING (agenda_item_vote_id) GROUP BY 1""")
 def v11(t):
     """Statistics of one commission; what is not against the majority counts as with it, also abstentions."""
     every = V.normalized(t.member_votes)
-    votes = V.dated(every, t.meetings, end="1998-12-31", body="china").join(V.tallies(every), "agenda_item_vote_id")
+    votes = V.dated(every, t.meetings, end="1998-12-31", body="nation_0").join(V.tallies(every), "agenda_item_vote_id")
     vote, majority = F.col("vote"), F.col("majority")
     against = F.count_if(F.col("is_split") & majority.isin("yes", "no") & vote.isin("yes", "no") & (vote != majority))
     split = F.count_if("is_split")
@@ -138,45 +138,45 @@ def v11(t):
 
 
 @query("v12", f"""WITH {_TALLY} SELECT agenda_item_vote_id, member_id, vote, CASE WHEN majority = 'tie' THEN 'Tie' WHEN vote = majority THEN 'Majority' WHEN vote IN ('yes', 'no') THEN 'Dissent' ELSE 'Other' END AS label
-  FROM v JOIN t USING (agenda_item_vote_id) JOIN meetings m ON m.meeting_id = agenda_item_vote_id WHERE is_split AND m.body = 'china'""")
+  FROM v JOIN t USING (agenda_item_vote_id) JOIN meetings m ON m.meeting_id = agenda_item_vote_id WHERE is_split AND m.body = 'nation_0'""")
 def v12(t):
     """Split votes of one commission with a label."""
     votes = V.normalized(t.member_votes)
-    china = t.meetings.where("body = 'china'").select(F.col("meeting_id").alias("agenda_item_vote_id"))
+    chosen = t.meetings.where("body = 'nation_0'").select(F.col("meeting_id").alias("agenda_item_vote_id"))
     label = F.create_map(*[F.lit(x) for x in ("tie", "Tie", "with_majority", "Majority", "against_majority", "Dissent", "not_voting", "Other")])
-    return V.split_votes(votes).join(china, "agenda_item_vote_id", "left_semi").select("agenda_item_vote_id", "member_id", "vote", label[F.col("alignment")].alias("label"))
+    return V.split_votes(votes).join(chosen, "agenda_item_vote_id", "left_semi").select("agenda_item_vote_id", "member_id", "vote", label[F.col("alignment")].alias("label"))
 
 
-@query("v13", f"WITH {_TALLY} SELECT agenda_item_vote_id, member_id, vote, concat(yes_votes, '-', no_votes) AS tally FROM v JOIN t USING (agenda_item_vote_id) JOIN meetings m ON m.meeting_id = agenda_item_vote_id WHERE is_split AND abs(yes_votes - no_votes) = 1 AND vote = majority AND m.body = 'china'")
+@query("v13", f"WITH {_TALLY} SELECT agenda_item_vote_id, member_id, vote, concat(yes_votes, '-', no_votes) AS tally FROM v JOIN t USING (agenda_item_vote_id) JOIN meetings m ON m.meeting_id = agenda_item_vote_id WHERE is_split AND abs(yes_votes - no_votes) = 1 AND vote = majority AND m.body = 'nation_0'")
 def v13(t):
     """Swing votes of one commission with the tally."""
-    china = t.meetings.where("body = 'china'").select(F.col("meeting_id").alias("agenda_item_vote_id"))
-    swing = V.swing_votes(V.normalized(t.member_votes)).join(china, "agenda_item_vote_id", "left_semi")
+    chosen = t.meetings.where("body = 'nation_0'").select(F.col("meeting_id").alias("agenda_item_vote_id"))
+    swing = V.swing_votes(V.normalized(t.member_votes)).join(chosen, "agenda_item_vote_id", "left_semi")
     return swing.select("agenda_item_vote_id", "member_id", "vote", V.tally_label(F.col("yes_votes"), F.col("no_votes")).alias("tally"))
 
 
-@query("v14", f"WITH {_NORM} SELECT v.member_id, v.agenda_item_vote_id, v.vote, m.meeting_date FROM v JOIN meetings m ON m.meeting_id = v.agenda_item_vote_id WHERE m.body = 'china' ORDER BY m.meeting_date DESC, v.agenda_item_vote_id, v.member_id LIMIT 50")
+@query("v14", f"WITH {_NORM} SELECT v.member_id, v.agenda_item_vote_id, v.vote, m.meeting_date FROM v JOIN meetings m ON m.meeting_id = v.agenda_item_vote_id WHERE m.body = 'nation_0' ORDER BY m.meeting_date DESC, v.agenda_item_vote_id, v.member_id LIMIT 50")
 def v14(t):
     """The newest 50 votes of one commission."""
-    china = t.meetings.where("body = 'china'").select(F.col("meeting_id").alias("agenda_item_vote_id"), "meeting_date")
-    rows = V.normalized(t.member_votes).join(china, "agenda_item_vote_id").select("member_id", "agenda_item_vote_id", "vote", "meeting_date")
+    chosen = t.meetings.where("body = 'nation_0'").select(F.col("meeting_id").alias("agenda_item_vote_id"), "meeting_date")
+    rows = V.normalized(t.member_votes).join(chosen, "agenda_item_vote_id").select("member_id", "agenda_item_vote_id", "vote", "meeting_date")
     return rows.orderBy(F.desc("meeting_date"), "agenda_item_vote_id", "member_id").limit(50)
 
 
-@query("v15", "SELECT v.member_id, count(*) AS votes, min(m.meeting_date) AS first_vote, max(m.meeting_date) AS last_vote FROM member_votes v JOIN meetings m ON m.meeting_id = v.agenda_item_vote_id WHERE m.body = 'china' AND m.meeting_date >= '1997-01-01' GROUP BY 1")
+@query("v15", "SELECT v.member_id, count(*) AS votes, min(m.meeting_date) AS first_vote, max(m.meeting_date) AS last_vote FROM member_votes v JOIN meetings m ON m.meeting_id = v.agenda_item_vote_id WHERE m.body = 'nation_0' AND m.meeting_date >= '1997-01-01' GROUP BY 1")
 def v15(t):
     """Members of one commission who voted since a date."""
-    china = t.meetings.where("body = 'china' and meeting_date >= '1997-01-01'").select(F.col("meeting_id").alias("agenda_item_vote_id"), "meeting_date")
-    return t.member_votes.join(china, "agenda_item_vote_id").groupBy("member_id").agg(F.count("*").alias("votes"), F.min("meeting_date").alias("first_vote"), F.max("meeting_date").alias("last_vote"))
+    chosen = t.meetings.where("body = 'nation_0' and meeting_date >= '1997-01-01'").select(F.col("meeting_id").alias("agenda_item_vote_id"), "meeting_date")
+    return t.member_votes.join(chosen, "agenda_item_vote_id").groupBy("member_id").agg(F.count("*").alias("votes"), F.min("meeting_date").alias("first_vote"), F.max("meeting_date").alias("last_vote"))
 
 
-@query("v16", f"""WITH {_TALLY}, k AS (SELECT DISTINCT member_id FROM v JOIN meetings m ON m.meeting_id = agenda_item_vote_id WHERE m.body = 'china'),
+@query("v16", f"""WITH {_TALLY}, k AS (SELECT DISTINCT member_id FROM v JOIN meetings m ON m.meeting_id = agenda_item_vote_id WHERE m.body = 'nation_0'),
 p AS (SELECT a.member_id, b.member_id AS other_member_id, a.vote = b.vote AS same, t.is_split FROM v a JOIN v b ON a.agenda_item_vote_id = b.agenda_item_vote_id AND a.member_id < b.member_id
-  JOIN t ON t.agenda_item_vote_id = a.agenda_item_vote_id JOIN meetings m ON m.meeting_id = a.agenda_item_vote_id AND m.body = 'china' WHERE a.vote IN ('yes', 'no') AND b.vote IN ('yes', 'no'))
+  JOIN t ON t.agenda_item_vote_id = a.agenda_item_vote_id JOIN meetings m ON m.meeting_id = a.agenda_item_vote_id AND m.body = 'nation_0' WHERE a.vote IN ('yes', 'no') AND b.vote IN ('yes', 'no'))
 SELECT member_id, other_member_id, count(*) AS comparable, count(*) FILTER (WHERE same) AS same_votes, count(*) FILTER (WHERE is_split) AS split_comparable FROM p GROUP BY 1, 2""")
 def v16(t):
     """Pairwise alignment within one commission, each pair once."""
-    votes = V.dated(V.normalized(t.member_votes), t.meetings, body="china").where(F.col("vote").isin("yes", "no"))
+    votes = V.dated(V.normalized(t.member_votes), t.meetings, body="nation_0").where(F.col("vote").isin("yes", "no"))
     split = Window.partitionBy("agenda_item_vote_id")
     votes = votes.withColumn("is_split", F.min("vote").over(split) != F.max("vote").over(split))
     other = votes.select("agenda_item_vote_id", F.col("member_id").alias("other_member_id"), F.col("vote").alias("other_vote"))
