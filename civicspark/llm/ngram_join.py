@@ -28,10 +28,10 @@ from civicspark.llm.common import (
     bounded, connected_components, grouped_rows, input_bytes, keep, partition_blobs, parts_for, runs, unpack, with_schema,
 )
 
-#: Largest k of a k-prefix.
-MAX_MATCHES = 4
-#: Cost of a verification in units of one read posting.
-VERIFY_COST = 16.0
+#: Largest k of a k-prefix; powers of two up to a set's least overlap are weighed, and that overlap.
+MAX_MATCHES = 60_000
+#: Cost of a verification, for each shingle of the set, in units of one read posting: two sets are sent and compared.
+VERIFY_COST = 2.0
 #: Counters of the frequency sketch: about one for SKETCH_LOAD words, within these bounds.
 LEAST_SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_LOAD = 18, 23, 32
 #: Postings longer than this go through pivots instead of all pairs.
@@ -45,7 +45,7 @@ BEST_TURNS = 2
 #: Distinct pairs that a task gathers before it passes them on.
 PAIR_ROWS = 1_000_000
 
-_ROW = [np.uint64, np.uint64, np.uint32, np.uint8]  # shingle, set id, set size, k
+_ROW = [np.uint64, np.uint64, np.uint32, np.uint16]  # shingle, set id, set size, k
 
 
 def _set_ids(h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -127,13 +127,15 @@ def _prefixes(h, off, sketch, num, den):
     noise = max(1.0, float(sketch.mean()))
     total = np.concatenate([np.zeros(1), np.cumsum(np.maximum(0.0, seen.astype(np.float64) - noise))])
     best, matches = np.full(len(n), np.inf), np.ones(len(n), np.int64)
-    for k in range(1, MAX_MATCHES + 1):
-        length = np.minimum(n, base + k)
+    overlap, k = np.minimum(n - base, MAX_MATCHES), 1
+    while len(n) and k < 2 * int(overlap.max()):
+        taken = np.minimum(k, overlap)  # the last choice is the whole set
+        length = base + taken
         read = total[off[:-1] + length] - total[off[:-1]]
-        cost = (read + length) + VERIFY_COST * read / k
-        cost[base + k > n] = np.inf if k > 1 else 0.0
+        cost = (read + length) + VERIFY_COST * n * read / taken
         better = cost < best
-        best[better], matches[better] = cost[better], k
+        best[better], matches[better] = cost[better], taken[better]
+        k *= 2
     used = place < (base + matches)[doc]
     return h[used], doc[used], matches[doc][used]
 
@@ -172,7 +174,8 @@ def _pairs(token, doc, n, k, num, den):
 
 
 def candidate_rows(docs: DataFrame, text: str, id_col: str, width: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """Pairs of set ids from short postings (``shingle`` null) and the rows of long postings.
+    """Pairs of set ids from short postings (``shingle`` null), how many shingles of a set are in such
+    postings (``b`` null too), and the rows of long postings.
 
     Prefix rows travel as packed arrays, once for each task and set, so a set
     that many documents share costs one row a task.
@@ -194,7 +197,7 @@ def candidate_rows(docs: DataFrame, text: str, id_col: str, width: int, num: int
             off = np.r_[0, np.cumsum(n)]
             token, doc, k = _prefixes(h, off, counts, num, den)
             where = (token % np.uint64(parts)).astype(np.int64)
-            blobs = list(partition_blobs(where, [token, ids[doc], n[doc].astype(np.uint32), k.astype(np.uint8)]))
+            blobs = list(partition_blobs(where, [token, ids[doc], n[doc].astype(np.uint32), k.astype(np.uint16)]))
             if blobs:
                 yield {"part": [p for p, _ in blobs], "rows": [x for _, x in blobs]}
 
@@ -211,6 +214,11 @@ def candidate_rows(docs: DataFrame, text: str, id_col: str, width: int, num: int
             if pairs is not None:
                 none = pa.nulls(len(pairs[0]), pa.int64())
                 yield dict(zip(["a", "b", "need", "shared"], pairs)) | {"shingle": none, "n": none, "k": none}
+                again = np.r_[False, token[1:] == token[:-1]]
+                again |= np.r_[again[1:], False]
+                of, count = np.unique(doc[again & ~long], return_counts=True)
+                none = pa.nulls(len(of), pa.int64())
+                yield {"a": of, "b": none, "need": none, "shared": count, "shingle": none, "n": none, "k": none}
             if long.any():
                 none = pa.nulls(int(long.sum()), pa.int64())
                 yield {"a": doc[long], "b": none, "need": none, "shared": none, "shingle": token[long].view(np.int64), "n": n[long], "k": k[long]}
@@ -301,11 +309,19 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).drop("component_a", "component_b")
 
 
-def _long_pairs(rows: DataFrame, component: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs across components of long postings, with the prefix shingles they need and share there."""
+def _long_pairs(rows: DataFrame, component: DataFrame, spare: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs across components of long postings, with the prefix shingles they need and share there.
+
+    Postings are gathered by the component that has most of them.  A pair is
+    passed on if what it shares there, with all that its sets have in other
+    postings (``spare`` counts the short ones), can reach what it needs.
+    """
     rows = rows.join(bounded(component.withColumnRenamed("id", "a")), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    open_ones = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("a").alias("lead")).where("low < high")
-    rows = rows.join(bounded(open_ones.select("shingle", "lead")), "shingle")
+    sizes = rows.groupBy("shingle", "component").count()
+    open_ones = sizes.groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("components")).where("components > 1")
+    rows = rows.join(bounded(open_ones.select("shingle", F.col("top.component").alias("lead"))), "shingle")
+    total = rows.groupBy("a").agg(F.count("*").alias("postings")).join(spare, "a", "left").select("a", (F.col("postings") + F.coalesce("spare", F.lit(0))).alias("held"))
+    rows = rows.join(bounded(total), "a")
 
     def pairs_of(doc, n, k, c):
         order = np.argsort(n, kind="stable")
@@ -328,24 +344,39 @@ def _long_pairs(rows: DataFrame, component: DataFrame, num: int, den: int) -> Da
         return a[first], b[first], need[first], np.add.reduceat(shared, first) if len(a) else shared
 
     def meet(batches):
-        # postings of one group of sets mostly have the same lead, so their pairs meet here before they are passed on
-        held, size = [], 0
-        for _, parts in grouped_rows(batches, ["lead", "shingle"]):
+        lead, held, seen, size, whole = None, [], [], 0, True
+
+        def passed():
+            a, b, need, shared = add(held)
+            doc, total = (np.concatenate(x) for x in zip(*seen))
+            doc, first, here = np.unique(doc, return_index=True, return_counts=True)
+            elsewhere = total[first] - here
+            if whole:
+                can = shared + np.minimum(elsewhere[np.searchsorted(doc, a)], elsewhere[np.searchsorted(doc, b)]) >= need
+                a, b, need, shared = a[can], b[can], need[can], shared[can]
+            return dict(zip(names, (a, b, need, shared)))
+
+        for (main, _), parts in grouped_rows(batches, ["lead", "shingle"]):
+            if main != lead:
+                if held:
+                    yield passed()
+                lead, held, seen, size, whole = main, [], [], 0, True
             table = pa.Table.from_batches(parts)
+            seen.append((table.column("a").to_numpy(), table.column("held").to_numpy()))
             for found in pairs_of(*(table.column(x).to_numpy() for x in ("a", "n", "k", "component"))):
                 held.append(found)
                 size += len(found[0])
                 if size > 2 * PAIR_ROWS:
                     held = [add(held)]
                     size = len(held[0][0])
-                    if size > PAIR_ROWS:
+                    if size > PAIR_ROWS:  # too many to wait for the group's end: all are passed on
                         yield dict(zip(names, held[0]))
-                        held, size = [], 0
+                        held, size, whole = [], 0, False
         if held:
-            yield dict(zip(names, add(held)))
+            yield passed()
 
     names = ["a", "b", "need", "shared"]
-    return rows.select("lead", "shingle", "a", "n", "k", "component").repartition("lead").sortWithinPartitions("lead", "shingle").mapInArrow(
+    return rows.select("lead", "shingle", "a", "n", "k", "component", "held").repartition("lead").sortWithinPartitions("lead", "shingle").mapInArrow(
         with_schema(meet, pa.schema([(x, pa.int64()) for x in names])), ", ".join(f"{x} long" for x in names)
     )
 
@@ -407,9 +438,10 @@ def ngram_jaccard_join(
     profile, sketch = shingle_profile(docs, text, id_col, width)
     owner = keep(profile.where("n > 0 and id is not null").groupBy("set_id", "n").agg(F.min("id").alias("id")), "owner")
     found = keep(candidate_rows(docs, text, id_col, width, num, den, sketch), "candidates")
-    counted = found.where("shingle is null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
+    counted = found.where("shingle is null and b is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
     short = keep(counted, "short")
     strong = short.where("shared >= need")
+    spare = found.where("shingle is null and b is null").groupBy("a").agg(F.sum("shared").alias("spare"))
     long_rows = found.where("shingle is not null").select("a", "shingle", "n", "k")
     args = (docs, owner, text, id_col, width, num, den)
     ends = strong.select("a", "b", "shared").union(strong.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
@@ -426,11 +458,12 @@ def ngram_jaccard_join(
         links = new
     rest = _apart(short, component)
     if has_long:
-        rest = rest.unionByName(_long_pairs(long_rows, component, num, den))
+        rest = rest.unionByName(_long_pairs(long_rows, component, spare, num, den))
         rest = rest.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
     rest = keep(rest.where("shared >= need").select("a", "b", (F.col("shared") - F.col("need")).alias("more")), "rest")
-    for _ in range(BEST_TURNS):
-        rest = _apart(rest, component)
+    for turn in range(BEST_TURNS):
+        if turn:
+            rest = keep(_apart(rest, component), "rest")
         both = rest.select("a", "b", "more").union(rest.select(F.col("b").alias("a"), F.col("a").alias("b"), "more"))
         best = both.groupBy("a").agg(F.max(F.struct("more", F.col("b").alias("b"))).alias("best")).select("a", "best.b")
         new = keep(verify(_ordered(best), *args, component), "links")
