@@ -42,8 +42,8 @@ PIVOT_TURNS, PIVOTS = 2, 3
 BLOCK_HUBS, BLOCK_ROWS = 48, 1_000
 #: Turns of verifying each set's best partner of what is still apart.
 BEST_TURNS = 2
-#: Distinct pairs that a task gathers before it passes them on.
-PAIR_ROWS = 1_000_000
+#: Rows of long postings that a task holds at once, and sets or postings of a block of them.
+GROUP_ROWS, BLOCK = 500_000, 256
 
 _ROW = [np.uint64, np.uint64, np.uint32, np.uint16]  # shingle, set id, set size, k
 
@@ -323,57 +323,60 @@ def _long_pairs(rows: DataFrame, component: DataFrame, spare: DataFrame, num: in
     total = rows.groupBy("a").agg(F.count("*").alias("postings")).join(spare, "a", "left").select("a", (F.col("postings") + F.coalesce("spare", F.lit(0))).alias("held"))
     rows = rows.join(bounded(total), "a")
 
-    def pairs_of(doc, n, k, c):
-        order = np.argsort(n, kind="stable")
-        doc, n, k, c = doc[order], n[order], k[order], c[order]
-        for low in range(0, len(doc), 256):
+    def pairs_of(doc, token, n, k, c, held, whole):
+        """Pairs of one group of postings: shared postings are products of blocks of the sets' rows."""
+        ids, first, doc = np.unique(doc, return_index=True, return_inverse=True)
+        _, token = np.unique(token, return_inverse=True)
+        by_size = np.argsort(n[first], kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[by_size] = np.arange(len(ids))
+        ids, first = ids[by_size], first[by_size]
+        n, k, c, held = n[first], k[first], c[first], held[first]
+        row = place[doc]
+        order = np.argsort(row, kind="stable")
+        row, token = row[order], token[order]
+        at = np.searchsorted(row, np.arange(len(ids) + 1))
+        elsewhere = held - np.diff(at)
+        for low in range(0, len(ids), BLOCK):
+            high = min(low + BLOCK, len(ids))
             # only sizes within the threshold of this block's
-            stop = int(np.searchsorted(n * num, n[min(low + 255, len(n) - 1)] * den, "right"))
-            i, j = np.meshgrid(np.arange(low, min(low + 256, len(doc))), np.arange(low, stop), indexing="ij")
-            apart = (i < j) & (c[i] != c[j])
-            i, j = i[apart], j[apart]
+            stop = int(np.searchsorted(n * num, n[high - 1] * den, "right"))
+            r, x = row[at[low] : at[stop]] - low, token[at[low] : at[stop]]
+            shared = np.zeros((high - low, stop - low), np.float32)
+            for t in range(0, int(token.max()) + 1, BLOCK):
+                inside = (x >= t) & (x < t + BLOCK)
+                has = np.zeros((stop - low, BLOCK), np.float32)
+                has[r[inside], x[inside] - t] = 1
+                shared += has[: high - low] @ has.T
+            i, j = np.nonzero(shared)
+            count = shared[i, j].astype(np.int64)
+            i, j = i + low, j + low
             need, fits = _needed(n[i], n[j], k[i], k[j], num, den)
-            i, j, need = i[fits], j[fits], need[fits]
-            yield np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), need, np.ones(len(i), np.int64)
-
-    def add(held):
-        a, b, need, shared = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((b, a))
-        a, b, need, shared = a[order], b[order], need[order], shared[order]
-        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-        return a[first], b[first], need[first], np.add.reduceat(shared, first) if len(a) else shared
+            fits &= (i < j) & (c[i] != c[j])
+            if whole:
+                fits &= count + np.minimum(elsewhere[i], elsewhere[j]) >= need
+            i, j = i[fits], j[fits]
+            if len(i):
+                yield {"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "need": need[fits], "shared": count[fits]}
 
     def meet(batches):
-        lead, held, seen, size, whole = None, [], [], 0, True
+        lead, parts, size, whole = None, [], 0, True
 
-        def passed():
-            a, b, need, shared = add(held)
-            doc, total = (np.concatenate(x) for x in zip(*seen))
-            doc, first, here = np.unique(doc, return_index=True, return_counts=True)
-            elsewhere = total[first] - here
-            if whole:
-                can = shared + np.minimum(elsewhere[np.searchsorted(doc, a)], elsewhere[np.searchsorted(doc, b)]) >= need
-                a, b, need, shared = a[can], b[can], need[can], shared[can]
-            return dict(zip(names, (a, b, need, shared)))
+        def gathered():
+            table = pa.Table.from_batches(parts)
+            return (table.column(x).to_numpy() for x in ("a", "shingle", "n", "k", "component", "held"))
 
-        for (main, _), parts in grouped_rows(batches, ["lead", "shingle"]):
+        for (main, _), more in grouped_rows(batches, ["lead", "shingle"]):
+            if parts and (main != lead or size > GROUP_ROWS):
+                whole &= main != lead  # a group too large to hold is taken in pieces, and all its pairs are passed on
+                yield from pairs_of(*gathered(), whole)
+                parts, size = [], 0
             if main != lead:
-                if held:
-                    yield passed()
-                lead, held, seen, size, whole = main, [], [], 0, True
-            table = pa.Table.from_batches(parts)
-            seen.append((table.column("a").to_numpy(), table.column("held").to_numpy()))
-            for found in pairs_of(*(table.column(x).to_numpy() for x in ("a", "n", "k", "component"))):
-                held.append(found)
-                size += len(found[0])
-                if size > 2 * PAIR_ROWS:
-                    held = [add(held)]
-                    size = len(held[0][0])
-                    if size > PAIR_ROWS:  # too many to wait for the group's end: all are passed on
-                        yield dict(zip(names, held[0]))
-                        held, size, whole = [], 0, False
-        if held:
-            yield passed()
+                lead, whole = main, True
+            parts += more
+            size += sum(x.num_rows for x in more)
+        if parts:
+            yield from pairs_of(*gathered(), whole)
 
     names = ["a", "b", "need", "shared"]
     return rows.select("lead", "shingle", "a", "n", "k", "component", "held").repartition("lead").sortWithinPartitions("lead", "shingle").mapInArrow(

@@ -20,7 +20,7 @@ _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text hashed at once; bounds the memory of the scratch arrays.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
