@@ -116,37 +116,42 @@ def with_schema(function: Callable, schema: pa.Schema) -> Callable:
     return run
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every ``u`` hangs on one ``v`` and no ``v`` hangs on anything."""
+    ends = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")))
+    ends = ends.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("rows"), F.count("v").alias("hung"))
+    return ends.where("low < high or (hung > 0 and rows > hung)").limit(1).count() == 0
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40, roots: bool = True) -> DataFrame:
     """Smallest id reachable from every id that has an edge: columns ``id``, ``component``.
 
-    Alternates large-star and small-star steps, each a shuffle of the edges; ids
-    are never collected.  Every step ends in a written table, so lost executors
-    cost one step at most.  Hot ids are safe: a step aggregates ``min`` before it
-    shuffles, and the join that follows may split skewed partitions.
+    Without ``roots``, the smallest ids themselves have no row.
+
+    Alternates large-star and small-star steps, each a shuffle of the edges, until
+    the edges are stars; ids are never collected.  Every step ends in a written
+    table, so lost executors cost one step at most.  Hot ids are safe: a step
+    aggregates ``min`` before it shuffles, and the join that follows may split
+    skewed partitions.
     """
-    now = keep(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
-    )
+    now = keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"), "edges")
+    settled = now.limit(1).count() == 0
     for _ in range(rounds):
+        if settled:
+            break
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: every larger neighbour hangs on the smallest one
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
         # small star: smaller neighbours and the node itself hang on the smallest
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
         after = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             small_least.select("u", F.col("m").alias("v"))
         )
-        after = keep(after.distinct(), "edges")
-        same = (
-            after.exceptAll(now).limit(1).count() == 0 and now.exceptAll(after).limit(1).count() == 0
-        )
-        now = after
-        if same:
-            break
-    else:
+        now = keep(after.distinct(), "edges")
+        settled = _are_stars(now)
+    if not settled:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = now.select(F.col("v").alias("u"), "v").distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+    members = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return members.union(now.select("v", "v").distinct()) if roots else members

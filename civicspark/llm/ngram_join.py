@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from civicspark.llm import wordhash as wh
 from civicspark.llm.common import (
-    bounded, connected_components, grouped_rows, input_bytes, keep, partition_blobs, parts_for, runs, unpack, with_schema,
+    BROADCAST_ROWS, bounded, connected_components, grouped_rows, input_bytes, keep, partition_blobs, parts_for, runs, unpack, with_schema,
 )
 
 #: Largest k of a k-prefix; powers of two up to a set's least overlap are weighed, and that overlap.
@@ -37,11 +37,13 @@ LEAST_SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_LOAD = 18, 23, 32
 #: Postings longer than this go through pivots instead of all pairs.
 LONG_POSTING = 48
 #: Turns of linking sets of long postings to pivots, and pivots of a set in each.
-PIVOT_TURNS, PIVOTS = 2, 3
+PIVOT_TURNS, PIVOTS = 1, 3
 #: Hubs of a block, and partners of a block that a task verifies.
 BLOCK_HUBS, BLOCK_ROWS = 48, 1_000
 #: Turns of verifying each set's best partner of what is still apart.
-BEST_TURNS = 2
+BEST_TURNS = 1
+#: Ends of pairs that may be broadcast with their hubs; more are shuffled.
+ASKED_ENDS = 100_000
 #: Rows of long postings that a task holds at once, and sets or postings of a block of them.
 GROUP_ROWS, BLOCK = 500_000, 256
 
@@ -246,8 +248,10 @@ def verify(
     if component is None:
         dealt = pairs.select(F.col("a").alias("hub"), "b", F.col("a").alias("block"))
     else:
-        sizes = component.groupBy("component").agg(F.count("*").alias("size"))
-        held = bounded(component.join(sizes, "component"))
+        sizes = component.groupBy("component").agg((F.count("*") + 1).alias("size"))
+        held = component.join(sizes, "component").select("id", "component", "size").union(sizes.select("component", "component", "size"))
+        if component.count() <= BROADCAST_ROWS // 2:  # roots are no more than members
+            held = F.broadcast(held)
         for end in ("a", "b"):
             pairs = pairs.join(held.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"), F.col("size").alias(f"s_{end}")), end, "left")
         turn = F.coalesce("s_b", F.lit(1)) > F.coalesce("s_a", F.lit(1))
@@ -261,19 +265,27 @@ def verify(
     hubs = dealt.select("block", F.explode("hubs").alias("set_id")).distinct().join(busy, "block").select(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), "set_id", F.lit(None).cast("array<long>").alias("hubs")
     )
-    asked = hubs.union(partners)
-    wanted = owner.join(dealt.select(F.explode("hubs").alias("set_id")).union(dealt.select("b")).distinct(), "set_id", "left_semi").select("set_id", F.col("id").alias("doc"))
-    wanted = bounded(keep(wanted, "wanted"))
+    asked, ends = hubs.union(partners), dealt.select(F.explode(F.array_append("hubs", F.col("b"))).alias("set_id"))
+    if (dealt.agg(F.sum(F.size("hubs") + 1)).first()[0] or 0) <= ASKED_ENDS:
+        asked, ends = F.broadcast(asked), F.broadcast(ends)
+        wanted = F.broadcast(owner.join(ends, "set_id", "left_semi").select("set_id", F.col("id").alias("doc")))
+    else:
+        wanted = owner.join(ends.distinct(), "set_id", "left_semi").select("set_id", F.col("id").alias("doc"))
+        wanted = bounded(keep(wanted, "wanted"))
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("string").alias(text))
 
     def sets(batches):
+        sent = set()
         for part, h, off in _sets(batches, text, width):
-            blobs = [h[off[i] : off[i + 1]].tobytes() for i in range(part.num_rows)]
-            yield {"set_id": part.column(part.schema.get_field_index("set_id")), "shingles": blobs}
+            # rows of one id may hold different texts, and repeated rows one text
+            asked_id, own_id = part.column(part.schema.get_field_index("set_id")).to_pylist(), _set_ids(h, off).view(np.int64).tolist()
+            fresh = {x: i for i, (x, own) in enumerate(zip(asked_id, own_id)) if x == own and x not in sent}
+            sent.update(fresh)
+            yield {"set_id": list(fresh), "shingles": [h[off[i] : off[i + 1]].tobytes() for i in fresh.values()]}
 
     sets_of = base.join(wanted, "doc").select("set_id", text).mapInArrow(
         with_schema(sets, pa.schema([("set_id", pa.int64()), ("shingles", pa.binary())])), "set_id long, shingles binary"
-    ).dropDuplicates(["set_id"])
+    )
 
     def meet(batches):
         now, held = None, {}
@@ -295,7 +307,7 @@ def verify(
                 yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
 
     return (
-        asked.join(sets_of, "set_id").withColumn("late", F.col("hubs").isNotNull())
+        sets_of.join(asked, "set_id").withColumn("late", F.col("hubs").isNotNull())
         .repartition("block", "slot").sortWithinPartitions("block", "slot", "late").select("block", "slot", "set_id", "hubs", "shingles")
         .mapInArrow(with_schema(meet, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long")
     )
@@ -403,17 +415,19 @@ def _star(rows: DataFrame, component: DataFrame, turn: int, num: int, den: int)
 
 
 def _joined(component: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components after more links; those there were are stars already."""
-    edges = links.select("a", "b")
-    if component is not None:
-        if not edges.limit(1).count():
-            return component
-        edges = edges.union(component.select(F.col("id").alias("a"), F.col("component").alias("b")))
-    return keep(connected_components(edges), "component")
+    """Components after more links: ``id`` and ``component``, of all but the ids that name a component."""
+    if component is None:
+        return keep(connected_components(links, roots=False), "component")
+    held = bounded(component)
+    for end in ("a", "b"):
+        links = links.join(held.select(F.col("id").alias(end), F.col("component").alias(f"component_{end}")), end, "left")
+    merged = connected_components(links.select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b")), roots=False)
+    moved = component.join(bounded(merged.select(F.col("id").alias("component"), F.col("component").alias("root"))), "component", "left")
+    return keep(moved.select("id", F.coalesce("root", "component").alias("component")).union(merged), "component")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
 
 
 def ngram_jaccard_join(
