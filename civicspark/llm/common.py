@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Ids that a broadcast join may hold; a side with more rows is shuffled.
 BROADCAST_ROWS = 2_000_000
+#: Counted rows of ids that are worth a task.
+TASK_ROWS = 20_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,6 +44,12 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has about ``rows`` rows, in no more tasks than TASK_ROWS asks for."""
+    tasks = rows // TASK_ROWS + 1
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of ``df``: the planner's estimate, which is file sizes for a scan, or else those of its strings, summed."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -120,7 +128,7 @@ def _are_stars(edges: DataFrame) -> bool:
     """Whether every ``u`` hangs on one ``v`` and no ``v`` hangs on anything."""
     ends = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")))
     ends = ends.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("rows"), F.count("v").alias("hung"))
-    return ends.where("low < high or (hung > 0 and rows > hung)").limit(1).count() == 0
+    return sized(ends, 2 * edges.count()).where("low < high or (hung > 0 and rows > hung)").limit(1).count() == 0
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40, roots: bool = True) -> DataFrame:
@@ -139,17 +147,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     for _ in range(rounds):
         if settled:
             break
+        rows = 2 * now.count()
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = sized(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), rows)
         # large star: every larger neighbour hangs on the smallest one
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: smaller neighbours and the node itself hang on the smallest
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_least = sized(large.groupBy("u").agg(F.min("v").alias("m")), rows)
         small = large.join(small_least, "u")
         after = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             small_least.select("u", F.col("m").alias("v"))
         )
-        now = keep(after.distinct(), "edges")
+        now = keep(sized(after.distinct(), rows), "edges")
         settled = _are_stars(now)
     if not settled:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

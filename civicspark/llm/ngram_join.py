@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from civicspark.llm import wordhash as wh
 from civicspark.llm.common import (
-    BROADCAST_ROWS, bounded, connected_components, grouped_rows, input_bytes, keep, partition_blobs, parts_for, runs, unpack, with_schema,
+    BROADCAST_ROWS, bounded, connected_components, grouped_rows, input_bytes, keep, partition_blobs, parts_for, runs, sized, unpack, with_schema,
 )
 
 #: Largest k of a k-prefix; powers of two up to a set's least overlap are weighed, and that overlap.
@@ -260,13 +260,14 @@ def verify(
         slice_of = F.pmod(F.xxhash64(hub), F.ceil(size / BLOCK_HUBS))
         dealt = pairs.select(hub.alias("hub"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.xxhash64(F.coalesce(home, hub), slice_of).alias("block"))
     dealt = keep(dealt.groupBy("block", "b").agg(F.collect_set("hub").alias("hubs")), "dealt")
-    busy = dealt.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("slots"))
+    busy = sized(dealt.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("slots")), dealt.count())
     partners = dealt.join(busy, "block").select("block", F.pmod(F.xxhash64("b"), F.col("slots")).alias("slot"), F.col("b").alias("set_id"), "hubs")
     hubs = dealt.select("block", F.explode("hubs").alias("set_id")).distinct().join(busy, "block").select(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), "set_id", F.lit(None).cast("array<long>").alias("hubs")
     )
     asked, ends = hubs.union(partners), dealt.select(F.explode(F.array_append("hubs", F.col("b"))).alias("set_id"))
-    if (dealt.agg(F.sum(F.size("hubs") + 1)).first()[0] or 0) <= ASKED_ENDS:
+    total = dealt.agg(F.sum(F.size("hubs") + 1)).first()[0] or 0
+    if total <= ASKED_ENDS:
         asked, ends = F.broadcast(asked), F.broadcast(ends)
         wanted = F.broadcast(owner.join(ends, "set_id", "left_semi").select("set_id", F.col("id").alias("doc")))
     else:
@@ -331,9 +332,9 @@ def _long_pairs(rows: DataFrame, component: DataFrame, spare: DataFrame, num: in
     rows = rows.join(bounded(component.withColumnRenamed("id", "a")), "a", "left").withColumn("component", F.coalesce("component", "a"))
     sizes = rows.groupBy("shingle", "component").count()
     open_ones = sizes.groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("components")).where("components > 1")
-    rows = rows.join(bounded(open_ones.select("shingle", F.col("top.component").alias("lead"))), "shingle")
+    rows = rows.join(bounded(keep(open_ones.select("shingle", F.col("top.component").alias("lead")), "open")), "shingle")
     total = rows.groupBy("a").agg(F.count("*").alias("postings")).join(spare, "a", "left").select("a", (F.col("postings") + F.coalesce("spare", F.lit(0))).alias("held"))
-    rows = rows.join(bounded(total), "a")
+    rows = rows.join(bounded(keep(total, "held")), "a")
 
     def pairs_of(doc, token, n, k, c, held, whole):
         """Pairs of one group of postings: shared postings are products of blocks of the sets' rows."""
@@ -409,7 +410,7 @@ def _star(rows: DataFrame, component: DataFrame, turn: int, num: int, den: int)
         F.max(F.struct("rows", F.xxhash64("component", F.lit(turn)).alias("h"), F.col("component").alias("main"), "head")).alias("top"), F.count("*").alias("components")
     ).where("components > 1").select("shingle", "top.main", "top.head.pivot", "top.head.pivot_n")
     near = F.least("n", "pivot_n") * den >= F.lit(num) * F.greatest("n", "pivot_n")
-    shared = rows.join(bounded(top), "shingle").where(near & (F.col("component") != F.col("main"))).groupBy("a", "pivot").count()
+    shared = rows.join(bounded(keep(top, "pivots")), "shingle").where(near & (F.col("component") != F.col("main"))).groupBy("a", "pivot").count()
     order = Window.partitionBy("a").orderBy(F.desc("count"), "pivot")
     return shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select("a", F.col("pivot").alias("b"))
 
