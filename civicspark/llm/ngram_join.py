@@ -442,7 +442,8 @@ def ngram_jaccard_join(
     text of fewer than ``width`` words is one shingle, an empty or null text has
     none and links with nothing.  Rows of equal sets (copies, repeated rows)
     form one class before anything is paired.  Rows of a null id get a null
-    component and link nothing.  Other columns of ``docs`` are not read.
+    component and link nothing; rows of one id with different texts are linked
+    by their own texts.  Other columns of ``docs`` are not read.
 
     Candidates are verified in waves.  The first takes each set's partner of most
     shared shingles and, in postings of more than LONG_POSTING sets, pivots as

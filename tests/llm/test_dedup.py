@@ -59,9 +59,10 @@ def components(rows):
     return {k: (len(sets[k]), find(k)) for k in sets}
 
 
-@pytest.mark.parametrize("long_posting", [48, 1])
-def test_join_equals_brute_force(spark, monkeypatch, long_posting):
+@pytest.mark.parametrize(("long_posting", "asked_ends"), [(48, 100_000), (1, 100_000), (1, 0)])
+def test_join_equals_brute_force(spark, monkeypatch, long_posting, asked_ends):
     monkeypatch.setattr(nj, "LONG_POSTING", long_posting)
+    monkeypatch.setattr(nj, "ASKED_ENDS", asked_ends)
     rows = corpus()
     found = nj.ngram_jaccard_join(spark.createDataFrame(rows, COLUMNS)).collect()
     assert len(found) == len(rows)
@@ -86,6 +87,15 @@ def test_join_of_a_large_group_of_near_copies(spark):
     assert found == {k: c for k, (_, c) in components(rows).items()}
 
 
+def test_join_of_an_id_with_two_texts(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(7, one), (7, two), (3, f"{two} more"), (9, f"{one} more")]
+    found = {(r.doc_id, r.n_shingles): r.component_id for r in nj.ngram_jaccard_join(spark.createDataFrame(rows[:1] + rows[2:], "doc_id long, text string")).collect()}
+    assert found == {(7, 36): 7, (3, 37): 3, (9, 37): 7}
+    found = nj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (7, 3), (7, 7), (9, 7)]
+
+
 def test_join_of_nothing(spark):
     assert nj.ngram_jaccard_join(spark.createDataFrame([], COLUMNS)).count() == 0
     kept = nj.keep_one_per_component(spark.createDataFrame([(2, "a b", "", 0), (1, "A b", "", 0), (3, None, "", 0)], COLUMNS))
