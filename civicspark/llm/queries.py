@@ -149,8 +149,8 @@ FROM t
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents whose word bigrams have a Dice coefficient of 0.8 or more with a license notice."""
-    found = license_scan(_table(spark, sf_dir, "documents"), least_dice=0.8)
+    """Lines and passages of documents whose word bigrams have a Dice coefficient of 0.8 or more with a license notice or text."""
+    found = license_scan(_table(spark, sf_dir, "documents"), least_dice=0.8, passages=True)
     return found.select("doc_id", "line_no", "license_id", "dice")
 
 

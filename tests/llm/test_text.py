@@ -103,6 +103,55 @@ def test_license_lines(spark):
     assert lc.license_scan(docs.limit(0)).count() == 0
 
 
+def test_license_passages(spark):
+    full = {r.license_id: r.text for r in lc.full_texts(spark).collect()}
+    wrapped = "\n".join(full["MIT"].split(". "))
+    docs = spark.createDataFrame([
+        (1, "x = 1\n" + wrapped + "\ny = 2"), (2, "# Copyright 2020 X. All rights reserved."),
+        (3, '// Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance'),
+        (4, "/* This work is licensed under the GNU General\n * Public License, version 2. */"), (5, full["BSD-2-Clause"]), (6, full["BSD-3-Clause"]),
+        (7, "a\nreleased under the mit LICENSE today\nb"), (8, "All rights reserved, and all\nrights reserved."), (9, "Licensed\nunder\nCC\nBY\n4.0"), (10, "nothing of the kind"), (None, None),
+        (11, full["Apache-2.0"]),
+    ], "doc_id long, text string")
+    found = sorted((r.doc_id, r.line_no, r.license_id) for r in lc.license_scan(docs, passages=True).collect())
+    assert found == [
+        (1, 1, "MIT"), (2, 0, "all-rights-reserved"), (3, 0, "Apache-2.0"), (4, 0, "GPL-2.0"), (5, 0, "BSD-2-Clause"), (6, 0, "BSD-3-Clause"), (7, 1, "MIT"),
+        (8, 0, "all-rights-reserved"), (8, 0, "all-rights-reserved"), (9, 0, "CC-BY-4.0"), (11, 1, "Apache-2.0"),
+    ]
+
+
+def test_license_passages_brute_force(spark):
+    import random
+
+    pick = random.Random(3)
+    templates = [("A", "a b c d e"), ("B", "c d e f g h a"), ("C", "b a")]
+    texts = [" ".join(pick.choice("abcdefghxy") if pick.random() < 0.5 else pick.choice([t for _, t in templates]) for _ in range(12)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    grams = lambda w: {p for p in zip(w, w[1:])}
+    found = {}
+    for r in lc.license_scan(docs, spark.createDataFrame(templates, "license_id string, text string"), passages=True).collect():
+        found.setdefault(r.doc_id, []).append((r.license_id, r.line, r.dice))
+    for number, body in enumerate(texts):
+        w, spans = body.split(), []
+        for k, (name, template) in enumerate(templates):
+            t = template.split()
+            for x in range(len(w)):
+                ends = []
+                for y in range(x + 1, min(len(w), x + 1 + int((len(t) - 1) * 1.5))):
+                    g, h = grams(w[x : y + 1]), grams(t)
+                    if (w[x], w[x + 1]) in h and (w[y - 1], w[y]) in h and 2 * len(g & h) / (len(g) + len(h)) >= 0.8:
+                        ends.append((-2 * len(g & h) / (len(g) + len(h)), y, len(g & h)))
+                if ends:
+                    dice, y, both = min(ends)
+                    spans.append((both * dice, x, y, dice, k))
+        want, taken = [], set()
+        for _, x, y, dice, k in sorted(spans):
+            if not taken & set(range(x, y + 1)):
+                taken |= set(range(x, y + 1))
+                want.append((templates[k][0], " ".join(w[x : y + 1]), -dice))
+        assert sorted(found.get(number, [])) == sorted(want)
+
+
 def test_mixing_meets_targets(spark):
     rows = [(k, " ".join(["der die das"] if k % 4 == 0 else ["the of and"]) + f" extra{k % 7}" * (k % 9 + 1), "r") for k in range(200)]
     docs = spark.createDataFrame(rows + [(None, "the of and", ""), (500, None, ""), (501, "", ""), rows[0]], "doc_id long, text string, rate string")
