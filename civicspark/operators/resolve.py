@@ -31,28 +31,47 @@ def acronym(name: Column) -> Column:
     return F.array_join(F.transform(tokens(name), lambda x: F.substring(x, 1, 1)), "")
 
 
+def _words(name: Column) -> Column:
+    return F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda x: x != "")
+
+
 def block_keys(name: Column) -> Column:
-    """Keys under which a name is compared: its first letters, its acronym and its longest word."""
+    """Keys under which a name is compared: its first letters, its first, last and longest word, and its acronym."""
     longest = F.array_max(F.transform(tokens(name), lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))
-    return F.array_distinct(F.array(F.concat(F.lit("p:"), F.substring(F.lower(name), 1, 6)), F.concat(F.lit("a:"), acronym(name)), F.concat(F.lit("w:"), longest["w"])))
+    keys = F.array(
+        F.concat(F.lit("p:"), F.substring(F.lower(name), 1, 6)), F.concat(F.lit("a:"), F.nullif(acronym(name), F.lit(""))), F.concat(F.lit("w:"), longest["w"]),
+        F.concat(F.lit("f:"), F.try_element_at(_words(name), F.lit(1))), F.concat(F.lit("l:"), F.try_element_at(_words(name), F.lit(-1))),
+    )
+    return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
 
 
 def similar_pairs(entities: DataFrame, id_col: str, name_col: str, least: float = 0.85, largest_block: int = 2_000) -> DataFrame:
     """Pairs of ids in a common block with similarity of at least ``least``.
 
-    Keys are exploded, so the join is an equi-join.  Blocks of more than
-    ``largest_block`` names are refined by the name's tokens, which any pair of
-    such similarity shares.
+    Blocks are those of :func:`block_keys`, and for each name all names that hold
+    its every token: it is joined by its rarest token.  Keys are exploded, so the
+    join is an equi-join.  In blocks of more than ``largest_block`` names one side
+    is dealt into slices and each is joined with all of the other, so every pair
+    of a block is scored whatever its size.
     """
-    keyed = entities.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.explode(block_keys(F.col(name_col))).alias("key"))
-    big = keyed.groupBy("key").count().where(F.col("count") > largest_block).select("key", F.lit(True).alias("big"))
-    keyed = keyed.join(big, "key", "left")
-    refined = keyed.withColumn("key", F.explode(F.when(F.col("big"), F.transform(tokens(F.col("name")), lambda t: F.concat_ws("|", F.col("key"), t))).otherwise(F.array("key"))))
-    other = refined.select("key", F.col("id").alias("other"), F.col("name").alias("other_name"))
-    pairs = refined.join(other, "key").where("id < other").dropDuplicates(["id", "other"])
+    named = entities.select(F.col(id_col).alias("id"), F.col(name_col).alias("name")).where("id is not null and name is not null")
+    plain = named.select("id", "name", F.explode(block_keys(F.col("name"))).alias("key"))
+    held = named.select("id", "name", F.explode(tokens(F.col("name"))).alias("token"))
+    counts = held.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = held.join(counts, "token").groupBy("id", "name").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    subset = lambda df: df.select("id", "name", F.concat(F.lit("s:"), "token").alias("key"))
+    left, right = plain.unionByName(subset(rarest)), plain.unionByName(subset(held))
+    slices = left.groupBy("key").agg(F.ceil(F.count("*") / largest_block).cast("int").alias("slices")).where("slices > 1")
+    left = left.join(slices, "key", "left").select("id", "name", "key", F.pmod(F.xxhash64("id"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"))
+    right = right.join(slices, "key", "left").select(
+        F.col("id").alias("other"), F.col("name").alias("other_name"), "key", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)).alias("slice")
+    )
     a, b = tokens(F.col("name")), tokens(F.col("other_name"))
-    score = F.greatest(jaccard(a, b), F.when(same_sorted(a, b), 1.0).otherwise(0.0), contained(F.lower("name"), F.lower("other_name")))
-    return pairs.select("id", "other", F.round(score, 4).alias("score")).where(F.col("score") >= least)
+    equal = same_sorted(a, b) & (F.size(a) > 0)
+    score = F.round(F.greatest(jaccard(a, b), F.when(equal, 1.0).otherwise(0.0), contained(F.lower("name"), F.lower("other_name"))), 4)
+    # a subset is met on one side only, so pairs are ordered after the join
+    pairs = left.join(right, ["key", "slice"]).where("id <> other").withColumn("score", score).where(F.col("score") >= least)
+    return pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "score").groupBy("id", "other").agg(F.max("score").alias("score"))
 
 
 def merge_map(groups: DataFrame, group: str, id_col: str, mentions: str) -> DataFrame:

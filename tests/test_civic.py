@@ -117,6 +117,34 @@ def test_resolution(spark):
         assert found >= {(1, 2), (3, 4)} or found >= {(3, 4)}
 
 
+def _similarity(a, b):
+    import re
+
+    x, y = ([w for w in re.split("[^a-z0-9]+", n.lower()) if w] for n in (a, b))
+    jaccard = len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 0.0
+    one, two = sorted((a.lower(), b.lower()), key=len)
+    contained = 0.85 if one in two and len(one) > 0.25 * len(two) else 0.0
+    longest = lambda w: max(w, key=lambda v: (len(v), v))
+    block = a.lower()[:6] == b.lower()[:6] or bool(x and y) and (
+        x[0] == y[0] or x[-1] == y[-1] or set(x) <= set(y) or set(y) <= set(x) or longest(x) == longest(y) or [w[0] for w in dict.fromkeys(x)] == [w[0] for w in dict.fromkeys(y)]
+    )
+    return max(jaccard, contained) if block else 0.0
+
+
+NAMES = [
+    "Johnson", "Johnsons", "Vertical Bridge", "Annmarie Beckett, Vertical Bridge/Clear Blue Services", "Clear Blue Services", "Школьная", "Школьная №", "Smith John", "john  smith",
+    "Acme Holdings", "Acme Holdings Inc", "Big Acme Holdings Inc", "Johnson Ranch", "The Johnson Ranch", "Ranch", "A", "", "Blue",
+]
+
+
+@pytest.mark.parametrize("block", [2_000, 3, 1])
+def test_similar_pairs_brute_force(spark, block):
+    names = spark.createDataFrame(list(enumerate(NAMES)) + [(99, None)], "id long, name string")
+    found = {(r.id, r.other) for r in R.similar_pairs(names, "id", "name", largest_block=block).collect()}
+    assert found == {(i, j) for j, b in enumerate(NAMES) for i, a in enumerate(NAMES[:j]) if round(_similarity(a, b), 4) >= 0.85}
+    assert {(0, 1), (2, 3), (5, 6), (7, 8)} <= found
+
+
 def test_stream_equals_table(spark, tmp_path):
     events = spark.read.parquet(f"{PATH}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).where("user_id < 5")
     events.write.parquet(str(tmp_path / "in"))
