@@ -74,6 +74,27 @@ def similar_pairs(entities: DataFrame, id_col: str, name_col: str, least: float
     return pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "score").groupBy("id", "other").agg(F.max("score").alias("score"))
 
 
+def merge_variations(entities: DataFrame, id_col: str, name_col: str, mentions: str, least: float = 0.85, largest_block: int = 2_000) -> DataFrame:
+    """(victim, survivor) of names that are similar, directly or through others.
+
+    Names of equal tokens, or else of equal lower case, form one class, which is
+    compared once; classes are joined by connected components.
+    """
+    from civicspark.llm.common import connected_components
+
+    words = F.array_join(F.array_sort(tokens(F.col(name_col))), " ")
+    rows = entities.where(F.col(id_col).isNotNull() & F.col(name_col).isNotNull())
+    rows = rows.select(id_col, mentions, F.col(name_col).alias("__name"), F.coalesce(F.nullif(words, F.lit("")), F.concat(F.lit("="), F.lower(name_col))).alias("__class"))
+    # spellings of one class may be contained in different names, so each is compared
+    spelled = rows.groupBy("__class", F.lower("__name").alias("__name")).agg(F.min(id_col).alias("__id"))
+    head = spelled.groupBy("__class").agg(F.min("__id").alias("__head"))
+    edges = similar_pairs(spelled, "__id", "__name", least, largest_block).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    edges = edges.union(spelled.join(head, "__class").where("__id <> __head").select(F.col("__id").alias("a"), F.col("__head").alias("b")))
+    found = connected_components(edges).select(F.col("id").alias("__head"), F.col("component").alias("__group"))
+    grouped = rows.join(head, "__class").join(found, "__head", "left").withColumn("__group", F.coalesce("__group", "__head"))
+    return merge_map(grouped, "__group", id_col, mentions)
+
+
 def merge_map(groups: DataFrame, group: str, id_col: str, mentions: str) -> DataFrame:
     """(victim, survivor) within each group: most mentions survive, ties to the smaller id."""
     best = groups.groupBy(group).agg(F.max_by(F.col(id_col), F.struct(F.col(mentions), -F.col(id_col))).alias("survivor"))

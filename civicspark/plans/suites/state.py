@@ -119,6 +119,14 @@ def e14(t):
     return R.similar_pairs(t.part.where("p_partkey <= 120"), "p_partkey", "p_type", 0.95)
 
 
+@query("e14_merge")
+def e14_merge(t):
+    """Merge map of name variations over the whole table: the most ordered part survives."""
+    counts = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    rows = t.part.join(counts, "p_partkey", "left").select("p_partkey", "p_type", F.coalesce("n", F.lit(0)).alias("mentions"))
+    return R.merge_variations(rows, "p_partkey", "p_type", "mentions")
+
+
 @query("e15", """WITH m AS (SELECT c_mktsegment AS block, c_custkey AS id, count(o_orderkey) AS mentions FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
 b AS (SELECT block, arg_max(id, mentions * 1000000 - id) AS survivor FROM m GROUP BY 1) SELECT m.id AS victim, b.survivor FROM m JOIN b USING (block) WHERE m.id <> b.survivor""")
 def e15(t):

@@ -145,6 +145,23 @@ def test_similar_pairs_brute_force(spark, block):
     assert {(0, 1), (2, 3), (5, 6), (7, 8)} <= found
 
 
+def test_merge_variations_brute_force(spark):
+    names = [n for n in NAMES if n] + ["Smith, John", "Blue", "acme holdings", "Lone Name"]
+    table = spark.createDataFrame([(i, n, i * 7 % 5) for i, n in enumerate(names)], "id long, name string, mentions long")
+    group = list(range(len(names)))
+    for j, b in enumerate(names):
+        for i, a in enumerate(names[:j]):
+            if _similarity(a, b) >= 0.85 and group[i] != group[j]:
+                group = [group[i] if g == group[j] else g for g in group]
+    want = set()
+    for g in set(group):
+        ids = [i for i in range(len(names)) if group[i] == g]
+        best = max(ids, key=lambda i: (i * 7 % 5, -i))
+        want |= {(i, best) for i in ids if i != best}
+    for block in (2_000, 2):
+        assert {(r.victim, r.survivor) for r in R.merge_variations(table, "id", "name", "mentions", largest_block=block).collect()} == want
+
+
 def test_stream_equals_table(spark, tmp_path):
     events = spark.read.parquet(f"{PATH}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).where("user_id < 5")
     events.write.parquet(str(tmp_path / "in"))
