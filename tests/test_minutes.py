@@ -28,6 +28,24 @@ def test_minutes(spark):
     assert X.events(docs, "id", "body", {"approve": "approval", "deny": "denial"}).count() == 2
 
 
+def test_adjacent_events(spark):
+    import re
+
+    verbs = {"denied": "denial", "filed": "filing", "carried": "approval"}
+    texts = [
+        "Z-101 was denied; Z-202 was filed", "Denied, denied and FILED.\nThe motion for CASE 12345 carried", "unfiled", "", "filed" + " x" * 200 + "\n denied PLN1234", "é" * 80 + " carried filed",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "id long, body string")
+    case = re.compile(r"Z[-/\s]?\d{3,6}|PLN\d{4,6}|CASE\s*\d{4,9}", re.I)
+    want = []
+    for i, body in enumerate(texts):
+        for k, m in enumerate(re.finditer(r"\b(?:denied|filed|carried)\b", body, re.I)):
+            near = case.search(body[max(0, m.start() - 100) : m.end() + 200])
+            column = m.start() - body.rfind("\n", 0, m.start()) - 1
+            want.append((i, k, m[0].lower(), verbs[m[0].lower()], body[max(0, m.start() - 60) : m.end() + 60], m.start(), near and near[0].replace(" ", "").upper(), 0.9 if column < 15 else 0.7))
+    assert sorted(map(str, rows(X.events(docs, "id", "body", verbs)))) == sorted(map(str, want)) and len(want) == 10
+
+
 def test_names(spark):
     frame = spark.createDataFrame([("Vice Chair  John Q. O'Neil, Member",), ("The Honorable Ann Lee",), ("Acme & Sons, L.L.C.",), (None,)], "x string")
     assert [r[0] for r in frame.select(N.person_key(F.col("x"))).collect()][:2] == ["john q o'neil", "ann lee"]
