@@ -95,6 +95,13 @@ def j21(t):
     return a.join(b, "c_number").where("id1 < id2 and body1 <> body2").select("id1", "id2")
 
 
+@query("j21_bodies", "SELECT DISTINCT c_number, body FROM agenda_item_votes WHERE body IS NOT NULL AND c_number IN (SELECT c_number FROM agenda_item_votes GROUP BY 1 HAVING count(DISTINCT body) > 1)")
+def j21_bodies(t):
+    """Bodies of every case that several bodies share."""
+    rows = t.agenda_item_votes.where("c_number is not null and body is not null").select("c_number", "body").distinct()
+    return rows.join(rows.groupBy("c_number").count().where("count > 1").select("c_number"), "c_number", "left_semi")
+
+
 @query("a3", "SELECT agenda_item_vote_id, sum(CASE WHEN raw_vote = 'Aye' THEN 1 ELSE 0 END)::BIGINT AS yes_votes, sum(CASE WHEN raw_vote = ' Nay ' THEN 1 ELSE 0 END)::BIGINT AS no_votes FROM member_votes GROUP BY 1")
 def a3(t):
     """Conditional sums."""
@@ -290,6 +297,13 @@ def u6(t):
     return events.unionByName(meetings, allowMissingColumns=True)
 
 
+@query("u6_all", "SELECT 'event' AS kind, event_id AS id, CAST(NULL AS STRING) AS title FROM events UNION ALL SELECT 'meeting', meeting_id, title FROM meetings")
+def u6_all(t):
+    """All rows of different shapes together."""
+    events = t.events.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"))
+    return events.unionByName(t.meetings.select(F.lit("meeting").alias("kind"), F.col("meeting_id").alias("id"), "title"), allowMissingColumns=True)
+
+
 @query("u7", "SELECT 'entity' AS scope, id FROM entities WHERE name ILIKE '%00042%' UNION ALL SELECT 'person', id FROM persons WHERE name ILIKE '%00042%'")
 def u7(t):
     """One search over several tables."""

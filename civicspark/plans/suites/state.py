@@ -79,6 +79,13 @@ def i9(t):
     return trending(t.page_views.where("article_id < 5"), "article_id", "viewed_at")
 
 
+@query("i9_all", """SELECT w AS window_start, w + INTERVAL 24 HOUR AS window_end, article_id, count(*) AS views FROM (
+  SELECT article_id, unnest(generate_series(date_trunc('hour', viewed_at) - INTERVAL 23 HOUR, date_trunc('hour', viewed_at), INTERVAL 1 HOUR)) AS w FROM page_views) x GROUP BY 1, 2, 3""")
+def i9_all(t):
+    """Views of all articles in sliding windows of a day."""
+    return trending(t.page_views, "article_id", "viewed_at")
+
+
 @query("x3", """WITH t AS (SELECT id, word FROM (SELECT id, unnest(regexp_split_to_array(lower(text_content), '[^a-z0-9]+')) AS word FROM supporting_documents) x),
 g AS (SELECT id, count(*) FILTER (WHERE word = 'the') AS a, count(*) FILTER (WHERE word = 'with') AS b, count(*) FILTER (WHERE word = 'les') AS n FROM t GROUP BY 1)
 SELECT id, round((0.4 * a + 0.4 * b) / (0.4 * a + 0.4 * b + 1), 6)::DOUBLE AS rank FROM g WHERE a > 0 AND b > 0 AND n = 0""")

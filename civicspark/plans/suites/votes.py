@@ -219,6 +219,12 @@ def v18_matrix(t):
     return wide.select("member_id", *[F.col(f"`{k}`").alias(f"m{k}") for k in range(1, 6)])
 
 
+@query("v18_pairs", f"WITH {_TALLY}, {_ACTIVE}, {_PAIRS} SELECT member_id, other_member_id, round(100.0 * same_votes / total_comparable_votes, 1)::DOUBLE AS pct FROM g")
+def v18_pairs(t):
+    """Alignment of all members as rows of the matrix."""
+    return V.pairwise_alignment(V.normalized(t.member_votes), t.meeting_members).select("member_id", "other_member_id", F.col("overall_alignment_pct").alias("pct"))
+
+
 @query("v19", f"WITH {_TALLY} SELECT agenda_item_vote_id, majority FROM t")
 def v19(t):
     """Majority position of every item."""
