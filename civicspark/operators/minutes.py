@@ -85,7 +85,50 @@ def sample_by_stratum(df: DataFrame, strata: list[str], id_col: str, each: int)
     return df.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= each).drop("__place")
 
 
-def split_80_10_10(df: DataFrame, id_col: str):
-    """A column ``fold``: train, val or test by a hash of the id."""
-    bucket = F.crc32(F.col(id_col).cast("string").cast("binary")) % 10
-    return df.withColumn("fold", F.when(bucket < 8, "train").when(bucket == 8, "val").otherwise("test"))
+def sample_quotas(counts: dict, target: int, most: int, weights: dict | None = None, other: float = 0.02) -> dict:
+    """Rows to take of each group for a total of ``target``: by weight, at least one, at most ``most``; what is left goes to the largest groups."""
+    weight = {g: (weights or {}).get(g, other) for g in counts}
+    total = sum(weight.values())
+    quota = {g: min(max(1, int(target * weight[g] / total)), n, most) for g, n in counts.items()}
+    left = target - sum(quota.values())
+    for g in sorted(counts, key=lambda g: (quota[g] - counts[g], str(g))):
+        take = max(0, min(left, counts[g] - quota[g], most - quota[g]))
+        quota[g], left = quota[g] + take, left - take
+    return quota
+
+
+def sample_by_quota(df: DataFrame, group: str, strata: list[str], id_col: str, target: int, most: int, weights: dict | None = None) -> DataFrame:
+    """About ``target`` rows by the quotas of the groups: one row of each stratum first, then others by a hash of the id.  Groups are few."""
+    from pyspark.sql.window import Window
+
+    quota = sample_quotas({r[0]: r[1] for r in df.groupBy(group).count().collect()}, target, most, weights)
+    kinds = df.schema[group].dataType.simpleString()
+    wanted = df.sparkSession.createDataFrame(list(quota.items()), f"__group {kinds}, __quota long")
+    h = F.xxhash64(id_col)
+    placed = df.withColumn("__place", F.row_number().over(Window.partitionBy(group, *strata).orderBy(h, id_col))).where(F.col("__place") <= most)
+    order = Window.partitionBy(group).orderBy(F.col("__place") > 1, *[F.when(F.col("__place") == 1, F.col(c)) for c in strata], h, id_col)
+    ranked = placed.withColumn("__rank", F.row_number().over(order)).join(F.broadcast(wanted), F.col(group).eqNullSafe(F.col("__group")))
+    return ranked.where("__rank <= __quota").drop("__place", "__rank", "__group", "__quota")
+
+
+def split_80_10_10(df: DataFrame, id_col: str, strata: list[str] | tuple = (), buckets: int = 1024):
+    """A column ``fold``: of each stratum's rows, in the order of a hash of the id, floor(0.8 n) are train, floor(0.1 n) val and the rest test.
+
+    Rows are ranked within buckets of the hash, behind the rows of the buckets
+    before, so no task has to hold a stratum.
+    """
+    from pyspark.sql.window import Window
+
+    names = [f"__s{i}" for i in range(len(strata))]
+    rows = df.select("*", *[F.col(c).alias(n) for c, n in zip(strata, names)], F.xxhash64(id_col).alias("__h")).withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
+    sizes = rows.groupBy(*names, "__bucket").agg(F.count("*").alias("__n"))
+    of = Window.partitionBy(*names)
+    before = F.coalesce(F.sum("__n").over(of.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*[F.col(n).alias(f"{n}_") for n in names], F.col("__bucket").alias("__bucket_"), before.alias("__before"), F.sum("__n").over(of).alias("__total"))
+    match = F.col("__bucket") == F.col("__bucket_")
+    for n in names:
+        match = match & F.col(n).eqNullSafe(F.col(f"{n}_"))
+    place = F.row_number().over(Window.partitionBy(*names, "__bucket").orderBy("__h", id_col)) + F.col("__before")
+    train, val = F.floor(F.col("__total") * 8 / 10), F.floor(F.col("__total") / 10)
+    fold = F.when(F.col("__place") <= train, "train").when(F.col("__place") <= train + val, "val").otherwise("test")
+    return rows.join(sizes, match).withColumn("__place", place).select(*df.columns, fold.alias("fold"))

@@ -165,3 +165,10 @@ def d16(t):
 def i7(t):
     """Rows beyond a high-water mark."""
     return t.documents.agg(F.count_if(F.col("doc_id") > 100).alias("pending"), F.count("*").alias("docs"))
+
+
+@query("m5_folds", """WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
+SELECT * FROM (SELECT user_id, 'train' AS fold, n * 8 // 10 AS rows FROM n UNION ALL SELECT user_id, 'val', n // 10 FROM n UNION ALL SELECT user_id, 'test', n - n * 8 // 10 - n // 10 FROM n) x WHERE rows > 0""")
+def m5_folds(t):
+    """Rows of every stratum and fold of the 80/10/10 split."""
+    return X.split_80_10_10(t.events, "event_id", ["user_id"]).groupBy("user_id", "fold").agg(F.count("*").alias("rows"))

@@ -62,3 +62,17 @@ def test_samples(spark):
     assert sample.groupBy("s").count().where("count <> 5").count() == 0 and rows(sample) == rows(X.sample_by_stratum(frame.repartition(7), ["s"], "id", 5))
     folds = {r.fold: r["count"] for r in X.split_80_10_10(frame, "id").groupBy("fold").count().collect()}
     assert sum(folds.values()) == 1000 and 700 < folds["train"] < 900
+
+
+def test_strata_and_quotas(spark):
+    sizes = {None: 7, "a": 1, "b": 10, "c": 505}
+    frame = spark.createDataFrame([(f"{s}{i}", s) for s, n in sizes.items() for i in range(n)], "id string, s string")
+    split = X.split_80_10_10(frame, "id", ["s"], 8)
+    found = {(r.s, r.fold): r["count"] for r in split.groupBy("s", "fold").count().collect()}
+    want = {(s, f): k for s, n in sizes.items() for f, k in (("train", n * 8 // 10), ("val", n // 10), ("test", n - n * 8 // 10 - n // 10)) if k}
+    assert found == want and split.select("id").distinct().count() == 523 and rows(split.select("id", "fold")) == rows(X.split_80_10_10(frame.repartition(5), "id", ["s"], 8).select("id", "fold"))
+    assert X.sample_quotas({"a": 1, "b": 10, "c": 505}, 60, 40) == {"a": 1, "b": 10, "c": 40} and X.sample_quotas({"a": 100, "c": 505}, 60, 40, {"c": 0.5}) == {"a": 20, "c": 40}
+    frame = frame.withColumn("k", F.length("id"))
+    sample = X.sample_by_quota(frame, "s", ["k"], "id", 30, 20)
+    assert {r.s: r["count"] for r in sample.groupBy("s").count().collect()} == X.sample_quotas(sizes, 30, 20)
+    assert sample.where("s = 'c'").select("k").distinct().count() == 3
