@@ -40,6 +40,8 @@ _MARKS = frozenset(
     " popup promo promoted promotion recommended related remark replies reply respond share sharing sidebar sidebars skip social sponsor sponsored"
     " subscribe subscription tags toolbar topbar widget widgets alert login signup search".split()
 )
+#: Such words before or after a mark tell a page's state.
+_STATE_BEGINS, _STATE_ENDS = frozenset("has no with without".split()), frozenset("open opened closed collapsed expanded active enabled disabled visible".split())
 _HEAD_MARKS = frozenset({"header", "head"})
 _ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar form".split())
 #: An open element of the first kind ends where one of the second begins, up to one of the third.
@@ -75,7 +77,10 @@ def _marks(attrs: str) -> frozenset:
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            found.update(re.split(r"[^a-z0-9]+", value))
+            for word in value.split():
+                parts = [x for x in re.split(r"[^a-z0-9]+", word) if x]
+                if not (len(parts) > 1 and (parts[0] in _STATE_BEGINS or parts[-1] in _STATE_ENDS)):  # has-sidebar, nav-open
+                    found.update(parts)
         elif name == "role" and value in _ROLES:
             found.add("widget")
     return frozenset(found)
@@ -175,11 +180,61 @@ def _boilerplate(node: Node) -> bool:
     return bool(node.marks & _MARKS)
 
 
+def _own_points(node: Node) -> float:
+    """Points of an element's own text, less by its share of links; call it before :func:`_score`."""
+    if node.tag in _HEADINGS:
+        return 0.0
+    return sum(1 + p.count(",") + p.count("、") + p.count("，") + min(len(p) / 100, 3) for p in node.parts if isinstance(p, str)) * (1 - _density(node))
+
+
+class _Page:
+    """What a page's subtrees hold, to tell a marked wrapper of the article from boilerplate."""
+
+    def __init__(self, root: Node) -> None:
+        nodes, stack = [], [root]
+        while stack:  # parents first, in page order
+            n = stack.pop()
+            nodes.append(n)
+            stack.extend(p for p in reversed(n.parts) if isinstance(p, Node) and p.tag not in _DROPPED)
+        place = {id(n): i for i, n in enumerate(nodes)}
+        self.points, self.heading = [_own_points(n) for n in nodes], [n.tag == "h1" for n in nodes]
+        self.end = list(range(1, len(nodes) + 1))
+        for i in range(len(nodes) - 1, 0, -1):
+            up = place[id(nodes[i].parent)]
+            self.points[up] += self.points[i]
+            self.heading[up] |= self.heading[i]
+            self.end[up] = max(self.end[up], self.end[i])
+        found = [i for i, n in enumerate(nodes) if n.tag in ("article", "main") and self.points[i] > 0]
+        # unmarked articles lead, else any
+        self.leads = [i for i in found if not nodes[i].marks & _MARKS] or found
+        self.place = place
+
+    def holds_article(self, node: Node) -> bool:
+        """Whether an element has the page's best article, or without articles its heading or most of its points."""
+        i = self.place.get(id(node))
+        if i is None or not self.points[i]:
+            return False
+        inside = max((self.points[k] for k in self.leads if i <= k < self.end[i]), default=0.0)
+        outside = max((self.points[k] for k in self.leads if not i <= k < self.end[i] and not k < i < self.end[k]), default=0.0)
+        if inside or outside:
+            return inside > 0 and inside >= outside
+        return self.heading[i] or self.points[i] > self.points[0] / 2
+
+
 def _prune(node: Node) -> None:
-    stack = [node]
+    page, stack = None, [node]
     while stack:
         n = stack.pop()
-        n.parts = [p for p in n.parts if isinstance(p, str) or not _boilerplate(p)]
+        kept = []
+        for p in n.parts:
+            if not isinstance(p, str) and _boilerplate(p):
+                if p.tag in _DROPPED or p.tag == "header" or not p.marks & _MARKS:
+                    continue
+                page = page or _Page(node)
+                if not page.holds_article(p):
+                    continue
+            kept.append(p)
+        n.parts = kept
         stack.extend(p for p in n.parts if isinstance(p, Node))
 
 

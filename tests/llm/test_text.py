@@ -199,3 +199,17 @@ def test_extraction_keeps_rows(spark):
     found = hx.extract_main_text(pages).collect()
     assert sorted(r.page_id for r in found) == [1, 2, 2, 3] and all(r.n_chars == len(r.text) for r in found)
     assert hx.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_marked_wrappers_keep_the_article():
+    from civicspark.llm.html_extract import main_text
+
+    body = "<p>First paragraph, long enough to count, with commas, and words.</p><p>Second paragraph, also long enough, with some more words in it.</p>"
+    want = "First paragraph, long enough to count, with commas, and words."
+    for wrapper in ("<div class='layout has-sidebar'>%s</div>", "<div class='content no-sidebar'>%s</div>", "<article class='post tags-x'>%s</article>", "<div id='page' class='nav-open'>%s</div>",
+                    "<div class='widget'><article>%s</article></div>", "<div class='search'>%s</div>"):
+        text = main_text("<html><body>" + wrapper % body + "<div class='ad'><p>Buy now, cheap.</p></div></body></html>")
+        assert want in text and "Second" in text and "Buy now" not in text, wrapper
+    teasers = "<div class='related'><article><p>Another story, in short.</p></article></div><div class='comments'><article class='comment'><p>I agree, fully.</p></article></div>"
+    text = main_text("<html><body><article>" + body + "</article>" + teasers + "<div class='sidebar'><p>Aside, of the page.</p></div></body></html>")
+    assert want in text and not any(x in text for x in ("Another", "agree", "Aside"))
