@@ -76,13 +76,13 @@ class MultiIndex:
         rows = np.repeat(counts / self.blocks, self.blocks)
         self.group = (np.cumsum(rows) // GROUP_ROWS).astype(np.int64)
 
-    def visit(self, query: np.ndarray, share: float) -> list[int]:
-        """Non-empty cells in the order of summed inner products of their centroids, until they hold ``share`` of the rows."""
+    def visit(self, query: np.ndarray, share: float, least: int = 0) -> list[int]:
+        """Non-empty cells in the order of summed inner products of their centroids, until they hold ``share`` of the rows and ``least`` rows."""
         half = self.dim // 2
         a, b = self.first @ query[:half], self.second @ query[half:]
         one, two = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
         a, b = a[one], b[two]
-        n, wanted, got, out = len(b), share * self.counts.sum(), 0, []
+        n, wanted, got, out = len(b), max(share * self.counts.sum(), least), 0, []
         heap, depth = [(-(a[0] + b[0]), 0, 0)], np.zeros(len(a), np.int64)
         while heap and got < wanted:
             _, i, j = heapq.heappop(heap)
@@ -160,11 +160,13 @@ def nearest(
 
     kinds = pa.schema([("id", pa.int64()), ("cell", pa.int32()), ("v", pa.binary())])
     pick = lambda df: df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
-    entries = keep(pick(vectors).mapInArrow(with_schema(coded, kinds), "id long, cell int, v binary"), "entries")
+    entries = keep(pick(vectors).mapInArrow(with_schema(coded, kinds), "id long, cell int, v binary").dropDuplicates(), "entries")
     counts = np.zeros(len(index.first) * len(index.second), np.int64)
     for row in entries.groupBy("cell").count().collect():  # at most CENTROIDS ** 2 rows
         counts[row["cell"]] = row["count"]
     index.arrange(counts)
+    # a query's own id takes no part, whatever vectors it has
+    own_rows = entries.groupBy("id").count().agg(F.max("count")).first()[0] or 0
     placed = spark.sparkContext.broadcast(index)
 
     def entry_rows(batches):
@@ -180,7 +182,7 @@ def nearest(
         for batch in batches:
             at, rows = matrix(batch.column(1), held.dim)
             for number, v in zip(batch.column(0).take(pa.array(at)).to_pylist(), rows):
-                cells = np.array(held.visit(v, share), np.int32)
+                cells = np.array(held.visit(v, share, k + own_rows), np.int32)
                 # every group that holds a block of a cell gets the query with its cells there
                 count = held.blocks[cells]
                 block = np.repeat(held.start[cells], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)

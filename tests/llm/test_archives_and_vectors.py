@@ -102,6 +102,16 @@ def test_recall_of_the_index(spark):
     assert sum(r.vec_id in best[r.query_id] for r in found) / (20 * len(best)) >= 0.9
 
 
+def test_few_vectors_are_all_found(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(24, 8)))]
+    rows += [rows[0]] * 200 + [(0, v.tolist()) for v in rng.normal(size=(9, 8))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = im.nearest(table, table.where("vec_id < 5").dropDuplicates(["vec_id"]), k=20).collect()
+    for q in range(5):
+        assert sorted(r["rank"] for r in found if r.query_id == q) == list(range(1, 21))
+
+
 def test_few_or_no_vectors(spark):
     shape = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], shape)
