@@ -34,18 +34,18 @@ MAX_MATCHES = 60_000
 VERIFY_COST = 2.0
 #: Counters of the frequency sketch: about one for SKETCH_LOAD words, within these bounds.
 LEAST_SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_LOAD = 18, 23, 32
-#: Postings longer than this go through pivots instead of all pairs.
-LONG_POSTING = 48
-#: Turns of linking sets of long postings to pivots, and pivots of a set in each.
-PIVOT_TURNS, PIVOTS = 2, 3
+#: Turns of linking sets of open postings to pivots, and pivots of a set in each.
+PIVOT_TURNS, PIVOTS = 1, 3
 #: Hubs of a block, and partners of a block that a task verifies.
 BLOCK_HUBS, BLOCK_ROWS = 48, 1_000
 #: Turns of verifying each set's best partner of what is still apart.
 BEST_TURNS = 1
 #: Ends of pairs that may be broadcast with their hubs; more are shuffled.
 ASKED_ENDS = 100_000
-#: Rows of long postings that a task holds at once, and sets or postings of a block of them.
-GROUP_ROWS, BLOCK = 500_000, 256
+#: Sets of a block of a lead, sets of a group whose postings are paired one by one, and shingles of such groups held at once.
+BLOCK_SETS, SMALL_GROUP, GROUP_ROWS = 256, 48, 500_000
+#: Sets or shingles of a block of a product.
+BLOCK = 256
 
 _ROW = [np.uint64, np.uint64, np.uint32, np.uint16]  # shingle, set id, set size, k
 
@@ -158,26 +158,33 @@ def _summed(a, b, need):
     return a[first], b[first], need[first], np.diff(np.r_[first, len(a)])
 
 
-def _pairs(token, doc, n, k, num, den):
-    """(smaller, larger, needed, shared) of short postings, and which rows are of long ones.
+def _posting_starts(token: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
 
-    The rows come sorted by shingle and set id, without repeats.
+
+def _neighbours(token, doc, n, k, num, den):
+    """Two partners at most of every row: (smaller, larger, needed, shared), first of next sizes, then of pivots.
+
+    The rows come sorted by shingle, size and set id, without repeats.  One
+    partner is the row before in that order, the other is the posting's pivot,
+    the set of largest hash.  A pair is named once for a posting, so the counts
+    never exceed what the two sets share.
     """
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[starts, len(token)])
-    out = []
-    for c in np.unique(count[(count > 1) & (count <= LONG_POSTING)]):
-        at = starts[count == c]
-        i, j = np.triu_indices(c, 1)
-        a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-        need, fits = _needed(n[a], n[b], k[a], k[b], num, den)
-        out.append((doc[a][fits], doc[b][fits], need[fits]))
-    return _summed(*(np.concatenate(x) for x in zip(*out))) if out else None, np.repeat(count > LONG_POSTING, count)
+    row = np.arange(len(token))
+    starts = _posting_starts(token)
+    run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(token)]))
+    mixed = wh.mix(doc.view(np.uint64))
+    pivot = np.flatnonzero(mixed == np.maximum.reduceat(mixed, starts)[run])[run] if len(row) else row
+    for at, other in ((row[1:], row[:-1]), (row[np.abs(row - pivot) > 1], pivot[np.abs(row - pivot) > 1])):
+        need, fits = _needed(n[at], n[other], k[at], k[other], num, den)
+        fits &= token[at] == token[other]
+        x, y = doc[at[fits]], doc[other[fits]]
+        yield _summed(np.minimum(x, y), np.maximum(x, y), need[fits])
 
 
 def candidate_rows(docs: DataFrame, text: str, id_col: str, width: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """Pairs of set ids from short postings (``shingle`` null), how many shingles of a set are in such
-    postings (``b`` null too), and the rows of long postings.
+    """Rows of postings that sets of near sizes share (``b`` null), and the pairs of :func:`_neighbours` with
+    how many shingles they share there at least, ``star`` of them through a pivot (``shingle`` null).
 
     Prefix rows travel as packed arrays, once for each task and set, so a set
     that many documents share costs one row a task.
@@ -207,27 +214,22 @@ def candidate_rows(docs: DataFrame, text: str, id_col: str, width: int, num: int
         for (_,), held in grouped_rows(batches, ["part"]):
             columns = [unpack(x, _ROW) for batch in held for x in batch.column(1).to_pylist()]
             token, doc, n, k = (np.concatenate(x) for x in zip(*columns))
-            order = np.lexsort((doc, token))
-            token, doc = token[order], doc[order]
+            n, k, doc = n.astype(np.int64), k.astype(np.int64), doc.view(np.int64)
+            order = np.lexsort((doc, n, token))
+            token, doc, n, k = token[order], doc[order], n[order], k[order]
             fresh = np.r_[True, (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])]
-            token, doc, order = token[fresh], doc[fresh], order[fresh]
-            n, k, doc = n[order].astype(np.int64), k[order].astype(np.int64), doc.view(np.int64)
-            pairs, long = _pairs(token, doc, n, k, num, den)
-            if pairs is not None:
-                none = pa.nulls(len(pairs[0]), pa.int64())
-                yield dict(zip(["a", "b", "need", "shared"], pairs)) | {"shingle": none, "n": none, "k": none}
-                again = np.r_[False, token[1:] == token[:-1]]
-                again |= np.r_[again[1:], False]
-                of, count = np.unique(doc[again & ~long], return_counts=True)
-                none = pa.nulls(len(of), pa.int64())
-                yield {"a": of, "b": none, "need": none, "shared": count, "shingle": none, "n": none, "k": none}
-            if long.any():
-                none = pa.nulls(int(long.sum()), pa.int64())
-                yield {"a": doc[long], "b": none, "need": none, "shared": none, "shingle": token[long].view(np.int64), "n": n[long], "k": k[long]}
+            token, doc, n, k = (x[fresh] for x in (token, doc, n, k))
+            near = np.r_[False, (token[1:] == token[:-1]) & (n[:-1] * den >= num * n[1:]), False]
+            token, doc, n, k = (x[near[1:] | near[:-1]] for x in (token, doc, n, k))
+            for star, (a, b, need, shared) in enumerate(_neighbours(token, doc, n, k, num, den)):
+                none = pa.nulls(len(a), pa.int64())
+                yield {"a": a, "b": b, "need": need, "shared": shared, "star": shared * star, "shingle": none, "n": none, "k": none}
+            none = pa.nulls(len(doc), pa.int64())
+            yield {"a": doc, "b": none, "need": none, "shared": none, "star": none, "shingle": token.view(np.int64), "n": n, "k": k}
 
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(text).cast("string").alias(text))
     sent = base.mapInArrow(with_schema(send, pa.schema([("part", pa.int32()), ("rows", pa.binary())])), "part int, rows binary")
-    names = ["a", "b", "need", "shared", "shingle", "n", "k"]
+    names = ["a", "b", "need", "shared", "star", "shingle", "n", "k"]
     return (
         sent.repartition(max(1, parts // 4), "part").sortWithinPartitions("part")
         .mapInArrow(with_schema(meet, pa.schema([(x, pa.int64()) for x in names])), ", ".join(f"{x} long" for x in names))
@@ -322,99 +324,147 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).drop("component_a", "component_b")
 
 
-def _long_pairs(rows: DataFrame, component: DataFrame, spare: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs across components of long postings, with the prefix shingles they need and share there.
-
-    Postings are gathered by the component that has most of them.  A pair is
-    passed on if what it shares there, with all that its sets have in other
-    postings (``spare`` counts the short ones), can reach what it needs.
+def _open_rows(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """Rows, with their components, of postings that two or more components share, and each posting's ``lead``,
+    the component that has most of it, written.
     """
     rows = rows.join(bounded(component.withColumnRenamed("id", "a")), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    sizes = rows.groupBy("shingle", "component").count()
-    open_ones = sizes.groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("components")).where("components > 1")
-    rows = rows.join(bounded(keep(open_ones.select("shingle", F.col("top.component").alias("lead")), "open")), "shingle")
-    total = rows.groupBy("a").agg(F.count("*").alias("postings")).join(spare, "a", "left").select("a", (F.col("postings") + F.coalesce("spare", F.lit(0))).alias("held"))
-    rows = rows.join(bounded(keep(total, "held")), "a")
-
-    def pairs_of(doc, token, n, k, c, held, whole):
-        """Pairs of one group of postings: shared postings are products of blocks of the sets' rows."""
-        ids, first, doc = np.unique(doc, return_index=True, return_inverse=True)
-        _, token = np.unique(token, return_inverse=True)
-        by_size = np.argsort(n[first], kind="stable")
-        place = np.empty(len(ids), np.int64)
-        place[by_size] = np.arange(len(ids))
-        ids, first = ids[by_size], first[by_size]
-        n, k, c, held = n[first], k[first], c[first], held[first]
-        row = place[doc]
-        order = np.argsort(row, kind="stable")
-        row, token = row[order], token[order]
-        at = np.searchsorted(row, np.arange(len(ids) + 1))
-        elsewhere = held - np.diff(at)
-        for low in range(0, len(ids), BLOCK):
-            high = min(low + BLOCK, len(ids))
-            # only sizes within the threshold of this block's
-            stop = int(np.searchsorted(n * num, n[high - 1] * den, "right"))
-            r, x = row[at[low] : at[stop]] - low, token[at[low] : at[stop]]
-            shared = np.zeros((high - low, stop - low), np.float32)
-            for t in range(0, int(token.max()) + 1, BLOCK):
-                inside = (x >= t) & (x < t + BLOCK)
-                has = np.zeros((stop - low, BLOCK), np.float32)
-                has[r[inside], x[inside] - t] = 1
-                shared += has[: high - low] @ has.T
-            i, j = np.nonzero(shared)
-            count = shared[i, j].astype(np.int64)
-            i, j = i + low, j + low
-            need, fits = _needed(n[i], n[j], k[i], k[j], num, den)
-            fits &= (i < j) & (c[i] != c[j])
-            if whole:
-                fits &= count + np.minimum(elsewhere[i], elsewhere[j]) >= need
-            i, j = i[fits], j[fits]
-            if len(i):
-                yield {"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "need": need[fits], "shared": count[fits]}
+    sizes = rows.groupBy("shingle", "component").agg(F.count("*").alias("count"), F.min("k").alias("k"))
+    shared = sizes.groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("top"), F.min("k").alias("low"), F.count("*").alias("components"))
+    shared = keep(shared.where("components > 1").select("shingle", F.col("top.component").alias("lead"), "low"), "shared")
+    return keep(rows.join(bounded(shared), "shingle"), "open")
 
-    def meet(batches):
-        lead, parts, size, whole = None, [], 0, True
-
-        def gathered():
-            table = pa.Table.from_batches(parts)
-            return (table.column(x).to_numpy() for x in ("a", "shingle", "n", "k", "component", "held"))
-
-        for (main, _), more in grouped_rows(batches, ["lead", "shingle"]):
-            if parts and (main != lead or size > GROUP_ROWS):
-                whole &= main != lead  # a group too large to hold is taken in pieces, and all its pairs are passed on
-                yield from pairs_of(*gathered(), whole)
-                parts, size = [], 0
-            if main != lead:
-                lead, whole = main, True
-            parts += more
-            size += sum(x.num_rows for x in more)
-        if parts:
-            yield from pairs_of(*gathered(), whole)
-
-    names = ["a", "b", "need", "shared"]
-    return rows.select("lead", "shingle", "a", "n", "k", "component", "held").repartition("lead").sortWithinPartitions("lead", "shingle").mapInArrow(
-        with_schema(meet, pa.schema([(x, pa.int64()) for x in names])), ", ".join(f"{x} long" for x in names)
-    )
 
-
-def _star(rows: DataFrame, component: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Pairs of sets with pivots: in every long posting, one set of the component that has most of it.
+def _star(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Pairs of sets with pivots: in every open posting, one set of its lead.
 
     Which one changes with the turn.  A set gets at most PIVOTS pivots, those it
     shares most postings with, so the pairs are as many as the sets.
     """
-    rows = rows.join(bounded(component.withColumnRenamed("id", "a")), "a", "left").withColumn("component", F.coalesce("component", "a"))
     head = F.max(F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("pivot"), F.col("n").alias("pivot_n"))).alias("head")
-    of_component = rows.groupBy("shingle", "component").agg(F.count("*").alias("rows"), head)
-    top = of_component.groupBy("shingle").agg(
-        F.max(F.struct("rows", F.xxhash64("component", F.lit(turn)).alias("h"), F.col("component").alias("main"), "head")).alias("top"), F.count("*").alias("components")
-    ).where("components > 1").select("shingle", "top.main", "top.head.pivot", "top.head.pivot_n")
+    pivots = rows.where("component = lead").groupBy("shingle").agg(head).select("shingle", "head.pivot", "head.pivot_n")
     near = F.least("n", "pivot_n") * den >= F.lit(num) * F.greatest("n", "pivot_n")
-    shared = rows.join(bounded(keep(top, "pivots")), "shingle").where(near & (F.col("component") != F.col("main"))).groupBy("a", "pivot").count()
+    shared = rows.where("component <> lead").join(bounded(keep(pivots, "pivots")), "shingle").where(near).groupBy("a", "pivot").count()
     order = Window.partitionBy("a").orderBy(F.desc("count"), "pivot")
     return shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select("a", F.col("pivot").alias("b"))
 
 
+def _products(sets: dict[str, np.ndarray], row: np.ndarray, token: np.ndarray, num: int, den: int):
+    """Pairs of the sets of a group, by products of blocks of sets with blocks of shingles.
+
+    row and token: which set has which shingle, in any order.  Only pairs across
+    components and, in a group of two blocks, across them count.
+    """
+    by_size = np.argsort(sets["n"], kind="stable")
+    place = np.empty(len(by_size), np.int64)
+    place[by_size] = np.arange(len(by_size))
+    ids, n, k, c, held, block = (sets[x][by_size] for x in ("a", "n", "k", "component", "held", "block"))
+    two = sets["first"][0] != sets["second"][0]
+    row = place[row]
+    order = np.argsort(row, kind="stable")
+    row, token = row[order], np.unique(token, return_inverse=True)[1][order]
+    at = np.searchsorted(row, np.arange(len(ids) + 1))
+    elsewhere = held - np.diff(at)
+    for low in range(0, len(ids), BLOCK):
+        high = min(low + BLOCK, len(ids))
+        # only sizes within the threshold of this block's
+        stop = int(np.searchsorted(n * num, n[high - 1] * den, "right"))
+        r, x = row[at[low] : at[stop]] - low, token[at[low] : at[stop]]
+        shared = np.zeros((high - low, stop - low), np.float32)
+        for t in range(0, int(token.max()) + 1, BLOCK):
+            inside = (x >= t) & (x < t + BLOCK)
+            has = np.zeros((stop - low, BLOCK), np.float32)
+            has[r[inside], x[inside] - t] = 1
+            shared += has[: high - low] @ has.T
+        i, j = np.nonzero(shared)
+        count = shared[i, j].astype(np.int64)
+        i, j = i + low, j + low
+        need, fits = _needed(n[i], n[j], k[i], k[j], num, den)
+        fits &= (i < j) & (c[i] != c[j]) & (count + np.minimum(elsewhere[i], elsewhere[j]) >= need)
+        if two:
+            fits &= block[i] != block[j]
+        i, j = i[fits], j[fits]
+        yield np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), need[fits], count[fits]
+
+
+def _each_pair(sets: dict[str, np.ndarray], row: np.ndarray, token: np.ndarray, group: np.ndarray, num: int, den: int):
+    """Pairs of the sets of many small groups: those of every posting of a group, summed."""
+    order = np.lexsort((row, token, group[row]))
+    row, token = row[order], token[order]
+    of = group[row]
+    starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (of[1:] != of[:-1])])
+    count = np.diff(np.r_[starts, len(token)])
+    out = []
+    for c in np.unique(count[count > 1]):
+        at = starts[count == c]
+        i, j = np.triu_indices(c, 1)
+        out.append((row[(at[:, None] + i).ravel()], row[(at[:, None] + j).ravel()]))
+    if not out:
+        return
+    i, j = (np.concatenate(x) for x in zip(*out))
+    across = (sets["component"][i] != sets["component"][j]) & ((sets["first"] == sets["second"])[i] | (sets["block"][i] != sets["block"][j]))
+    i, j = i[across], j[across]
+    need, fits = _needed(sets["n"][i], sets["n"][j], sets["k"][i], sets["k"][j], num, den)
+    i, j, need, shared = _summed(i[fits], j[fits], need[fits])
+    elsewhere = sets["held"] - np.bincount(row, minlength=len(sets["a"]))
+    fits = shared + np.minimum(elsewhere[i], elsewhere[j]) >= need
+    a, b = sets["a"][i[fits]], sets["a"][j[fits]]
+    yield np.minimum(a, b), np.maximum(a, b), need[fits], shared[fits]
+
+
+def _open_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs across components of open postings, with the prefix shingles they need and share.
+
+    Postings are gathered by their lead, and a set has one row for each lead,
+    with all its shingles there.  A lead of many sets is dealt over several tasks,
+    each with two blocks of its sets.  A pair is passed on if what it shares
+    there, with all that its sets have elsewhere, can reach what it needs.
+    """
+    total = rows.groupBy("a").agg(F.count("*").alias("held"), F.min(F.least("k", "low")).alias("least")).where("held >= least")
+    packed = rows.groupBy("lead", "a").agg(F.collect_list("shingle").alias("shingles"), *(F.first(x).alias(x) for x in ("n", "k", "component")))
+    packed = keep(packed.join(bounded(keep(total.select("a", "held"), "held")), "a"), "packed")
+    large = packed.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("blocks")).where("blocks > 1")
+    dealt = packed.join(bounded(keep(large, "large")), "lead", "left").withColumn("block", F.pmod(F.xxhash64("a"), F.coalesce("blocks", F.lit(1))))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))
+    dealt = dealt.select("*", other.alias("other")).withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
+
+    small_group, group_rows = SMALL_GROUP, GROUP_ROWS
+
+    def meet(batches):
+        names = ("a", "n", "k", "component", "held", "block", "first", "second")
+        small, size = [], 0
+
+        def arrays(tables):
+            table = pa.Table.from_batches([x for held in tables for x in held])
+            lists = table.column("shingles").combine_chunks()
+            counts = np.repeat(np.arange(table.num_rows), lists.value_lengths().to_numpy())
+            group = np.repeat(np.arange(len(tables)), [sum(x.num_rows for x in held) for held in tables])
+            return {x: table.column(x).to_numpy() for x in names}, counts, lists.flatten().to_numpy(), group
+
+        def pairs(found):
+            for a, b, need, shared in found:
+                yield {"a": a, "b": b, "need": need, "shared": shared}
+
+        for _, held in grouped_rows(batches, ["lead", "first", "second"]):
+            sets = sum(x.num_rows for x in held)
+            if sets > small_group:
+                own, row, token, _ = arrays([held])
+                yield from pairs(_products(own, row, token, num, den))
+                continue
+            small.append(held)
+            size += sum(len(x.column(x.schema.get_field_index("shingles")).flatten()) for x in held)
+            if size > group_rows:
+                yield from pairs(_each_pair(*arrays(small), num, den))
+                small, size = [], 0
+        if small:
+            yield from pairs(_each_pair(*arrays(small), num, den))
+
+    names = ["a", "b", "need", "shared"]
+    return dealt.select("lead", "first", "second", "block", "a", "n", "k", "component", "held", "shingles").repartition("lead", "first", "second").sortWithinPartitions(
+        "lead", "first", "second"
+    ).mapInArrow(with_schema(meet, pa.schema([(x, pa.int64()) for x in names])), ", ".join(f"{x} long" for x in names))
+
+
 def _joined(component: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components after more links: ``id`` and ``component``, of all but the ids that name a component."""
     if component is None:
@@ -445,11 +495,11 @@ def ngram_jaccard_join(
     component and link nothing; rows of one id with different texts are linked
     by their own texts.  Other columns of ``docs`` are not read.
 
-    Candidates are verified in waves.  The first takes each set's partner of most
-    shared shingles and, in postings of more than LONG_POSTING sets, pivots as
-    everyone's partners; a few more turns take other pivots for what they left
-    apart.  The last wave takes every pair whose ends then still lie in
-    different components.  So a large group of near copies costs rows in
+    Candidates are verified in waves.  In the first, a row of a posting has two
+    partners at most, the row of next size and the posting's pivot, and a set
+    takes the best of each kind.  The next wave takes pivots of the components
+    that this left apart.  The last wave takes every pair whose ends then still
+    lie in different components.  So a large group of near copies costs rows in
     proportion to its size, and no link between components is lost.
     """
     g = math.gcd(*threshold)
@@ -457,28 +507,20 @@ def ngram_jaccard_join(
     profile, sketch = shingle_profile(docs, text, id_col, width)
     owner = keep(profile.where("n > 0 and id is not null").groupBy("set_id", "n").agg(F.min("id").alias("id")), "owner")
     found = keep(candidate_rows(docs, text, id_col, width, num, den, sketch), "candidates")
-    counted = found.where("shingle is null and b is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
-    short = keep(counted, "short")
-    strong = short.where("shared >= need")
-    spare = found.where("shingle is null and b is null").groupBy("a").agg(F.sum("shared").alias("spare"))
-    long_rows = found.where("shingle is not null").select("a", "shingle", "n", "k")
     args = (docs, owner, text, id_col, width, num, den)
-    ends = strong.select("a", "b", "shared").union(strong.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    wave = ends.groupBy("a").agg(F.max(F.struct("shared", F.col("b").alias("b"))).alias("best")).select("a", "best.b")
-    has_long = long_rows.limit(1).count() > 0
-    component = owner.select(F.col("set_id").alias("id"), F.col("set_id").alias("component"))
-    links = None
-    for turn in range(PIVOT_TURNS if has_long else 1):
-        if has_long:
-            star = _star(long_rows, component, turn, num, den)
-            wave = star if links is not None else wave.union(star)
-        new = keep(verify(_ordered(wave), *args), "links")
-        component = _joined(component if links is not None else None, new)
-        links = new
-    rest = _apart(short, component)
-    if has_long:
-        rest = rest.unionByName(_long_pairs(long_rows, component, spare, num, den))
-        rest = rest.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
+    rows = found.where("b is null").select("a", "shingle", "n", "k")
+    strong = found.where("b is not null").groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"), F.sum("star").alias("star")).where("shared >= need")
+    ends = keep(strong.select("a", "b", "shared", "star").union(strong.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "star")), "ends")
+    best = ends.groupBy("a").agg(F.max(F.struct("shared", F.col("b").alias("b"))).alias("best"))
+    pivot = ends.where("star > 0").groupBy("a").agg(F.max(F.struct("star", F.col("b").alias("b"))).alias("best"))
+    new = keep(verify(_ordered(best.union(pivot).select("a", "best.b")).distinct(), *args), "links")
+    component = _joined(None, new)
+    for turn in range(PIVOT_TURNS):
+        rows = _open_rows(rows.select("a", "shingle", "n", "k"), component)
+        new = keep(verify(_ordered(_star(rows, turn, num, den)).distinct(), *args, component), "links")
+        component = _joined(component, new)
+    rows = _open_rows(rows.select("a", "shingle", "n", "k"), component)
+    rest = _open_pairs(rows, num, den).groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
     rest = keep(rest.where("shared >= need").select("a", "b", (F.col("shared") - F.col("need")).alias("more")), "rest")
     for turn in range(BEST_TURNS):
         if turn:

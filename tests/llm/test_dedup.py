@@ -59,9 +59,10 @@ def components(rows):
     return {k: (len(sets[k]), find(k)) for k in sets}
 
 
-@pytest.mark.parametrize(("long_posting", "asked_ends"), [(48, 100_000), (1, 100_000), (1, 0)])
-def test_join_equals_brute_force(spark, monkeypatch, long_posting, asked_ends):
-    monkeypatch.setattr(nj, "LONG_POSTING", long_posting)
+@pytest.mark.parametrize(("small_group", "block_sets", "asked_ends"), [(48, 256, 100_000), (0, 5, 100_000), (1000, 5, 0)])
+def test_join_equals_brute_force(spark, monkeypatch, small_group, block_sets, asked_ends):
+    monkeypatch.setattr(nj, "SMALL_GROUP", small_group)
+    monkeypatch.setattr(nj, "BLOCK_SETS", block_sets)
     monkeypatch.setattr(nj, "ASKED_ENDS", asked_ends)
     rows = corpus()
     found = nj.ngram_jaccard_join(spark.createDataFrame(rows, COLUMNS)).collect()
@@ -74,6 +75,33 @@ def test_join_equals_brute_force(spark, monkeypatch, long_posting, asked_ends):
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
+def open_rows(rng, sets=70, tokens=60):
+    """Rows of open postings of random sets, and the pairs across components that reach what they need."""
+    held = {a: (rng.randint(30, 45), rng.choice([1, 2, 4]), a % 9, set(rng.sample(range(tokens), rng.randint(1, 14)))) for a in range(sets)}
+    lead = {t: rng.randrange(9) for t in range(tokens)}
+    rows = [(a, t, n, k, c, lead[t], 1) for a, (n, k, c, own) in held.items() for t in own]
+    want = {}
+    for a, (na, ka, ca, x) in held.items():
+        for b, (nb, kb, cb, y) in held.items():
+            need = max(min(ka, kb), -(-3 * (na + nb) // 7) - max(0, -(-3 * na // 4) - ka, -(-3 * nb // 4) - kb))
+            if a < b and ca != cb and 4 * min(na, nb) >= 3 * max(na, nb) and len(x & y) >= need:
+                want[a, b] = len(x & y)
+    return rows, want
+
+
+@pytest.mark.parametrize(("small_group", "block_sets", "group_rows"), [(48, 256, 500_000), (48, 256, 5), (0, 256, 5), (0, 7, 5), (1000, 7, 20)])
+def test_open_pairs_equal_brute_force(spark, monkeypatch, small_group, block_sets, group_rows):
+    for name, value in (("SMALL_GROUP", small_group), ("BLOCK_SETS", block_sets), ("GROUP_ROWS", group_rows)):
+        monkeypatch.setattr(nj, name, value)
+    rows, want = open_rows(random.Random(block_sets))
+    found = nj._open_pairs(spark.createDataFrame(rows, "a long, shingle long, n long, k long, component long, lead long, low long"), 3, 4)
+    shared = {}
+    for r in found.collect():
+        shared[r.a, r.b] = shared.get((r.a, r.b), 0) + r.shared
+        assert r.a < r.b
+    assert want.items() <= shared.items()
+
+
 def test_join_of_a_large_group_of_near_copies(spark):
     rng = random.Random(1)
     base = [f"b{k}" for k in range(60)]
