@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -33,9 +34,13 @@ _RAW = frozenset("script style textarea title noscript iframe template svg xmp".
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("head nav footer aside form button select menu dialog fieldset object canvas video audio".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Dropped elements that may be wrapped round a whole page.
+_WRAPPERS = frozenset({"form"})
+#: Ancestors that a paragraph passes points to.
+LEVELS = 6
 #: Words of a class or id that mark what is not the article.
 _MARKS = frozenset(
-    "ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs byline-share comment commentlist comments consent cookie cookies"
+    "ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies"
     " disclaimer disqus dropdown footer gdpr hidden masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination"
     " popup promo promoted promotion recommended related remark replies reply respond share sharing sidebar sidebars skip social sponsor sponsored"
     " subscribe subscription tags toolbar topbar widget widgets alert login signup search".split()
@@ -63,14 +68,6 @@ class Node:
     chars: int = 0
     linked: int = 0
 
-    def inside(self, tags) -> bool:
-        node = self.parent
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
-
 
 def _marks(attrs: str) -> frozenset:
     found = set()
@@ -89,6 +86,7 @@ def _marks(attrs: str) -> frozenset:
 def _tree(page: str) -> Node:
     """The blocks of a page; end tags that are left out are implied, and unknown ones ignored."""
     root = now = Node("html", frozenset())
+    opened: Counter = Counter()  # open elements or more by name, so that an end tag without one is known at once
     run: list[tuple[str, bool]] = []
     at, links = 0, 0
 
@@ -125,10 +123,12 @@ def _tree(page: str) -> Node:
             if name == "a":
                 links = max(0, links - 1)
             elif name in _BLOCKS:
-                node = now
+                node = now if opened[name] else root
                 while node is not root and node.tag != name:
+                    opened[node.tag] -= 1
                     node = node.parent
                 if node is not root:
+                    opened[name] -= 1
                     close_to(node)
                     links = 0 if node.tag != "p" else links
                 else:
@@ -148,6 +148,7 @@ def _tree(page: str) -> Node:
             node = now
             if name != "p" or now.tag == "p":
                 while node is not root and node.tag == "p":
+                    opened["p"] -= 1
                     now, node = node.parent, node.parent
             if name in _CLOSES:
                 ends, limit = _CLOSES[name]
@@ -155,27 +156,29 @@ def _tree(page: str) -> Node:
                 while node is not root and node.tag not in limit:
                     last = node if node.tag in ends else last
                     node = node.parent
-                if last is not None:
-                    now = last.parent
+                while last is not None and now is not last.parent:
+                    opened[now.tag] -= 1
+                    now = now.parent
             if name in ("body", "html"):
                 continue
             child = Node(name, _marks(m["attrs"]), now)
             now.parts.append(child)
             if name not in _VOID and not m["attrs"].rstrip().endswith("/"):
                 now = child
+                opened[name] += 1
                 links = 0
     flush()
     return root
 
 
-def _boilerplate(node: Node) -> bool:
-    """Whether an element is by its tag, class or role not part of an article."""
+def _boilerplate(node: Node, inside: bool) -> bool:
+    """Whether an element, inside an article or main element or not, is by its tag, class or role not part of an article."""
     if node.tag in ("html", "main"):
         return False
     if node.tag in _DROPPED:
         return True
     if node.tag == "header" or (node.marks & _HEAD_MARKS and node.tag != "article"):
-        if not (node.inside({"article", "main"}) and any(isinstance(p, Node) and (p.tag in _HEADINGS or p.tag == "hgroup") for p in node.parts)):
+        if not (inside and any(isinstance(p, Node) and (p.tag in _HEADINGS or p.tag == "hgroup") for p in node.parts)):
             return node.tag == "header" or not any(isinstance(p, Node) and p.tag in ("p", "article", "section") for p in node.parts)
     return bool(node.marks & _MARKS)
 
@@ -195,7 +198,7 @@ class _Page:
         while stack:  # parents first, in page order
             n = stack.pop()
             nodes.append(n)
-            stack.extend(p for p in reversed(n.parts) if isinstance(p, Node) and p.tag not in _DROPPED)
+            stack.extend(p for p in reversed(n.parts) if isinstance(p, Node) and p.tag not in _DROPPED - _WRAPPERS)
         place = {id(n): i for i, n in enumerate(nodes)}
         self.points, self.heading = [_own_points(n) for n in nodes], [n.tag == "h1" for n in nodes]
         self.end = list(range(1, len(nodes) + 1))
@@ -205,8 +208,8 @@ class _Page:
             self.heading[up] |= self.heading[i]
             self.end[up] = max(self.end[up], self.end[i])
         found = [i for i, n in enumerate(nodes) if n.tag in ("article", "main") and self.points[i] > 0]
-        # unmarked articles lead, else any
-        self.leads = [i for i in found if not nodes[i].marks & _MARKS] or found
+        # unmarked articles lead, else any; those of most points first
+        self.leads = sorted([i for i in found if not nodes[i].marks & _MARKS] or found, key=lambda i: -self.points[i])
         self.place = place
 
     def holds_article(self, node: Node) -> bool:
@@ -214,28 +217,36 @@ class _Page:
         i = self.place.get(id(node))
         if i is None or not self.points[i]:
             return False
-        inside = max((self.points[k] for k in self.leads if i <= k < self.end[i]), default=0.0)
-        outside = max((self.points[k] for k in self.leads if not i <= k < self.end[i] and not k < i < self.end[k]), default=0.0)
-        if inside or outside:
-            return inside > 0 and inside >= outside
-        return self.heading[i] or self.points[i] > self.points[0] / 2
+        most = None
+        for k in self.leads:
+            if k < i < self.end[k]:  # the element lies in it
+                continue
+            if most is not None and self.points[k] < most:
+                break
+            most = self.points[k]
+            if i <= k < self.end[i]:
+                return True
+        if most is not None:
+            return False
+        return self.heading[i] and node.tag not in _WRAPPERS or self.points[i] > self.points[0] / 2
 
 
 def _prune(node: Node) -> None:
-    page, stack = None, [node]
+    page, stack = None, [(node, False)]
     while stack:
-        n = stack.pop()
+        n, inside = stack.pop()
+        inside |= n.tag in ("article", "main")
         kept = []
         for p in n.parts:
-            if not isinstance(p, str) and _boilerplate(p):
-                if p.tag in _DROPPED or p.tag == "header" or not p.marks & _MARKS:
+            if not isinstance(p, str) and _boilerplate(p, inside):
+                if p.tag not in _WRAPPERS and (p.tag in _DROPPED or p.tag == "header" or not p.marks & _MARKS):
                     continue
                 page = page or _Page(node)
                 if not page.holds_article(p):
                     continue
             kept.append(p)
         n.parts = kept
-        stack.extend(p for p in n.parts if isinstance(p, Node))
+        stack.extend((p, inside) for p in n.parts if isinstance(p, Node))
 
 
 def _walk(node: Node) -> list[Node]:
@@ -263,7 +274,7 @@ def _score(root: Node) -> list[Node]:
         points = sum(1 + p.count(",") + p.count("、") + p.count("，") + min(len(p) / 100, 3) for p in own)
         up, share = (n if n.tag not in ("p", "li", "td", "pre", "blockquote", "dd", "dt") else n.parent), 1.0
         level = 0
-        while up is not None:
+        while up is not None and level < LEVELS:
             up.points += points * share
             level += 1
             share = 0.5 if level == 1 else 1 / (3 * level)
@@ -286,6 +297,20 @@ def _blocks(node: Node, out: list[str]) -> None:
         stack.extend(reversed(n.parts))
 
 
+def _with_siblings(best: Node) -> list[Node]:
+    """The best container and its siblings that score well, with what has few links between them and headings before them."""
+    if best.parent is None:
+        return [best]
+    least = max(3.0, 0.2 * best.points)
+    around = [p for p in best.parent.parts if isinstance(p, Node)]
+    good = [k for k, p in enumerate(around) if p is best or p.points >= least or p.tag == "p" and p.chars > 80 and _density(p) < 0.25]
+    first = good[0]
+    while first and around[first - 1].tag in _HEADINGS:
+        first -= 1
+    between = range(first, good[-1])
+    return [p for k, p in enumerate(around) if k in good or k in between and p.chars and _density(p) < 0.25]
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, each with white space as one space, joined by blank lines."""
     if not page:
@@ -304,15 +329,8 @@ def main_text(page: str | None) -> str:
             if node.tag == "article":
                 break
         node = node.parent
-    kept = [best]
-    if best.parent is not None:
-        least = max(3.0, 0.2 * best.points)
-        kept = [
-            p for p in best.parent.parts
-            if p is best or isinstance(p, Node) and (p.points >= least or p.tag == "p" and p.chars > 80 and _density(p) < 0.25)
-        ]
     out: list[str] = []
-    for part in kept:
+    for part in _with_siblings(best):
         _blocks(part, out)
     return "\n\n".join(out)
 

@@ -213,3 +213,25 @@ def test_marked_wrappers_keep_the_article():
     teasers = "<div class='related'><article><p>Another story, in short.</p></article></div><div class='comments'><article class='comment'><p>I agree, fully.</p></article></div>"
     text = main_text("<html><body><article>" + body + "</article>" + teasers + "<div class='sidebar'><p>Aside, of the page.</p></div></body></html>")
     assert want in text and not any(x in text for x in ("Another", "agree", "Aside"))
+
+
+def test_pages_keep_their_article_in_any_wrapper():
+    body = "<h1>Head</h1>" + "".join(f"<p>Sentence {k}, of the article, with commas and words enough.</p>" for k in range(4))
+    want = ["Head", *(f"Sentence {k}, of the article, with commas and words enough." for k in range(4))]
+    for page in (
+        f"<article class='post has-comments'>{body}</article>", f"<div class='layout sidebar-right'><article>{body}</article></div>",
+        f"<form id='aspnetForm'><div class='nav'><a href='/'>Home</a></div><div>{body}</div></form>", f"<form><article>{body}</article></form>",
+        f"<h1>Head</h1><div>{body[13:]}</div>", f"<main><div><h1>Head</h1></div><div class='entry'>{body[13:]}</div></main>",
+    ):
+        assert hx.main_text(f"<html><body>{page}<form><p>Subscribe, now, to all of our letters.</p><input></form></body></html>").split("\n\n") == want
+    short = "<div>A short part.</div>".join(f"<div>{body[13:]}</div>" for _ in range(2))
+    assert "A short part." in hx.main_text(f"<html><body><div>{short}</div></body></html>")
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    for opening, closing in (("<div>", "</div>"), ("<div class='header'>", "</section>"), ("<div class='sidebar'><li>", "</p>"), ("<form>", "</form>"), ("<article>", "</aside>")):
+        hx.main_text(opening * 30_000 + "<p>In the middle, far down.</p>" + closing * 30_000)
+    assert time.process_time() - began < 20
