@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 #: Counted rows of ids that are worth a task.
 TASK_ROWS = 20_000
+#: Tasks of a stage at most, for the driver's sake; beyond that a task takes more groups, not larger ones.
+MOST_TASKS = 100_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -61,9 +63,14 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, bytes_each: int = 8_000_000) -> int:
-    """Partitions that hold about ``bytes_each`` of stored input, at least the session's number."""
+    """Groups that hold about ``bytes_each`` of stored input, at least the session's number of partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(100_000, input_bytes(df) // bytes_each + 1))
+    return max(least, input_bytes(df) // bytes_each + 1)
+
+
+def tasks_for(parts: int) -> int:
+    """Tasks that work on so many groups, each on one after the other: as many, up to MOST_TASKS."""
+    return max(1, min(MOST_TASKS, parts))
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:

@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm import wordhash as wh
+from civicspark.llm.common import keep
 
-#: Bytes of benchmark text in a block that is broadcast; more items take more blocks.
-BLOCK_BYTES = 8_000_000
+#: Bytes of benchmark text in a block that is broadcast; more items take more blocks, one after the other.
+BLOCK_BYTES = 32_000_000
 #: White space and ASCII punctuation end a word.
 _MARKS = bytes(x for x in range(128) if not chr(x).isalnum() and chr(x) not in "_")
 _TILING = "array<struct<item_id: long, item_words: int, covered: int, tiles: array<struct<item_start: int, doc_start: int, length: int>>>>"
@@ -57,8 +58,9 @@ def tile(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[np.ndarray, np.nda
 
 @dataclass
 class Block:
-    """Items of the benchmark and their sorted seeds."""
+    """Items of the benchmark and their sorted seeds of ``seed`` words."""
 
+    seed: int
     ids: list[int]
     words: list[np.ndarray]
     hash: np.ndarray
@@ -66,6 +68,13 @@ class Block:
     place: np.ndarray
 
 
+def _blocks(ids: list, texts: list, seed: int) -> list[Block]:
+    """The items of a block; those of fewer than ``seed`` words have all their words as their seed."""
+    sizes = np.diff(wh.split_words(pa.array(texts, pa.string()), lower=True, marks=_MARKS).first)
+    own = {width: np.flatnonzero(np.minimum(sizes, seed) == width) for width in range(1, seed + 1)}
+    return [_block([ids[i] for i in at], [texts[i] for i in at], width) for width, at in own.items() if len(at)]
+
+
 def _block(ids: list, texts: list, seed: int) -> Block:
     words = wh.split_words(pa.array(texts, pa.string()), lower=True, marks=_MARKS)
     h, full = wh.windows(words, seed)
@@ -73,14 +82,14 @@ def _block(ids: list, texts: list, seed: int) -> Block:
     place = np.arange(len(h)) - words.first[doc]
     order = np.argsort(h[full], kind="stable")
     each = [words.hash[a:b] for a, b in zip(words.first, words.first[1:])]
-    return Block(ids, each, h[full][order], doc[full][order], place[full][order])
+    return Block(seed, ids, each, h[full][order], doc[full][order], place[full][order])
 
 
-def _match(block: Block, words: wh.Words, seed: int) -> dict[int, list[tuple]]:
+def _match(block: Block, words: wh.Words) -> dict[int, list[tuple]]:
     """(item, tiles) of every document of a slice that shares a seed with an item."""
     if not len(block.hash):
         return {}
-    h, full = wh.windows(words, seed)
+    h, full = wh.windows(words, block.seed)
     at = np.minimum(np.searchsorted(block.hash, h), len(block.hash) - 1)
     hit = np.flatnonzero(full & (block.hash[at] == h))
     if not len(hit):
@@ -97,7 +106,7 @@ def _match(block: Block, words: wh.Words, seed: int) -> dict[int, list[tuple]]:
     for a, b in zip(cut, np.r_[cut[1:], len(doc)]):
         d, t = int(doc[a]), int(item[a])
         text = words.hash[words.first[d] : words.first[d + 1]]
-        out.setdefault(d, []).append((t, tile(block.words[t], text, (i[a:b], j[a:b]), seed)))
+        out.setdefault(d, []).append((t, tile(block.words[t], text, (i[a:b], j[a:b]), block.seed)))
     return out
 
 
@@ -110,11 +119,13 @@ def with_tilings(
     An entry has ``item_id``, ``item_words``, ``covered`` (words of the item under
     tiles) and the ``tiles``; items below ``least_coverage`` are left out, so a
     clean row has an empty array.  Words are runs of letters and digits with A-Z
-    folded.  Items of fewer than ``seed`` words or of a null id are never found;
-    null or empty texts hold none; each row is judged by itself, so repeated rows
+    folded.  An item of fewer than ``seed`` words is found where all of them stand
+    in a row; items of a null id or without words are never found; null or empty
+    texts hold none; each row is judged by itself, so repeated rows
     and null ids get their own result.  A column named ``column`` is replaced.
 
-    The benchmark is broadcast in blocks of ``block_bytes`` of text, whatever its size.
+    The benchmark is broadcast in blocks of ``block_bytes`` of text.  Where it has
+    several, the rows are written after each, so a task holds one block at a time.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c != column]
@@ -126,26 +137,28 @@ def with_tilings(
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("item_words", pa.int32()), ("covered", pa.int32()), ("tiles", pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())])))]))
     for k in range(blocks):
         part = sorted(items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).distinct().collect())  # about block_bytes of text
-        shared = spark.sparkContext.broadcast(_block([r.id for r in part], [r.text for r in part], seed))
+        shared = spark.sparkContext.broadcast(_blocks([r.id for r in part], [r.text for r in part], seed))
 
         def run(batches, shared=shared):
-            block = shared.value
             for batch in batches:
                 for piece in wh.chunks(batch, text):
                     words = wh.split_words(piece.column(piece.schema.get_field_index(text)).cast(pa.string()), lower=True, marks=_MARKS)
                     last = piece.schema.get_field_index(column)
                     found = piece.column(last).to_pylist()
-                    for d, hits in _match(block, words, seed).items():
-                        for t, tiles in hits:
-                            covered, n = sum(x[2] for x in tiles), len(block.words[t])
-                            if covered >= least_coverage * n:
-                                entry = [{"item_start": a, "doc_start": b, "length": size} for a, b, size in tiles]
-                                found[d].append({"item_id": block.ids[t], "item_words": n, "covered": covered, "tiles": entry})
+                    for block in shared.value:
+                        for d, hits in _match(block, words).items():
+                            for t, tiles in hits:
+                                covered, n = sum(x[2] for x in tiles), len(block.words[t])
+                                if covered >= least_coverage * n:
+                                    entry = [{"item_start": a, "doc_start": b, "length": size} for a, b, size in tiles]
+                                    found[d].append({"item_id": block.ids[t], "item_words": n, "covered": covered, "tiles": entry})
                     columns = list(piece.columns)
                     columns[last] = pa.array(found, kind)
                     yield pa.RecordBatch.from_arrays(columns, piece.schema.names)
 
         rows = rows.mapInArrow(run, schema)
+        if k + 1 < blocks:
+            rows = keep(rows, "tilings")
     return rows
 
 

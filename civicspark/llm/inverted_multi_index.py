@@ -22,12 +22,14 @@ from pyspark.sql.window import Window
 from civicspark.llm.common import keep, runs, with_schema
 
 #: Rows that the codebooks are fitted on, at most, and centroids of each half.
-SAMPLE_ROWS, CENTROIDS = 20_000, 64
+SAMPLE_ROWS, CENTROIDS = 20_000, 128
 #: Share of all rows that a query's cells hold at least.
-SHARE = 0.6
+SHARE = 0.4
 #: Rows of a block of a cell, and of a group of blocks, about.
 BLOCK_ROWS, GROUP_ROWS = 4_000, 16_000
 _QUERIES = 256
+#: Queries whose cells a task picks.
+ASKED_ROWS = 200
 
 
 def matrix(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +143,8 @@ def nearest(
     Queries are rows like those of ``vectors``; a candidate of the query's own id
     is never returned.  Ties go to the smaller id.  Rows that repeat an id and
     vector count once.  Null ids, and vectors that are null, zero, of another
-    length than most, or hold a null or non-finite component take no part; with
+    length than most, or hold a null or non-finite component take no part; of
+    several usable vectors of one id the least asks, in the order of arrays; with
     fewer than ``k`` candidates all of them are returned.  ``share`` of 1 is an
     exact search.  Other columns are not read.
     """
@@ -192,7 +195,10 @@ def nearest(
 
     shape = pa.schema([("group", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("v", pa.binary()), ("cells", pa.binary())])
     names = "group long, kind int, id long, v binary, cells binary"
-    asked = pick(queries).groupBy("id").agg(F.min("v").alias("v"))
+    # of several vectors of one id the least usable one asks
+    usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    asked = pick(queries).where((F.size("v") == index.dim) & usable).groupBy("id").agg(F.min("v").alias("v"))
+    asked = asked.repartition(queries.count() // ASKED_ROWS + 1, "id")
     rows = entries.mapInArrow(with_schema(entry_rows, shape), names).union(asked.mapInArrow(with_schema(query_rows, shape), names))
 
     def search(batches):

@@ -1,7 +1,7 @@
 """Mixing sources to target weights with soft membership, in DataFrame functions only.
 
 A naive Bayes classifier of a labelled table gives every document a posterior
-over domains, from the words that tell the domains apart best.  Non-negative
+over domains, from its distinct words, hashed to a fixed number of places.  Non-negative
 document rates are then fitted by projected gradient steps on the squared gap
 between the domains' expected token totals and their targets; each step is one
 aggregation over a compact table, scaled by the inverse of the totals' small
@@ -20,8 +20,8 @@ from civicspark.llm.common import keep
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE_ROWS = 4_000
-#: Words that the classifier looks for.
-VOCABULARY = 64
+#: Places that words are hashed to.
+PLACES = 8_192
 #: Projected gradient steps, at most, and the relative gap at which they end.
 STEPS, GAP = 20, 1e-8
 
@@ -34,14 +34,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(flat, F.lit("")), " "), "")
 
 
+def places_of(words: Column, places: int) -> Column:
+    """The distinct places of words, from 1 on."""
+    return F.array_distinct(F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(places)) + 1).cast("int")))
+
+
 @dataclass
 class DomainModel:
-    """Log weights of the domains for present words of a small vocabulary."""
+    """Log weights of the domains for the places of a document's words."""
 
     domains: list[str]
-    vocabulary: list[str]
+    places: int
     base: list[float]
-    weights: list[list[float]] = field(default_factory=list)  # by domain, then word
+    weights: list[list[float]] = field(default_factory=list)  # by domain, then place
 
     def add_posterior(self, rows: DataFrame, text: str) -> DataFrame:
         """``rows`` with ``n_tokens`` and ``posterior``, an array in the order of ``domains``.
@@ -51,11 +56,10 @@ class DomainModel:
         rows = rows.withColumn("__words", words_of(F.col(text))).withColumn("n_tokens", F.size("__words").cast("long"))
         if not self.domains:
             return rows.withColumn("posterior", F.array().cast("array<double>")).drop("__words")
-        vocabulary = F.lit(self.vocabulary) if self.vocabulary else F.array().cast("array<string>")
-        rows = rows.withColumn("__places", F.transform(F.array_intersect("__words", vocabulary), lambda w: F.array_position(vocabulary, w).cast("int")))
+        rows = rows.withColumn("__places", places_of(F.col("__words"), self.places))
 
         def log_weight(d: int) -> Column:
-            table = F.lit(self.weights[d]) if self.vocabulary else F.array(F.lit(0.0))
+            table = F.split(F.lit(",".join(map(repr, self.weights[d]))), ",").cast("array<double>")  # one literal, once the plan is optimised
             return F.aggregate("__places", F.lit(self.base[d]), lambda total, k: total + F.element_at(table, k))
 
         logs = [f"__log{d}" for d in range(len(self.domains))]
@@ -69,10 +73,11 @@ class DomainModel:
 
 def fit_domains(
     docs: DataFrame, labelled: DataFrame, text: str = "text", id_col: str = "doc_id", domain: str = "domain",
-    sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY,
+    sample_rows: int = SAMPLE_ROWS, places: int = PLACES,
 ) -> DomainModel:
-    """A Bernoulli naive Bayes model from at most ``sample_rows`` labelled rows, chosen by a hash of their id.
+    """A naive Bayes model from at most ``sample_rows`` labelled rows, chosen by a hash of their id.
 
+    A place counts once for each document that has words there, with a half added.
     Null ids and domains are left out; without any labelled row there is no domain.
     """
     usable = labelled.where(F.col(id_col).isNotNull() & F.col(domain).isNotNull()).select(F.col(id_col).alias("__id"), F.col(domain).cast("string").alias("__domain"))
@@ -81,22 +86,22 @@ def fit_domains(
         usable = usable.where(F.pmod(F.xxhash64("__id"), F.lit(total)) < sample_rows)
     chosen = F.broadcast(usable.distinct().limit(sample_rows))  # of bounded size
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).join(chosen, "__id")
-    found = keep(rows.select("__domain", F.array_distinct(words_of(F.col("__text"))).alias("words")), "labelled")
+    found = keep(rows.select("__domain", places_of(words_of(F.col("__text")), places).alias("places")), "labelled")
     sizes = {r["__domain"]: r["n"] for r in found.groupBy("__domain").agg(F.count("*").alias("n")).orderBy("__domain").collect()}
     domains, n = sorted(sizes), sum(sizes.values())
     if not domains:
-        return DomainModel([], [], [])
-    counts = found.select("__domain", F.explode("words").alias("word")).groupBy("word").agg(
+        return DomainModel([], places, [])
+    counts = found.select("__domain", F.explode("places").alias("place")).groupBy("place").agg(
         *[F.count_if(F.col("__domain") == d).alias(f"n{k}") for k, d in enumerate(domains)]
-    )
-    shares = [F.col(f"n{k}") / F.lit(sizes[d]) for k, d in enumerate(domains)]
-    spread = F.greatest(*shares) - F.least(*shares) if len(domains) > 1 else shares[0] * 0
-    top = counts.where(spread > 0).orderBy(F.desc(spread), "word").limit(vocabulary).collect()
-    model = DomainModel(domains, [r["word"] for r in top], [])
+    ).collect()  # as many rows as places at most
+    model = DomainModel(domains, places, [])
     for k, d in enumerate(domains):
-        share = [(r[f"n{k}"] + 0.5) / (sizes[d] + 1.0) for r in top]
-        model.base.append(math.log(sizes[d] / n) + sum(math.log(1 - p) for p in share))
-        model.weights.append([math.log(p) - math.log(1 - p) for p in share])
+        row = [0.5] * places
+        for r in counts:
+            row[r["place"] - 1] += r[f"n{k}"]
+        whole = math.log(sum(row))
+        model.base.append(math.log(sizes[d] / n))
+        model.weights.append([math.log(x) - whole for x in row])
     return model
 
 
@@ -126,10 +131,12 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
 
 
-def fit_rates(compact: DataFrame, targets: list[float], steps: int = STEPS) -> list[list[float]]:
-    """Steps of scaled projected gradient descent; ``compact`` has ``mass``, the targets are token totals.
+def fit_rates(compact: DataFrame, targets: list[float], steps: int = STEPS) -> tuple[list[list[float]], float]:
+    """Steps of scaled projected gradient descent, and the gap they leave relative to the targets' norm.
 
-    A step is halved when it does not narrow the gap.
+    ``compact`` has ``mass``, the targets are token totals.  A step is halved
+    when it does not narrow the gap; the descent ends at a gap of GAP, after
+    ``steps`` steps, or where a step of a thousandth does not narrow it.
     """
     d = len(targets)
     scale = max(1e-300, math.sqrt(sum(t * t for t in targets)))
@@ -160,17 +167,20 @@ def fit_rates(compact: DataFrame, targets: list[float], steps: int = STEPS) -> l
             share /= 2
             if share < 1e-3:
                 break
-    return taken
+    return taken, norm / scale
 
 
 @dataclass
 class Mixture:
-    """A fitted mixture: the classifier, the steps of the rates, and the compact table they came from."""
+    """A fitted mixture: the classifier, the steps of the rates, the compact table they came from, and the
+    relative gap that is left between the domains' expected tokens and their targets.
+    """
 
     model: DomainModel
     steps: list[list[float]]
     compact: DataFrame
     scale: float
+    gap: float
 
     def rated(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with ``n_tokens``, ``posterior`` and ``rate``; columns of these names are replaced."""
@@ -207,10 +217,11 @@ def mix_to_targets(
     total = float(compact.agg(F.sum("n_tokens")).first()[0] or 0)
     known = sum(max(0.0, targets.get(d, 0.0)) for d in model.domains)
     if not total or not known:
-        return Mixture(model, [], compact, 1.0)
+        return Mixture(model, [], compact, 1.0, 0.0)
     scale = total / max(1, compact.count())
     budget = (token_budget or total) / scale
     goal = [budget * max(0.0, targets.get(d, 0.0)) / known for d in model.domains]
     tokens = F.col("n_tokens") / F.lit(scale)
     mass = compact.select(F.transform("posterior", lambda p: p * tokens).alias("mass"))
-    return Mixture(model, fit_rates(mass, goal), compact, scale)
+    steps, gap = fit_rates(mass, goal)
+    return Mixture(model, steps, compact, scale, gap)

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from civicspark.llm import wordhash as wh
 from civicspark.llm.common import (
-    BROADCAST_ROWS, bounded, connected_components, grouped_rows, input_bytes, keep, partition_blobs, parts_for, runs, sized, unpack, with_schema,
+    BROADCAST_ROWS, bounded, connected_components, grouped_rows, input_bytes, keep, partition_blobs, parts_for, runs, sized, tasks_for, unpack, with_schema,
 )
 
 #: Largest k of a k-prefix; powers of two up to a set's least overlap are weighed, and that overlap.
@@ -231,7 +231,7 @@ def candidate_rows(docs: DataFrame, text: str, id_col: str, width: int, num: int
     sent = base.mapInArrow(with_schema(send, pa.schema([("part", pa.int32()), ("rows", pa.binary())])), "part int, rows binary")
     names = ["a", "b", "need", "shared", "star", "shingle", "n", "k"]
     return (
-        sent.repartition(max(1, parts // 4), "part").sortWithinPartitions("part")
+        sent.repartition(tasks_for(parts // 4), "part").sortWithinPartitions("part")
         .mapInArrow(with_schema(meet, pa.schema([(x, pa.int64()) for x in names])), ", ".join(f"{x} long" for x in names))
     )
 

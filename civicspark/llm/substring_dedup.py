@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm import wordhash as wh
-from civicspark.llm.common import grouped_rows, partition_blobs, parts_for, unpack, with_schema
+from civicspark.llm.common import grouped_rows, partition_blobs, parts_for, tasks_for, unpack, with_schema
 
 _LOW = 18  # low bits of a hash that choose its part; the others identify it there
 
@@ -212,7 +212,7 @@ def substring_dedup(
     n = parts_for(docs)
     parts = min(2 * n, 1 << _LOW)
     chunk = F.pmod(F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)) + F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(0) % 1024, F.lit(n))
-    base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias(text)).withColumn("chunk", chunk.cast("int")).repartition(n, "chunk")
+    base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias(text)).withColumn("chunk", chunk.cast("int")).repartition(tasks_for(n), "chunk")
     blobs = "chunk int, part int, rows binary"
     schema = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("rows", pa.binary())])
 
@@ -234,8 +234,8 @@ def substring_dedup(
 
     def met(sent, function):
         return (
-            sent.repartition(n, "part").sortWithinPartitions("part").mapInArrow(with_schema(function, schema), blobs)
-            .repartition(n, "chunk")
+            sent.repartition(tasks_for(n), "part").sortWithinPartitions("part").mapInArrow(with_schema(function, schema), blobs)
+            .repartition(tasks_for(n), "chunk")
         )
 
     anchors = met(base.groupBy("chunk").applyInArrow(send_anchors, blobs), _meet_anchors)

@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from civicspark.llm import inverted_multi_index as im
@@ -112,6 +113,28 @@ def test_few_vectors_are_all_found(spark):
         assert sorted(r["rank"] for r in found if r.query_id == q) == list(range(1, 21))
 
 
+def test_query_ids_with_unusable_vectors_too(spark):
+    rows = [(0, [1.0, None]), (0, [1.0, 2.0]), (0, [0.0, 0.0]), (1, [3.0, 1.0]), (2, [float("inf"), 1.0]), (3, [0.5, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = im.nearest(table, table.where("vec_id in (0, 2)"), k=20).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in found] == [(0, 1, 5.0), (0, 3, 1.5)]
+
+
+def test_recall_on_the_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    at, x = im.matrix(pa.array([v for _, v in rows], pa.list_(pa.float64())))
+    ids = np.array([rows[i][0] for i in at])
+    found = im.nearest(table, table.where("vec_id % 20 = 0"), k=20).collect()
+    hits = want = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = np.where(ids == ids[q], -np.inf, x @ x[q])
+        best = set(ids[np.lexsort((ids, -scores))[:20]].tolist())
+        hits += sum(r.vec_id in best for r in found if r.query_id == ids[q])
+        want += len(best)
+    assert hits / want >= 0.9
+
+
 def test_few_or_no_vectors(spark):
     shape = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], shape)

@@ -167,6 +167,46 @@ def test_mixing_meets_targets(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_mixing_equals_plain_steps(spark):
+    import math
+
+    import xxhash
+
+    rng = np.random.default_rng(8)
+    lexicon = {"x": [f"a{k}" for k in range(40)], "y": [f"b{k}" for k in range(40)], "z": [f"a{k}" for k in range(20)] + [f"b{k}" for k in range(20)]}
+    rows = [(k, " ".join(rng.choice(lexicon["xyz"[k % 3]], rng.integers(1, 30)))) for k in range(150)]
+    labels = [(k, "xyz"[k % 3]) for k in range(0, 150, 2)]
+    docs, places = spark.createDataFrame(rows, "doc_id long, text string"), mx.PLACES
+    mixture = mx.mix_to_targets(docs, spark.createDataFrame(labels, "doc_id long, domain string"), {"x": 0.5, "y": 0.3, "z": 0.2})
+
+    def held(text):
+        signed = {w: xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split()}
+        return {(h - (1 << 64) * (h >> 63)) % places for h in signed.values()}
+
+    texts, counts = dict(rows), np.full((3, places), 0.5)
+    for k, d in labels:
+        counts["xyz".index(d), list(held(texts[k]))] += 1
+    logs = np.log(counts / counts.sum(1, keepdims=True))
+    found = {r.doc_id: r for r in mixture.rated(docs).collect()}
+    posterior = np.zeros((150, 3))
+    for k, text in rows:
+        score = np.array([math.log(1 / 3) + logs[d, list(held(text))].sum() for d in range(3)])
+        posterior[k] = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        assert np.allclose(found[k].posterior, posterior[k], atol=1e-9) and found[k].n_tokens == len(text.split())
+    tokens, rate = np.array([len(t.split()) for _, t in rows]), np.array([found[k].rate for k, _ in rows])
+    totals = (posterior * (tokens * rate)[:, None]).sum(0)
+    assert (rate >= 0).all() and mixture.gap <= mx.GAP
+    assert np.allclose(totals / tokens.sum(), [0.5, 0.3, 0.2], atol=1e-6)
+
+
+def test_short_benchmark_items_are_found_whole(spark):
+    docs = spark.createDataFrame([(1, "The capital: Paris, France."), (2, "capital is paris france, of course"), (3, "capital is paris"), (4, None), (5, "is capital paris france")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "capital is paris france"), (2, "..."), (3, None)], "item_id long, text string")
+    found = {r.doc_id: r.tilings for r in dc.with_tilings(docs, items, block_bytes=1).collect()}
+    assert {k for k, v in found.items() if v} == {2} and found[2][0].covered == 4
+    assert sorted(r.doc_id for r in dc.decontaminate(docs, items).collect()) == [1, 3, 4, 5]
+
+
 def test_mixing_reaches_corners_and_empty_tables(spark):
     docs = spark.createDataFrame([(k, "a b" if k % 2 else "c d", 0) for k in range(20)], "doc_id long, text string, n_tokens int")
     labels = spark.createDataFrame([(k, "x" if k % 2 else "y") for k in range(20)], "doc_id long, domain string")
