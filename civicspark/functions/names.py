@@ -16,6 +16,11 @@ ROLES = [
     "manager", "director", "president", "vice president", "ceo", "cfo", "member", "chairman", "chairwoman", "chairperson", "interim director",
     "assistant director", "senior planner", "associate planner", "principal planner",
 ]
+# Legal forms behind an organisation's name.
+LEGAL_FORMS = [
+    r"P\.?L\.?C\.?", r"P\.?L\.?L\.?C\.?", r"P\.?C\.?", r"P\.?A\.?", r"L\.?L\.?C\.?", r"I\.?N\.?C\.?", r"L\.?T\.?D\.?", r"C\.?O\.?R\.?P\.?",
+    r"L\.?L\.?P\.?", r"C\.?O\.?",
+]
 
 
 def _alternatives(words: list[str]) -> str:
@@ -36,8 +41,7 @@ def person_key(name: Column) -> Column:
 
 def entity_key(name: Column) -> Column:
     """An organisation's or case's name without legal form, hyphens and punctuation, in lower case."""
-    forms = "|".join("\\.?".join(f) + "\\.?" for f in ("PLC", "PLLC", "PC", "PA", "LLC", "INC", "LTD", "CORP", "LLP", "CO"))
-    bare = F.regexp_replace(_squeeze(name), f"(?i)\\s+(?:{forms})\\s*$", "")
+    bare = F.regexp_replace(_squeeze(name), rf"(?i)\s+(?:{'|'.join(LEGAL_FORMS)})\.?\s*$", "")
     bare = F.replace(F.replace(bare, F.lit("&"), F.lit(" and ")), F.lit("-"), F.lit(""))
     return F.regexp_replace(_squeeze(F.regexp_replace(F.lower(bare), "(?U)[^\\w\\s']", "")), "^the\\s+", "")
 
@@ -49,6 +53,7 @@ def is_firm(name: Column) -> Column:
 
 def hearing_kind(text: Column) -> Column:
     """CALL, HEARING, VOTE, STUDY, DEVELOPMENT or ITEM, the first that applies."""
+    # Words of each kind, in order.
     up = F.upper(text)
     has = up.contains
     return (
@@ -65,6 +70,7 @@ def verb_key(verb: Column) -> Column:
 
 def role_of(pattern: Column, title: Column) -> Column:
     """Canonical role from the pattern that found a name and its title; vice chair before chair."""
+    # Patterns and words of each role, in order.
     t = F.lower(F.trim(title))
     by_pattern = F.when(pattern.isin("dash_name_role", "presented_by", "info_name", "eol"), "presenter").when(pattern == "line_role", "board_member").otherwise("participant")
     return (

@@ -89,7 +89,7 @@ INFORMATIONAL = [
 ]
 LIFECYCLE = [
     ("informational", INFORMATIONAL),
-    ("pulled", [r"(?:item|request|was|has\s+been)\s+(?:has\s+been\s+)?pull(?:ed|ing|s)\b", r"removed\s+(?:from|by)\s+(?:the\s+)?(?:agenda|consent)"]),
+    ("pulled", [r"pull(?:ed|ing|s)?\s+(?:item|from|the\s+agenda)", r"(?:item|request|was|has\s+been)\s+(?:has\s+been\s+)?pull(?:ed|ing|s)\b", r"removed\s+(?:from|by)\s+(?:the\s+)?(?:agenda|consent)"]),
     ("tabled", [r"\btabl(?:e|ed|ing)\b", r"laid\s+(?:over|on\s+the\s+table)"]),
     ("continued", [
         r"continu(?:e|ed|ation|ing)\s+(?:to|until|the\s+item|consideration)", r"continued\s+(?:from|public\s+hearing)",

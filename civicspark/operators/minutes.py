@@ -18,8 +18,11 @@ def motions(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     parts = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "), r"(?i)(?=\bmotion\s+(?:was\s+made\s+)?by\b)")
     rows = docs.select(id_col, F.posexplode(parts).alias("place", "part")).where(F.col("part").rlike(r"(?i)^motion\s"))
     pick = lambda pattern: F.nullif(F.regexp_extract("part", pattern, 1), F.lit(""))
-    dashed = F.coalesce(pick(r"\b(\d{1,2})\s*-\s*\d{1,2}\b"), pick(r"(?i)vote\s+of\s+(\d)\d\b"), pick(r"(?i)\bayes?:\s*(\d+)"))
-    against = F.coalesce(pick(r"\b\d{1,2}\s*-\s*(\d{1,2})\b"), pick(r"(?i)vote\s+of\s+\d(\d)\b"), pick(r"(?i)\bnay[s]?:\s*(\d+)"))
+    # a tally stands behind the outcome, so dates and numbers of the motion itself are none
+    tail = F.regexp_extract("part", r"(?is)(\b(?:carried|carries|passed|passes|failed|fails|approved|denied|defeated|unanimous\w*|vote\s+of|vote:|ayes?:)\b?.*)$", 1)
+    count = lambda pattern: F.nullif(F.regexp_extract(tail, pattern, 1), F.lit(""))
+    dashed = F.coalesce(count(r"(?<![\d-])(\d{1,2})\s*-\s*\d{1,2}(?![\d-])"), count(r"(?i)vote\s+of\s+(\d)\d\b"), count(r"(?i)\bayes?:\s*(\d+)"))
+    against = F.coalesce(count(r"(?<![\d-])\d{1,2}\s*-\s*(\d{1,2})(?![\d-])"), count(r"(?i)vote\s+of\s+\d(\d)\b"), count(r"(?i)\bnay[s]?:\s*(\d+)"))
     result = F.when(F.col("part").rlike(r"(?i)\b(?:failed|fails|denied|defeated)\b"), "failed").when(F.col("part").rlike(r"(?i)\b(?:carried|carries|passed|approved|unanimous)"), "passed")
     return rows.select(
         id_col, "place", pick(rf"(?i:motion\s+(?:was\s+made\s+)?by)\s+({_NAME})").alias("mover"), pick(rf"(?i:second(?:ed)?(?:\s+by)?)\s+({_NAME})").alias("seconder"),

@@ -74,14 +74,35 @@ def similar_pairs(entities: DataFrame, id_col: str, name_col: str, least: float
     return pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "score").groupBy("id", "other").agg(F.max("score").alias("score"))
 
 
+def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """``id`` and ``component``, the smallest id that edges ``a``, ``b`` reach.
+
+    Every round hangs each node on the least of its neighbours' labels, then on
+    that label's own.  A checkpoint ends it, in spark.checkpoint.dir or, where
+    that is unset, as in tests, in a folder of the session's warehouse.
+    """
+    spark = edges.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().checkpoint()
+    labels = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("component")).checkpoint()
+    for _ in range(rounds):
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        least = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("next"))
+        up = labels.select(F.col("id").alias("next"), F.col("component").alias("up"))
+        moved = least.join(up, "next", "left").select("id", F.least("next", F.coalesce("up", "next")).alias("component"), F.col("component").alias("was")).checkpoint()
+        labels = moved.select("id", "component")
+        if moved.where("component <> was").limit(1).count() == 0:
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
 def merge_variations(entities: DataFrame, id_col: str, name_col: str, mentions: str, least: float = 0.85, largest_block: int = 2_000) -> DataFrame:
     """(victim, survivor) of names that are similar, directly or through others.
 
     Names of equal tokens, or else of equal lower case, form one class, which is
     compared once; classes are joined by connected components.
     """
-    from civicspark.llm.common import connected_components
-
     words = F.array_join(F.array_sort(tokens(F.col(name_col))), " ")
     rows = entities.where(F.col(id_col).isNotNull() & F.col(name_col).isNotNull())
     rows = rows.select(id_col, mentions, F.col(name_col).alias("__name"), F.coalesce(F.nullif(words, F.lit("")), F.concat(F.lit("="), F.lower(name_col))).alias("__class"))
@@ -90,7 +111,7 @@ def merge_variations(entities: DataFrame, id_col: str, name_col: str, mentions:
     head = spelled.groupBy("__class").agg(F.min("__id").alias("__head"))
     edges = similar_pairs(spelled, "__id", "__name", least, largest_block).select(F.col("id").alias("a"), F.col("other").alias("b"))
     edges = edges.union(spelled.join(head, "__class").where("__id <> __head").select(F.col("__id").alias("a"), F.col("__head").alias("b")))
-    found = connected_components(edges).select(F.col("id").alias("__head"), F.col("component").alias("__group"))
+    found = components(edges).select(F.col("id").alias("__head"), F.col("component").alias("__group"))
     grouped = rows.join(head, "__class").join(found, "__head", "left").withColumn("__group", F.coalesce("__group", "__head"))
     return merge_map(grouped, "__group", id_col, mentions)
 

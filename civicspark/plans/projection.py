@@ -40,8 +40,8 @@ VIEWS: dict[str, str] = {
     "permits": """SELECT CASE WHEN l_linenumber = 7 THEN CAST(NULL AS STRING) ELSE concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) END AS permit_number,
         md5(concat(CAST(l_orderkey AS STRING), '|', CAST(l_partkey AS STRING))) AS row_hash, CAST(CAST(floor(l_quantity) AS INT) AS STRING) AS permit_square_feet,
         CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) AS permit_valuation, substring(CAST(l_shipdate AS STRING), 1, 10) AS permit_issue_date,
-        CASE WHEN p_type LIKE '%STEEL%' THEN 'Commercial' WHEN p_type LIKE '%BRASS%' THEN 'Residential' WHEN p_type LIKE '%TIN%' THEN 'Trade' ELSE 'Other' END AS normalized_category,
-        CASE WHEN p_type LIKE 'PROMO%' OR p_type LIKE 'ECONOMY%' THEN 'New' WHEN p_type LIKE 'STANDARD%' THEN 'Alteration' ELSE 'Addition' END AS work_type,
+        CASE WHEN p_type = 'ECONOMY' THEN 'Commercial' WHEN p_type IN ('SMALL', 'MEDIUM') THEN 'Residential' WHEN p_type = 'PROMO' THEN 'Trade' ELSE 'Other' END AS normalized_category,
+        CASE WHEN p_size < 15 THEN 'New Construction' WHEN p_size < 35 THEN 'Alteration' ELSE 'Addition' END AS work_type,
         l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "supporting_documents": """SELECT doc_id AS id, doc_id % 500 AS meeting_id, lang AS document_type, concat('https://www.', source, '.example.org/files/', CAST(doc_id AS STRING), CASE WHEN doc_id % 3 = 0 THEN '.pdf' WHEN doc_id % 3 = 1 THEN '.DOCX?v=1' ELSE '/view' END) AS document_url,
         source, text AS text_content FROM documents""",

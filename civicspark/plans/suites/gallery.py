@@ -69,10 +69,10 @@ def j12(t):
     return t.public_bodies.join(least, "id", "left").select("body_code", F.coalesce("name", F.lit("none")).alias("first_person"))
 
 
-@query("j15", "SELECT DISTINCT m.meeting_id FROM meetings m JOIN agenda_items i USING (meeting_id) WHERE i.title LIKE '%BRASS%'")
+@query("j15", "SELECT DISTINCT m.meeting_id FROM meetings m JOIN agenda_items i USING (meeting_id) WHERE i.title LIKE '%PROMO%'")
 def j15(t):
     """Meetings with any item of a tag."""
-    return t.meetings.select("meeting_id").join(t.agenda_items.where(F.col("title").contains("BRASS")), "meeting_id", "left_semi")
+    return t.meetings.select("meeting_id").join(t.agenda_items.where(F.col("title").contains("PROMO")), "meeting_id", "left_semi")
 
 
 @query("j18", "SELECT DISTINCT target_entity_id AS id FROM entity_relationships WHERE target_entity_id NOT IN (SELECT id FROM entities WHERE entity_type = 'person')")
@@ -87,12 +87,13 @@ def j19(t):
     return t.orders.where("o_orderstatus = 'F'").join(t.orders.where("o_totalprice > 100000").select("o_orderkey"), "o_orderkey", "left_anti").select("o_orderkey")
 
 
-@query("j21", "SELECT a.id AS id1, b.id AS id2 FROM agenda_item_votes a JOIN agenda_item_votes b ON a.c_number = b.c_number AND a.id < b.id AND a.body <> b.body WHERE a.id < 3000 AND b.id < 3000")
+@query("j21", """WITH n AS (SELECT c_number, body, count(*) AS items FROM agenda_item_votes GROUP BY 1, 2)
+SELECT a.c_number, a.body AS body1, b.body AS body2, a.items * b.items AS links FROM n a JOIN n b ON a.c_number = b.c_number AND a.body < b.body""")
 def j21(t):
-    """Cases that several bodies share."""
-    rows = t.agenda_item_votes.where("id < 3000").select("c_number", "id", "body")
-    a, b = rows.withColumnsRenamed({"id": "id1", "body": "body1"}), rows.withColumnsRenamed({"id": "id2", "body": "body2"})
-    return a.join(b, "c_number").where("id1 < id2 and body1 <> body2").select("id1", "id2")
+    """Pairs of bodies that share a case, with how many pairs of their items it links."""
+    rows = t.agenda_item_votes.where("c_number is not null and body is not null").groupBy("c_number", "body").agg(F.count("*").alias("items"))
+    a, b = rows.withColumnsRenamed({"body": "body1", "items": "items1"}), rows.withColumnsRenamed({"body": "body2", "items": "items2"})
+    return a.join(b, "c_number").where("body1 < body2").select("c_number", "body1", "body2", (F.col("items1") * F.col("items2")).alias("links"))
 
 
 @query("j21_bodies", "SELECT DISTINCT c_number, body FROM agenda_item_votes WHERE body IS NOT NULL AND c_number IN (SELECT c_number FROM agenda_item_votes GROUP BY 1 HAVING count(DISTINCT body) > 1)")
@@ -128,10 +129,10 @@ def a20(t):
     return V.tallies(V.normalized(t.member_votes)).select("agenda_item_vote_id", "abstain_votes", "total_votes")
 
 
-@query("a21", """SELECT p_type AS name, count(*) AS frequency, count(DISTINCT m.body) AS bodies, string_agg(DISTINCT i.agenda_item_number, ',' ORDER BY i.agenda_item_number) AS places FROM agenda_items i JOIN part ON p_partkey = i.part_id JOIN meetings m USING (meeting_id) GROUP BY 1 HAVING count(*) >= 3""")
+@query("a21", """SELECT p_name AS name, count(*) AS frequency, count(DISTINCT m.body) AS bodies, string_agg(DISTINCT i.agenda_item_number, ',' ORDER BY i.agenda_item_number) AS places FROM agenda_items i JOIN part ON p_partkey = i.part_id JOIN meetings m USING (meeting_id) GROUP BY 1 HAVING count(*) >= 3""")
 def a21(t):
     """Candidates with their bodies and places, of three or more mentions."""
-    rows = t.agenda_items.join(t.part.select(F.col("p_partkey").alias("part_id"), F.col("p_type").alias("name")), "part_id").join(t.meetings.select("meeting_id", "body"), "meeting_id")
+    rows = t.agenda_items.join(t.part.select(F.col("p_partkey").alias("part_id"), F.col("p_name").alias("name")), "part_id").join(t.meetings.select("meeting_id", "body"), "meeting_id")
     found = rows.groupBy("name").agg(F.count("*").alias("frequency"), F.countDistinct("body").alias("bodies"), F.array_join(F.array_sort(F.collect_set("agenda_item_number")), ",").alias("places"))
     return found.where("frequency >= 3")
 
@@ -180,10 +181,10 @@ def p5(t):
     return rows.select("meeting_id", "member_id")
 
 
-@query("p9", "SELECT meeting_id, agenda_item_number, title FROM agenda_items WHERE (title ILIKE '%tin%' OR item_text ILIKE '%tin%' OR agenda_item_number ILIKE '%tin%') AND quantity >= 30 ORDER BY meeting_id, agenda_item_number, title, item_text OFFSET 10 LIMIT 10")
+@query("p9", "SELECT meeting_id, agenda_item_number, title FROM agenda_items WHERE (title ILIKE '%ring%' OR item_text ILIKE '%ring%' OR agenda_item_number ILIKE '%ring%') AND quantity >= 30 ORDER BY meeting_id, agenda_item_number, title, item_text OFFSET 10 LIMIT 10")
 def p9(t):
     """Substring search over several columns with a filter, one page."""
-    rows = t.agenda_items.where(S.ilike_any(["title", "item_text", "agenda_item_number"], ["tin"]) & (F.col("quantity") >= 30))
+    rows = t.agenda_items.where(S.ilike_any(["title", "item_text", "agenda_item_number"], ["ring"]) & (F.col("quantity") >= 30))
     return rows.orderBy("meeting_id", "agenda_item_number", "title", "item_text").offset(10).limit(10).select("meeting_id", "agenda_item_number", "title")
 
 
@@ -250,11 +251,11 @@ def w10(t):
 
 
 @query("w12", """SELECT meeting_id, topic FROM (SELECT meeting_id, topic, row_number() OVER (PARTITION BY meeting_id ORDER BY place) AS rn FROM (
-  SELECT meeting_id, 1 AS place, 'housing' AS topic FROM agenda_items WHERE title LIKE '%BRASS%' UNION ALL SELECT meeting_id, 2, 'water' FROM agenda_items WHERE title LIKE '%TIN%' UNION ALL SELECT meeting_id, 3, 'roads' FROM agenda_items WHERE title LIKE '%STEEL%') a) b WHERE rn = 1""")
+  SELECT meeting_id, 1 AS place, 'housing' AS topic FROM agenda_items WHERE title LIKE '%PROMO%' UNION ALL SELECT meeting_id, 2, 'water' FROM agenda_items WHERE title LIKE '%LARGE%' UNION ALL SELECT meeting_id, 3, 'roads' FROM agenda_items WHERE title LIKE '%ECONOMY%') a) b WHERE rn = 1""")
 def w12(t):
     """The first topic of each meeting in order of priority."""
     topic = lambda place, name, word: F.when(F.col("title").contains(word), F.struct(F.lit(place).alias("place"), F.lit(name).alias("topic")))
-    rows = t.agenda_items.select("meeting_id", F.coalesce(topic(1, "housing", "BRASS"), topic(2, "water", "TIN"), topic(3, "roads", "STEEL")).alias("hit")).where("hit is not null")
+    rows = t.agenda_items.select("meeting_id", F.coalesce(topic(1, "housing", "PROMO"), topic(2, "water", "LARGE"), topic(3, "roads", "ECONOMY")).alias("hit")).where("hit is not null")
     return rows.groupBy("meeting_id").agg(F.min("hit").alias("hit")).select("meeting_id", "hit.topic")
 
 
@@ -289,11 +290,11 @@ def u4(t):
     return of(1).intersect(of(2))
 
 
-@query("u6", "SELECT 'event' AS kind, event_id AS id, CAST(NULL AS STRING) AS title FROM events WHERE event_id < 50 UNION ALL SELECT 'meeting', meeting_id, title FROM meetings WHERE meeting_id < 50")
+@query("u6", "SELECT 'event' AS kind, event_id AS id, CAST(NULL AS STRING) AS title FROM events UNION ALL SELECT 'meeting', meeting_id, title FROM meetings")
 def u6(t):
     """Rows of different shapes together."""
-    events = t.events.where("event_id < 50").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"))
-    meetings = t.meetings.where("meeting_id < 50").select(F.lit("meeting").alias("kind"), F.col("meeting_id").alias("id"), "title")
+    events = t.events.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"))
+    meetings = t.meetings.select(F.lit("meeting").alias("kind"), F.col("meeting_id").alias("id"), "title")
     return events.unionByName(meetings, allowMissingColumns=True)
 
 
@@ -324,17 +325,22 @@ def f36(t):
     return t.meetings.select("meeting_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), "meeting_type").alias("label"))
 
 
-@query("f65", "SELECT p_partkey AS id, true AS same FROM part")
+@query("f65", "SELECT p_partkey AS id, p_partkey % 3 = 0 AS same FROM part")
 def f65(t):
-    """Names of the same tokens in another order."""
-    words = R.tokens(F.col("p_type"))
-    return t.part.select(F.col("p_partkey").alias("id"), R.same_sorted(words, F.reverse(words)).alias("same"))
+    """Names of the same tokens in another order, of one token more, and of another token."""
+    words, kind = F.split("p_name", " "), F.col("p_partkey") % 3
+    other = F.array_join(F.reverse(words), ", ")
+    other = F.when(kind == 0, other).when(kind == 1, F.concat(other, F.lit(" extra"))).otherwise(F.concat(words[0], F.lit(" elsewhere")))
+    return t.part.select(F.col("p_partkey").alias("id"), R.same_sorted(R.tokens(F.col("p_name")), R.tokens(other)).alias("same"))
 
 
-@query("f66", "SELECT c_custkey, 0.85::DOUBLE AS score FROM customer")
+@query("f66", "SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN 0.85 ELSE 0.0 END::DOUBLE AS score FROM customer")
 def f66(t):
-    """Score of a name inside another."""
-    return t.customer.select("c_custkey", R.contained(F.col("c_name"), F.concat("c_name", F.lit(" Inc"))).cast("double").alias("score"))
+    """Score of a name inside another, on either side, inside one more than four times as long, and in none."""
+    kind, longer = F.col("c_custkey") % 4, F.concat("c_name", F.lit(" Inc"))
+    a = F.when(kind == 1, longer).otherwise(F.col("c_name"))
+    b = F.when(kind == 0, longer).when(kind == 1, F.col("c_name")).when(kind == 2, F.concat("c_name", F.lpad(F.lit("x"), 60, "y"))).otherwise(F.reverse("c_name"))
+    return t.customer.select("c_custkey", R.contained(a, b).cast("double").alias("score"))
 
 
 @query("a22", "SELECT normalized_category AS name, count(*) AS frequency FROM permits GROUP BY 1 HAVING count(*) >= 5 ORDER BY frequency DESC, name")

@@ -59,18 +59,18 @@ def p8(t):
     return rows.select("meeting_id", "body", "meeting_date", "meeting_type").orderBy(F.desc("meeting_date"), "meeting_id").offset(20).limit(20)
 
 
-@query("p13", "SELECT DISTINCT meeting_id, substring(item_text, 1, 20) AS head FROM agenda_items WHERE (item_text LIKE '%BRASS%' OR item_text LIKE '%STEEL%') AND item_text NOT LIKE '%PROMO%'")
+@query("p13", "SELECT DISTINCT meeting_id, substring(item_text, 1, 20) AS head FROM agenda_items WHERE (item_text LIKE '%PROMO%' OR item_text LIKE '%ECONOMY%') AND item_text NOT LIKE '%denied'")
 def p13(t):
     """Items that hold a keyword in its case."""
     text = F.col("item_text")
-    rows = t.agenda_items.where((text.contains("BRASS") | text.contains("STEEL")) & ~text.contains("PROMO"))
+    rows = t.agenda_items.where((text.contains("PROMO") | text.contains("ECONOMY")) & ~text.endswith("denied"))
     return rows.select("meeting_id", F.substring(text, 1, 20).alias("head")).distinct()
 
 
-@query("p14", "SELECT meeting_id, agenda_item_number FROM agenda_items WHERE lower(title) LIKE '%polished%' OR lower(title) LIKE '%brass%'")
+@query("p14", "SELECT meeting_id, agenda_item_number FROM agenda_items WHERE lower(title) LIKE '%small%' OR lower(title) LIKE '%gizmo%'")
 def p14(t):
     """Items that hold a policy word."""
-    return t.agenda_items.where(T.any_contains("title", ["polished", "brass"])).select("meeting_id", "agenda_item_number")
+    return t.agenda_items.where(T.any_contains("title", ["small", "gizmo"])).select("meeting_id", "agenda_item_number")
 
 
 @query("p15", "SELECT user_id, count(*) AS failures FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-29 00:00:00' - INTERVAL 24 HOUR GROUP BY 1")
@@ -98,10 +98,11 @@ def p18(t):
     return t.meetings.where(T.is_canceled("title")).select("meeting_id")
 
 
-@query("p20", "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("p20", "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') ORDER BY c_custkey")
 def p20(t):
     """Ids that were not used yet."""
-    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").distinct()
+    used = t.orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return t.customer.select("c_custkey").join(used, "c_custkey", "left_anti").distinct().orderBy("c_custkey")
 
 
 @query("p24", "SELECT person_id FROM body_memberships WHERE term_end IS NOT DISTINCT FROM NULL")
@@ -221,10 +222,11 @@ def j6(t):
     return t.entities.select("id").join(dates, "id", "left")
 
 
-@query("j8", "SELECT person_id, public_body_id FROM body_memberships b WHERE NOT EXISTS (SELECT 1 FROM member_votes v JOIN meetings m ON m.meeting_id = v.agenda_item_vote_id WHERE v.member_id = b.person_id AND m.public_body_id = b.public_body_id)")
+@query("j8", "SELECT person_id, public_body_id FROM body_memberships b WHERE NOT EXISTS (SELECT 1 FROM member_votes v JOIN meetings m ON m.meeting_id = v.agenda_item_vote_id WHERE v.member_id = b.person_id AND m.public_body_id = b.public_body_id AND m.meeting_date >= '2001-07-01')")
 def j8(t):
     """Memberships without a vote as evidence."""
-    votes = t.member_votes.join(t.meetings.select(F.col("meeting_id").alias("agenda_item_vote_id"), "public_body_id"), "agenda_item_vote_id")
+    meetings = t.meetings.where("meeting_date >= '2001-07-01'").select(F.col("meeting_id").alias("agenda_item_vote_id"), "public_body_id")
+    votes = t.member_votes.join(meetings, "agenda_item_vote_id")
     return t.body_memberships.select("person_id", "public_body_id").join(votes.select(F.col("member_id").alias("person_id"), "public_body_id"), ["person_id", "public_body_id"], "left_anti")
 
 
@@ -248,10 +250,10 @@ def j20(t):
     return best.select("source", F.length("text").alias("chars"), "docs")
 
 
-@query("j22", "SELECT meeting_id, agenda_item_number, title FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY agenda_item_number DESC, title DESC, item_text DESC) AS rn FROM agenda_items) x WHERE rn = 1")
+@query("j22", "SELECT meeting_id, agenda_item_number, title FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY CAST(agenda_item_number AS INT) DESC, title DESC, item_text DESC) AS rn FROM agenda_items) x WHERE rn = 1")
 def j22(t):
     """The last item of each meeting."""
-    return first_by(t.agenda_items, ["meeting_id"], [F.desc("agenda_item_number"), F.desc("title"), F.desc("item_text")]).select("meeting_id", "agenda_item_number", "title")
+    return first_by(t.agenda_items, ["meeting_id"], [F.col("agenda_item_number").cast("int").desc(), F.desc("title"), F.desc("item_text")]).select("meeting_id", "agenda_item_number", "title")
 
 
 @query("w2", "SELECT person_id, public_body_id, term_start FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY term_start DESC, public_body_id) AS rn FROM body_memberships) x WHERE rn = 1")

@@ -17,7 +17,8 @@ def w1(t):
     return P.deduplicated(t.permits).select("permit_number", "row_hash", "permit_square_feet", "permit_issue_date", "normalized_category")
 
 
-@query("a15", f"""WITH {_DEDUP}, k AS (SELECT unnest(['Commercial', 'Residential', 'Trade', 'Infrastructure']) AS normalized_category), s AS (SELECT normalized_category, {_SUMS} FROM d GROUP BY 1)
+# the chosen categories are a condition on the permits, so they are deduplicated among themselves
+@query("a15", f"""WITH {_DEDUP.replace("FROM permits", "FROM permits WHERE normalized_category IN ('Commercial', 'Residential', 'Trade', 'Infrastructure')")}, k AS (SELECT unnest(['Commercial', 'Residential', 'Trade', 'Infrastructure']) AS normalized_category), s AS (SELECT normalized_category, {_SUMS} FROM d GROUP BY 1)
   SELECT k.normalized_category, coalesce(permits, 0) AS permits, coalesce(square_feet, 0) AS square_feet, coalesce(valuation, 0) AS valuation FROM k LEFT JOIN s USING (normalized_category)""")
 def a15(t):
     """Totals of chosen categories, zero where there is none."""

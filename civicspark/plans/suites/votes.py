@@ -210,13 +210,14 @@ def v18(t):
     )
 
 
-@query("v18_matrix", f"""WITH {_TALLY}, {_ACTIVE}, {_PAIRS} SELECT member_id, {", ".join(f"max(CASE WHEN other_member_id = {k} THEN round(100.0 * same_votes / total_comparable_votes, 1)::DOUBLE END) AS m{k}" for k in range(1, 6))}
-  FROM g WHERE member_id <= 5 AND other_member_id <= 5 GROUP BY 1""")
+@query("v18_matrix", f"""WITH {_TALLY}, {_ACTIVE}, {_PAIRS} SELECT member_id, string_agg(concat(other_member_id, ':', round(100.0 * same_votes / total_comparable_votes, 1)::DOUBLE), ' ' ORDER BY other_member_id) AS cells
+  FROM g WHERE total_comparable_votes > 0 GROUP BY 1""")
 def v18_matrix(t):
-    """Alignment of the first members as a matrix; the diagonal is null."""
-    pairs = V.pairwise_alignment(V.normalized(t.member_votes), t.meeting_members).where("member_id <= 5 and other_member_id <= 5")
-    wide = pairs.groupBy("member_id").pivot("other_member_id", [1, 2, 3, 4, 5]).agg(F.max("overall_alignment_pct"))
-    return wide.select("member_id", *[F.col(f"`{k}`").alias(f"m{k}") for k in range(1, 6)])
+    """A row of the alignment matrix for each member: the other members with their shares."""
+    pairs = V.pairwise_alignment(V.normalized(t.member_votes), t.meeting_members).where("overall_alignment_pct is not null")
+    cells = F.array_sort(F.collect_list(F.struct("other_member_id", "overall_alignment_pct")))
+    rows = pairs.groupBy("member_id").agg(cells.alias("cells"))
+    return rows.select("member_id", F.array_join(F.transform("cells", lambda x: F.concat_ws(":", x["other_member_id"].cast("string"), x["overall_alignment_pct"].cast("string"))), " ").alias("cells"))
 
 
 @query("v18_pairs", f"WITH {_TALLY}, {_ACTIVE}, {_PAIRS} SELECT member_id, other_member_id, round(100.0 * same_votes / total_comparable_votes, 1)::DOUBLE AS pct FROM g")
