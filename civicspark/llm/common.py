@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids that a broadcast join may hold; a side with more rows is shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Ids that a broadcast join may hold, about 10 MB; a side with more rows is shuffled.
+BROADCAST_ROWS = 250_000
 #: Counted rows of ids that are worth a task.
 TASK_ROWS = 20_000
 #: Tasks of a stage at most, for the driver's sake; beyond that a task takes more groups, not larger ones.

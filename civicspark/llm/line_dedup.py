@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import BROADCAST_ROWS, bounded, grouped_rows, input_bytes, keep, with_schema
+from civicspark.llm.common import grouped_rows, input_bytes, keep, with_schema
 
 #: Stripped at both ends of a line.
 MARKS = b" \t\n\x0b\x0c\r"
@@ -133,7 +133,7 @@ def _dropped(text: bytes | None, least: int, drop) -> tuple[int, int, bytes]:
 
 def line_dedup(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", least_chars: int = 40, least_docs: int = 5,
-    broadcast_rows: int = BROADCAST_ROWS // 4,
+    broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """Documents without lines that many documents share, but for one keeper.
 

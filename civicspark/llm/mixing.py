@@ -21,7 +21,7 @@ from civicspark.llm.common import keep
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE_ROWS = 4_000
 #: Places that words are hashed to.
-PLACES = 8_192
+PLACES = 4_096
 #: Projected gradient steps, at most, and the relative gap at which they end.
 STEPS, GAP = 20, 1e-8
 
@@ -101,7 +101,7 @@ def fit_domains(
             row[r["place"] - 1] += r[f"n{k}"]
         whole = math.log(sum(row))
         model.base.append(math.log(sizes[d] / n))
-        model.weights.append([math.log(x) - whole for x in row])
+        model.weights.append([round(math.log(x) - whole, 4) for x in row])  # short, as plans carry them as text
     return model
 
 
