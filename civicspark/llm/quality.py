@@ -24,6 +24,8 @@ from civicspark.llm.common import with_schema
 SAMPLE_ROWS = 20_000
 #: Preference pairs drawn from them.
 PAIRS = 120_000
+#: Pairs whose differences are held at once.
+PAIR_BLOCK = 10_000
 #: Score at the quantile threshold.
 CUT_SCORE = 0.3
 _CLASSES = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "!?", "|", "#$%&*@^~+=_`", ".,;:", "'\"()-", "<>{}[]\\/", " \t\r\x0b\x0c", "\n"]
@@ -110,11 +112,14 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, seed: int = 7)
     if not len(good) or not len(bad):
         return QualityModel(center, scale, w, 1.0 if len(bad) else -1.0)
     rng = np.random.default_rng(seed)
-    d = z[good[rng.integers(0, len(good), PAIRS)]] - z[bad[rng.integers(0, len(bad), PAIRS)]]
+    first, second = good[rng.integers(0, len(good), PAIRS)], bad[rng.integers(0, len(bad), PAIRS)]
     for _ in range(25):
-        p = 1 / (1 + np.exp(-(d @ w).clip(-500, 500)))
-        gradient = d.T @ (p - 1) / PAIRS + ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / PAIRS + ridge * np.eye(len(w))
+        gradient, hessian = ridge * w, ridge * np.eye(len(w))
+        for k in range(0, PAIRS, PAIR_BLOCK):
+            d = z[first[k : k + PAIR_BLOCK]] - z[second[k : k + PAIR_BLOCK]]
+            p = 1 / (1 + np.exp(-(d @ w).clip(-500, 500)))
+            gradient += d.T @ (p - 1) / PAIRS
+            hessian += (d * (p * (1 - p))[:, None]).T @ d / PAIRS
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
