@@ -35,7 +35,7 @@ VERIFY_COST = 2.0
 #: Counters of the frequency sketch: about one for SKETCH_LOAD words, within these bounds.
 LEAST_SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_LOAD = 18, 23, 32
 #: Turns of linking sets of open postings to pivots, and pivots of a set in each.
-PIVOT_TURNS, PIVOTS = 1, 3
+PIVOT_TURNS, PIVOTS = 2, 3
 #: Hubs of a block, and partners of a block that a task verifies.
 BLOCK_HUBS, BLOCK_ROWS = 48, 1_000
 #: Turns of verifying each set's best partner of what is still apart.
@@ -497,7 +497,7 @@ def ngram_jaccard_join(
 
     Candidates are verified in waves.  In the first, a row of a posting has two
     partners at most, the row of next size and the posting's pivot, and a set
-    takes the best of each kind.  The next wave takes pivots of the components
+    takes the best of each kind.  The next two take pivots of the components
     that this left apart.  The last wave takes every pair whose ends then still
     lie in different components.  So a large group of near copies costs rows in
     proportion to its size, and no link between components is lost.
