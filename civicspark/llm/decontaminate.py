@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm import wordhash as wh
-from civicspark.llm.common import keep
+from civicspark.llm.common import give_back, keep
 
 #: Bytes of benchmark text in a block that is broadcast; more items take more blocks, one after the other.
 BLOCK_BYTES = 32_000_000
@@ -155,6 +155,7 @@ def with_tilings(
                     columns = list(piece.columns)
                     columns[last] = pa.array(found, kind)
                     yield pa.RecordBatch.from_arrays(columns, piece.schema.names)
+            give_back()
 
         rows = rows.mapInArrow(run, schema)
         if k + 1 < blocks:

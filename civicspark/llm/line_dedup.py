@@ -19,7 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import grouped_rows, input_bytes, keep, with_schema
+from civicspark.llm import wordhash as wh
+from civicspark.llm.common import give_back, grouped_rows, input_bytes, keep, with_schema
 
 #: Stripped at both ends of a line.
 MARKS = b" \t\n\x0b\x0c\r"
@@ -163,7 +164,7 @@ def line_dedup(
         rows = rows.join(lost.withColumnRenamed("id", "__id"), rows[id_col] == F.col("__id"), "left").drop("__id")
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in wh.chunks(whole, text)):
             ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
             texts = _texts(batch.column(batch.schema.get_field_index(text)))
             lost = [None] * len(ids) if few else batch.column(batch.schema.get_field_index("__lost")).to_pylist()
@@ -178,6 +179,7 @@ def line_dedup(
             columns = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
             columns[text] = pa.array([None if t is None else x[2] for x, t in zip(found, texts)], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_pydict(columns | {"n_lines": pa.array([x[0] for x in found], pa.int64()), "n_dropped": pa.array([x[1] for x in found], pa.int64())})
+        give_back()
 
     kinds = [f for f in rows.schema.fields if f.name in names]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.llm import wordhash as wh
-from civicspark.llm.common import with_schema
+from civicspark.llm.common import give_back, with_schema
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -170,6 +170,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", scor
             found = [shared.value.score(text_features(p.column(0))) for p in wh.chunks(whole, text)]
             scores = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, score])
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{schema}, `{score}` double")

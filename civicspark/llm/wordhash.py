@@ -26,7 +26,7 @@ _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.u
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
+    """Powers of the base and of its inverse modulo 2**64, n of each; those of a chunk are kept, longer ones made anew."""
     global _powers
     if len(_powers[0]) < n:
         size = max(n, CHUNK_BYTES + 1)
@@ -35,6 +35,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
             steps = np.full(size, factor, np.uint64)
             steps[0] = 1
             tables.append(np.multiply.accumulate(steps))
+        if size > CHUNK_BYTES + 1:
+            return tables[0], tables[1]
         _powers = (tables[0], tables[1])
     return _powers[0][:n], _powers[1][:n]
 
