@@ -14,7 +14,9 @@ from civicspark.llm.licenses import NOTICES, license_scan
 from civicspark.llm.line_dedup import line_dedup
 from civicspark.llm.mixing import Mixture, mix_to_targets
 from civicspark.llm.ngram_join import ngram_jaccard_join
+from civicspark.llm.prefix_trie import sequences, trie, turn_digests
 from civicspark.llm.quality import CUT_SCORE, fit_quality, score_quality
+from civicspark.llm.secret_scan import count_kind, secret_scan, spelled
 from civicspark.llm.substring_dedup import substring_dedup
 from civicspark.llm.warc import archive_round_trip
 
@@ -218,3 +220,71 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_nearest_neighbours"] = op10_nearest_neighbours
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, by patterns and by the token-efficiency test."""
+    found = secret_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=20, most_chars_per_token=2.0).drop("text")
+    base = F.filter("spans", lambda s: s.kind != "random")
+    return found.select(
+        "doc_id",
+        *[count_kind(F.col("spans"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex", "random")],
+        F.sha2(spelled(base), 256).alias("base_sha256"),
+        spelled(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES["op12_secret_scan"] = op12_secret_scan
+
+
+def rebuilt_conversations(turns: DataFrame) -> DataFrame:
+    """Digests of turns with the first h of each conversation c taken from conversation c - c % 100, h = crc32(c) % 6."""
+    numbered = sequences(turn_digests(turns)).select("conv_id", F.col("depth").alias("turn"), "digest", "chars")
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    own = numbered.where(F.col("turn") > h)
+    bases = numbered.where("conv_id % 100 = 0 AND turn <= 5").withColumnRenamed("conv_id", "base")
+    wanted = numbered.select("conv_id").distinct().select("conv_id", (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), h.alias("h"))
+    heads = wanted.join(bases, "base").where("turn <= h").select("conv_id", "turn", "digest", "chars")
+    return heads.union(own)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of rebuilt conversations."""
+    turns = _table(spark, sf_dir, "conversations")
+    return trie(rebuilt_conversations(turns), turns.select("conv_id")).nodes.drop("fp", "parent_fp")
+
+
+QUERIES["op13_prefix_trie"] = op13_prefix_trie
+ORACLE_SQL["op13_prefix_trie"] = r"""
+WITH numbered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, list_reduce(
+    list_concat([4294967295::UBIGINT::HUGEINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: list_concat([ascii(x)::HUGEINT],
+      list_transform(range(8), lambda i: (-1)::HUGEINT))))),
+    lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384::HUGEINT * (c & 1)) END) AS crc
+  FROM (SELECT DISTINCT conv_id FROM numbered)
+), want AS (SELECT conv_id, base, (xor(crc, 4294967295::HUGEINT) % 6)::BIGINT AS h FROM convs),
+sequence AS (
+  SELECT w.conv_id, n.place, n.role, n.text FROM want w JOIN numbered n ON n.conv_id = w.base AND n.place <= w.h
+  UNION ALL SELECT w.conv_id, n.place, n.role, n.text FROM want w JOIN numbered n ON n.conv_id = w.conv_id AND n.place > w.h
+), path AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, list(sha256(length(role) || ':' || role || text)) OVER w AS p
+  FROM sequence WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+), member AS (
+  SELECT conv_id, depth, chars, p FROM path UNION ALL SELECT conv_id, 0, 0, [] FROM want
+), ended AS (SELECT conv_id, arg_max(p, depth) AS p FROM member GROUP BY conv_id),
+ends AS (SELECT p, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM ended GROUP BY p),
+node AS (SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM member GROUP BY p, depth),
+child AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT n.p[1:unnest(range(0, n.depth + 1))] AS p, (n.n_convs - 1) * n.chars AS saved, (c.p IS NULL)::BIGINT AS leaf
+  FROM node n LEFT JOIN child c ON c.p = n.p
+), sums AS (SELECT p, sum(saved) AS saved_tokens, sum(leaf) AS n_leaves FROM below GROUP BY p)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM node n JOIN sums s ON s.p = n.p LEFT JOIN child c ON c.p = n.p LEFT JOIN ends e ON e.p = n.p
+LEFT JOIN node q ON q.depth = n.depth - 1 AND q.p = n.p[1:n.depth - 1]
+"""
