@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from civicspark.llm.decontaminate import with_tilings
 from civicspark.llm.html_extract import extract_main_text
 from civicspark.llm.inverted_multi_index import nearest
+from civicspark.llm.lexical_search import lexical_search
 from civicspark.llm.licenses import NOTICES, license_scan
 from civicspark.llm.line_dedup import line_dedup
 from civicspark.llm.mixing import Mixture, mix_to_targets
@@ -222,6 +223,36 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op10_nearest_neighbours"] = op10_nearest_neighbours
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents of highest score for every benchmark item."""
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+QUERIES["op11_ranked_search"] = op11_ranked_search
+ORACLE_SQL["op11_ranked_search"] = r"""
+WITH every AS (
+  SELECT doc_id, NULL::BIGINT AS item_id, text FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT NULL, item_id, min(text) FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id
+), terms AS (
+  SELECT doc_id, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM every
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM terms WHERE doc_id IS NOT NULL GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM n),
+w AS (
+  SELECT term, floor(1000 * ln((2 * (SELECT docs FROM total) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf GROUP BY term
+), q AS (SELECT item_id, term, count(*) AS times FROM terms WHERE item_id IS NOT NULL GROUP BY ALL),
+scale AS (SELECT doc_id, 100 - 25 + ((25 * n * (SELECT docs FROM total)) // (SELECT tokens FROM total)) AS m FROM n),
+scored AS (
+  SELECT q.item_id, tf.doc_id, sum(q.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * s.m)))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN scale s USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 20
+"""
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document, by patterns and by the token-efficiency test."""
     found = secret_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=20, most_chars_per_token=2.0).drop("text")
