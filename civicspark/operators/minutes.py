@@ -5,37 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_NAME = r"[A-Z][\w.'-]+(?:\s+[A-Z][\w.'-]+){0,2}"
+from civicspark.operators.line_machine import attendance, votes
 
+# The forms of case numbers.
 _CASE = r"(?i)(?:Z[-/\s]?\d{3,6}|PLN\d{4,6}|SPL\s*\d{3,6}|V[OA]\s*\d{3,6}|CASE\s*\d{4,9}|Project\s*(?:Number|#|No\.?)\s*[-:.]?\s*\d{3,9}|(?<!\w)\d{2}-\d{4,6}(?!\w))"
 
 
 def motions(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """One row for each ``Motion by X, seconded by Y, to ...`` with its outcome and counts.
-
-    Counts come as ``7-0``, ``70`` or ``Ayes: 7; Nays: 0``; without counts they are null.
-    """
-    parts = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "), r"(?i)(?=\bmotion\s+(?:was\s+made\s+)?by\b)")
-    rows = docs.select(id_col, F.posexplode(parts).alias("place", "part")).where(F.col("part").rlike(r"(?i)^motion\s"))
-    pick = lambda pattern: F.nullif(F.regexp_extract("part", pattern, 1), F.lit(""))
-    # a tally stands behind the outcome, so dates and numbers of the motion itself are none
-    tail = F.regexp_extract("part", r"(?is)(\b(?:carried|carries|passed|passes|failed|fails|approved|denied|defeated|unanimous\w*|vote\s+of|vote:|ayes?:)\b?.*)$", 1)
-    count = lambda pattern: F.nullif(F.regexp_extract(tail, pattern, 1), F.lit(""))
-    dashed = F.coalesce(count(r"(?<![\d-])(\d{1,2})\s*-\s*\d{1,2}(?![\d-])"), count(r"(?i)vote\s+of\s+(\d)\d\b"), count(r"(?i)\bayes?:\s*(\d+)"))
-    against = F.coalesce(count(r"(?<![\d-])\d{1,2}\s*-\s*(\d{1,2})(?![\d-])"), count(r"(?i)vote\s+of\s+\d(\d)\b"), count(r"(?i)\bnay[s]?:\s*(\d+)"))
-    result = F.when(F.col("part").rlike(r"(?i)\b(?:failed|fails|denied|defeated)\b"), "failed").when(F.col("part").rlike(r"(?i)\b(?:carried|carries|passed|approved|unanimous)"), "passed")
-    return rows.select(
-        id_col, "place", pick(rf"(?i:motion\s+(?:was\s+made\s+)?by)\s+({_NAME})").alias("mover"), pick(rf"(?i:second(?:ed)?(?:\s+by)?)\s+({_NAME})").alias("seconder"),
-        result.alias("result"), dashed.cast("int").alias("yes_votes"), against.cast("int").alias("no_votes"), F.col("part").rlike(r"(?i)unanimous").alias("unanimous"),
-    )
+    """One row for each motion with its place, mover, seconder, outcome, counts and whether it was unanimous."""
+    return votes(docs, id_col, text).select(id_col, "place", "mover", "seconder", "result", "yes_votes", "no_votes", "unanimous")
 
 
 def roll_call(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Names after ``Present:`` and ``Absent:`` up to the line's end, with whether they were there."""
-    rows = docs.select(id_col, F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?im)^\s*((?:members\s+)?(?:present|absent):[^\n]*)"), F.lit(1))).alias("line"))
-    names = F.explode(F.split(F.regexp_extract("line", r":\s*(.*)$", 1), r"\s*(?:,|;|\band\b)\s*")).alias("name")
-    found = rows.select(id_col, F.col("line").rlike(r"(?i)^(?:members\s+)?present").alias("present"), names)
-    return found.select(id_col, F.trim("name").alias("name"), "present").where("name <> '' and lower(name) <> 'none'")
+    """Names of the roll, behind its headings or on lines of their own, with whether they were there."""
+    return attendance(docs, id_col, text).select(id_col, "name", "present")
 
 
 def numbered_items(docs: DataFrame, id_col: str, text: str) -> DataFrame:

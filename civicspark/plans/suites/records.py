@@ -211,12 +211,6 @@ def v29(t):
     return rows.fillna(0, counts).fillna("", ["by_source"]).select("id", "name", "entity_type", *counts, "first_seen", "last_seen", "by_source")
 
 
-@query("x2", """SELECT p_partkey AS id, round(r / (r + 1), 6)::DOUBLE AS rank FROM (SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN 1.0 ELSE 0 END + CASE WHEN p_name LIKE 'small %' THEN 0.4 ELSE 0 END + 0.2 AS r FROM part WHERE p_type = 'SMALL' OR p_name LIKE 'small %') x""")
-def x2(t):
-    """Article search over three weighted fields, both words needed."""
-    return S.search(S.build_index(t.part.withColumnRenamed("p_partkey", "id"), "id", {"p_type": "A", "p_name": "B", "p_brand": "C"}), "small brand")
-
-
 @query("m7_binary", """WITH c AS (SELECT count(*) FILTER (WHERE y = 1 AND p = 1)::DOUBLE AS tp, count(*) FILTER (WHERE y = 0 AND p = 1)::DOUBLE AS fp, count(*) FILTER (WHERE y = 0 AND p = 0)::DOUBLE AS tn, count(*) FILTER (WHERE y = 1 AND p = 0)::DOUBLE AS fn
   FROM (SELECT quality AS y, CASE WHEN doc_id % 7 > 1 THEN quality ELSE 1 - quality END AS p FROM labels) x), r AS (SELECT *, tp / (tp + fp) AS p1, tp / (tp + fn) AS r1, tn / (tn + fn) AS p0, tn / (tn + fp) AS r0 FROM c)
 SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn, round(p1, 4) AS precision_1, round(r1, 4) AS recall_1, round(2 * p1 * r1 / (p1 + r1), 4) AS f1_1, round(p0, 4) AS precision_0, round(r0, 4) AS recall_0, round(2 * p0 * r0 / (p0 + r0), 4) AS f1_0,

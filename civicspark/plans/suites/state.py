@@ -86,33 +86,6 @@ def i9_all(t):
     return trending(t.page_views, "article_id", "viewed_at")
 
 
-@query("x3", """WITH t AS (SELECT id, word FROM (SELECT id, unnest(regexp_split_to_array(lower(text_content), '[^a-z0-9]+')) AS word FROM supporting_documents) x),
-g AS (SELECT id, count(*) FILTER (WHERE word = 'the') AS a, count(*) FILTER (WHERE word = 'with') AS b, count(*) FILTER (WHERE word = 'les') AS n FROM t GROUP BY 1)
-SELECT id, round((0.4 * a + 0.4 * b) / (0.4 * a + 0.4 * b + 1), 6)::DOUBLE AS rank FROM g WHERE a > 0 AND b > 0 AND n = 0""")
-def x3(t):
-    """Ranked document search with an exclusion."""
-    return S.search(S.build_index(t.supporting_documents, "id", {"text_content": "B"}), "the with -les")
-
-
-@query("x1", """WITH k AS (SELECT p_partkey AS id, p_type, p_name FROM part) SELECT id, round(r / (r + 1), 6)::DOUBLE AS rank FROM (SELECT id,
-  (CASE WHEN p_type = 'SMALL' THEN 1.0 ELSE 0 END + CASE WHEN p_name LIKE 'small %' THEN 0.4 ELSE 0 END) AS r FROM k WHERE p_name NOT LIKE '% ring') x WHERE r > 0""")
-def x1(t):
-    """Search over two weighted fields with an exclusion."""
-    return S.search(S.build_index(t.part.withColumnRenamed("p_partkey", "id"), "id", {"p_type": "A", "p_name": "B"}), "small -ring")
-
-
-@query("x1_phrase", """SELECT p_partkey AS id, round(0.4 / 1.4, 6)::DOUBLE AS rank FROM part WHERE p_name = 'small ring'""")
-def x1_phrase(t):
-    """Phrase search."""
-    return S.search(S.build_index(t.part.withColumnRenamed("p_partkey", "id"), "id", {"p_type": "A", "p_name": "B"}), '"small ring"')
-
-
-@query("x4", "SELECT p_partkey AS id, len(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> '')) AS terms FROM part")
-def x4(t):
-    """Index size by document."""
-    return S.build_index(t.part.withColumnRenamed("p_partkey", "id"), "id", {"p_name": "A"}).groupBy("id").agg(F.count("*").alias("terms"))
-
-
 @query("p10", "SELECT meeting_id, agenda_item_number FROM agenda_items WHERE title ILIKE '%Widget%' OR title ILIKE '%economy%' OR item_text ILIKE '%Widget%' OR item_text ILIKE '%economy%'")
 def p10(t):
     """Items that hold any of several words."""

@@ -104,13 +104,6 @@ def f61(t):
     return t.persons.select("id", N.role_of(F.lit("eol"), title).alias("role"))
 
 
-@query("e19", """SELECT o_orderkey, concat('Member', o_custkey) AS name, true AS present FROM orders UNION ALL SELECT o_orderkey, 'Jones', false FROM orders""")
-def e19(t):
-    """Attendance out of minutes."""
-    text = F.concat(F.lit("Call to order\nPresent: Member"), F.col("o_custkey").cast("string"), F.lit("\nMembers absent: Jones and none\nEnd"))
-    return X.roll_call(t.orders.select("o_orderkey", text.alias("minutes")), "o_orderkey", "minutes")
-
-
 @query("e21", """SELECT o_orderkey, 'Smith' AS mover, 'Jones' AS seconder, 'passed' AS result, (o_orderkey % 7 + 1)::INT AS yes_votes, (o_orderkey % 3)::INT AS no_votes FROM orders""")
 def e21(t):
     """Motions out of minutes."""
