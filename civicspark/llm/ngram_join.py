@@ -36,6 +36,8 @@ VERIFY_COST = 2.0
 LEAST_SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_LOAD = 18, 23, 32
 #: Turns of linking sets of open postings to pivots, and pivots of a set in each.
 PIVOT_TURNS, PIVOTS = 2, 3
+#: Smallest shingles of a set that make up its sketch, and the similarity by sketches from which a pair with a pivot is verified.
+SKETCH_SIZE, SKETCH_CUT = 32, 0.5
 #: Hubs of a block, and partners of a block that a task verifies.
 BLOCK_HUBS, BLOCK_ROWS = 48, 1_000
 #: Turns of verifying each set's best partner of what is still apart.
@@ -70,10 +72,18 @@ def _least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * n // den)
 
 
+def _smallest(h: np.ndarray, off: np.ndarray) -> pa.Array:
+    """The leading halves of the SKETCH_SIZE smallest shingles of each set, which come sorted."""
+    sizes = np.minimum(np.diff(off), SKETCH_SIZE)
+    at = np.r_[0, np.cumsum(sizes)]
+    taken = np.repeat(off[:-1] - at[:-1], sizes) + np.arange(at[-1])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((h[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+
+
 def shingle_profile(docs: DataFrame, text: str, id_col: str, width: int) -> tuple[DataFrame, np.ndarray]:
-    """Set size and set id of every document, and the frequency sketch of all shingles.
+    """Set size, set id and smallest shingles of every document, and the frequency sketch of all shingles.
 
-    The sketch counts shingles by their leading bits, up to 65,535.
+    The frequency sketch counts shingles by their leading bits, up to 65,535.
     """
     slices = 64
     expected = max(1, input_bytes(docs) // 4 // SKETCH_LOAD)
@@ -86,16 +96,16 @@ def shingle_profile(docs: DataFrame, text: str, id_col: str, width: int) -> tupl
             n = part.num_rows
             yield {
                 "id": part.column(part.schema.get_field_index(id_col)), "n": np.diff(off),
-                "set_id": _set_ids(h, off).view(np.int64), "slice": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary()),
+                "set_id": _set_ids(h, off).view(np.int64), "low": _smallest(h, off), "slice": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary()),
             }
         if counts.any():
             none, press = pa.nulls(slices, pa.int64()), zstandard.ZstdCompressor(level=1)
             blobs = [press.compress(np.minimum(x, 65535).astype(np.uint16).tobytes()) for x in np.split(counts, slices)]
-            yield {"id": none, "n": none, "set_id": none, "slice": range(slices), "counts": blobs}
+            yield {"id": none, "n": none, "set_id": none, "low": pa.nulls(slices, pa.list_(pa.int32())), "slice": range(slices), "counts": blobs}
 
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_id", pa.int64()), ("low", pa.list_(pa.int32())), ("slice", pa.int32()), ("counts", pa.binary())])
     base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias(text))
-    scanned = keep(base.mapInArrow(with_schema(scan, schema), "id long, n long, set_id long, slice int, counts binary"), "profile")
+    scanned = keep(base.mapInArrow(with_schema(scan, schema), "id long, n long, set_id long, low array<int>, slice int, counts binary"), "profile")
 
     def add(batches):
         unpress = zstandard.ZstdDecompressor()
@@ -114,7 +124,7 @@ def shingle_profile(docs: DataFrame, text: str, id_col: str, width: int) -> tupl
     sketch = np.zeros((slices, (1 << bits) // slices), np.uint16)
     for row in summed:
         sketch[row.slice] = np.frombuffer(row.counts, np.uint16)
-    return scanned.where("slice is null").select("id", "n", "set_id"), sketch.ravel()
+    return scanned.where("slice is null").select("id", "n", "set_id", "low"), sketch.ravel()
 
 
 def _prefixes(h, off, sketch, num, den):
@@ -349,6 +359,19 @@ def _star(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     return shared.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select("a", F.col("pivot").alias("b"))
 
 
+def _promising(pairs: DataFrame, owner: DataFrame) -> DataFrame:
+    """Those of the pairs that are alike by the smallest shingles of their sets, which estimate their similarity.
+
+    Only for pairs with pivots, which spare work: a pair that is left out here
+    wrongly is found by the last wave.
+    """
+    for end in ("a", "b"):
+        pairs = pairs.join(owner.select(F.col("set_id").alias(end), F.col("low").alias(f"low_{end}")), end)
+    union = F.slice(F.array_sort(F.transform(F.array_union("low_a", "low_b"), lambda x: x.cast("long").bitwiseAND(0xFFFFFFFF))), 1, SKETCH_SIZE)
+    both = F.transform(F.array_intersect("low_a", "low_b"), lambda x: x.cast("long").bitwiseAND(0xFFFFFFFF))
+    return pairs.where(F.size(F.array_intersect(union, both)) >= SKETCH_CUT * F.size(union)).select("a", "b")
+
+
 def _products(sets: dict[str, np.ndarray], row: np.ndarray, token: np.ndarray, num: int, den: int):
     """Pairs of the sets of a group, by products of blocks of sets with blocks of shingles.
 
@@ -505,7 +528,7 @@ def ngram_jaccard_join(
     g = math.gcd(*threshold)
     num, den = threshold[0] // g, threshold[1] // g
     profile, sketch = shingle_profile(docs, text, id_col, width)
-    owner = keep(profile.where("n > 0 and id is not null").groupBy("set_id", "n").agg(F.min("id").alias("id")), "owner")
+    owner = keep(profile.where("n > 0 and id is not null").groupBy("set_id", "n").agg(F.min("id").alias("id"), F.first("low").alias("low")), "owner")
     found = keep(candidate_rows(docs, text, id_col, width, num, den, sketch), "candidates")
     args = (docs, owner, text, id_col, width, num, den)
     rows = found.where("b is null").select("a", "shingle", "n", "k")
@@ -517,7 +540,8 @@ def ngram_jaccard_join(
     component = _joined(None, new)
     for turn in range(PIVOT_TURNS):
         rows = _open_rows(rows.select("a", "shingle", "n", "k"), component)
-        new = keep(verify(_ordered(_star(rows, turn, num, den)).distinct(), *args, component), "links")
+        pairs = keep(_promising(_ordered(_star(rows, turn, num, den)).distinct(), owner), "pivot-pairs")
+        new = keep(verify(pairs, *args, component), "links")
         component = _joined(component, new)
     rows = _open_rows(rows.select("a", "shingle", "n", "k"), component)
     rest = _open_pairs(rows, num, den).groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("shared").alias("shared"))
