@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicspark.operators.merge import first_by
+from civicspark.operators.similarity_join import inside_pairs, two_words_pairs
+from civicspark.sources.shared import keep
 
 
 def get_or_create_meetings(old: DataFrame, new: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -49,6 +51,9 @@ def find_people(names: DataFrame, persons: DataFrame) -> DataFrame:
     exact = asked.join(known.groupBy(F.col("known").alias("norm")).agg(F.min("person_id").alias("exact_id")), "norm", "left")
     ends = known.select("*", F.explode(F.array_distinct(F.array(F.substring_index("known", " ", 1), F.substring_index("known", " ", -1)))).alias("word"))
     words = asked.select("name", "norm", F.explode(_parts(F.col("norm"))).alias("word")).where(F.length("word") >= 3)
+    # of the people whom a word finds only the least counts, so a common word finds one
+    single = (~F.col("known").contains(" ")).alias("single")
+    ends = ends.groupBy("word").agg(F.min(F.struct(single, "person_id", "known")).alias("p")).select("word", "p.person_id", "p.known")
     best = words.join(ends, "word").groupBy("name", "norm").agg(F.min(F.struct((~F.col("known").contains(" ")).alias("single"), F.col("person_id"), F.col("known"))).alias("b"))
     a, b = _parts(F.col("norm")), _parts(F.col("b.known"))
     fits = (F.size(a) < 2) | (F.size(b) < 2) | (F.size(F.array_intersect(a, b)) >= 2)
@@ -114,19 +119,20 @@ def match_entities(names: DataFrame, entities: DataFrame) -> DataFrame:
     Equal names have 0.95; a name inside another of which it has at least 0.6 of
     the length has 0.7 times that share; two common words of more than two
     letters have 0.6 times their share of both names' words.  Names of fewer than
-    three letters match nothing.  Pairs meet by common words, or by the first
-    three letters of one and any three letters in a row of the other.
+    three letters match nothing.  Names meet by two common words, or by the
+    rarest three letters of the one inside, so a word that many share makes no pairs.
     """
     asked = names.select("name").where(F.length("name") >= 3).distinct()
     known = entities.select(F.col("id").alias("entity_id"), F.col("normalized_name").alias("known")).where(F.length("normalized_name") >= 3)
     words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 2))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.concat(F.lit("#"), F.substring(c, i, F.lit(3)))))
-    first = lambda c: F.array(F.concat(F.lit("#"), F.substring(c, 1, 3)))
-    keyed = lambda df, c, keys: df.select("*", F.explode(keys(F.col(c))).alias("key"))
-    pairs = keyed(asked, "name", words).join(keyed(known, "known", words), "key")
-    for mine, other in ((first, grams), (grams, first)):
-        pairs = pairs.union(keyed(asked, "name", mine).join(keyed(known, "known", other), "key"))
-    pairs = pairs.select("name", "entity_id", "known").distinct()
+    forms = known.groupBy(F.col("known").alias("other")).agg(F.collect_set("entity_id").alias("ids"))
+    forms = keep(forms, "known-names")
+    pairs = two_words_pairs(asked.select("name", words(F.col("name")).alias("words")), forms.select("other", words(F.col("other")).alias("words")))
+    pairs = pairs.union(asked.join(forms, F.col("name") == F.col("other"), "left_semi").select("name", F.col("name").alias("other")))
+    pairs = pairs.union(inside_pairs(asked, forms.select("other"), 0.6))
+    turned = inside_pairs(forms.select(F.col("other").alias("name")), asked.select(F.col("name").alias("other")), 0.6)
+    pairs = pairs.union(turned.select(F.col("other").alias("name"), F.col("name").alias("other"))).distinct()
+    pairs = pairs.join(forms, "other").select("name", F.explode("ids").alias("entity_id"), F.col("other").alias("known"))
     share = F.least(F.length("name"), F.length("known")) / F.greatest(F.length("name"), F.length("known"))
     a, b = words(F.col("name")), words(F.col("known"))
     both = F.size(F.array_intersect(a, b))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civicspark.operators.similarity_join import alike_pairs, inside_pairs
+from civicspark.sources.shared import keep
+
 
 def tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda x: x != ""))
@@ -45,59 +48,69 @@ def block_keys(name: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
 
 
-def similar_pairs(entities: DataFrame, id_col: str, name_col: str, least: float = 0.85, largest_block: int = 2_000) -> DataFrame:
-    """Pairs of ids in a common block with similarity of at least ``least``.
+def blocked(a: Column, b: Column) -> Column:
+    """Whether two names are compared: they have a block key in common, or the tokens of one lie in the other's."""
+    x, y = tokens(a), tokens(b)
+    both = F.size(F.array_intersect(x, y))
+    return F.arrays_overlap(block_keys(a), block_keys(b)) | ((both > 0) & (both == F.least(F.size(x), F.size(y))))
+
 
-    Blocks are those of :func:`block_keys`, and for each name all names that hold
-    its every token: it is joined by its rarest token.  Keys are exploded, so the
-    join is an equi-join.  In blocks of more than ``largest_block`` names one side
-    is dealt into slices and each is joined with all of the other, so every pair
-    of a block is scored whatever its size.
+def similar_pairs(entities: DataFrame, id_col: str, name_col: str, least: float = 0.85) -> DataFrame:
+    """Pairs of ids of names that are compared (see :func:`blocked`) with similarity of at least ``least``.
+
+    The similarity is the Jaccard coefficient of the tokens, 1 for equal tokens,
+    or 0.85 if one name holds the other and is not four times as long.  Names
+    meet by their rare tokens and by the rarest letters of the one inside, so
+    words that many names share, as legal forms, make no pairs.  The least id of
+    names that differ in case at most stands for them, and is paired with each of the others.
     """
-    named = entities.select(F.col(id_col).alias("id"), F.col(name_col).alias("name")).where("id is not null and name is not null")
-    plain = named.select("id", "name", F.explode(block_keys(F.col("name"))).alias("key"))
-    held = named.select("id", "name", F.explode(tokens(F.col("name"))).alias("token"))
-    counts = held.groupBy("token").agg(F.count("*").alias("n"))
-    rarest = held.join(counts, "token").groupBy("id", "name").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
-    subset = lambda df: df.select("id", "name", F.concat(F.lit("s:"), "token").alias("key"))
-    left, right = plain.unionByName(subset(rarest)), plain.unionByName(subset(held))
-    slices = left.groupBy("key").agg(F.ceil(F.count("*") / largest_block).cast("int").alias("slices")).where("slices > 1")
-    left = left.join(slices, "key", "left").select("id", "name", "key", F.pmod(F.xxhash64("id"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"))
-    right = right.join(slices, "key", "left").select(
-        F.col("id").alias("other"), F.col("name").alias("other_name"), "key", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)).alias("slice")
-    )
-    a, b = tokens(F.col("name")), tokens(F.col("other_name"))
+    named = entities.select(F.col(id_col).alias("id"), F.lower(F.col(name_col)).alias("name")).where("id is not null and name is not null")
+    forms = keep(named.groupBy("name").agg(F.collect_set("id").alias("ids")), "forms")
+    sets = keep(forms.groupBy(F.array_sort(tokens(F.col("name"))).alias("tokens")).agg(F.collect_set("name").alias("names")).where(F.size("tokens") > 0), "token-sets")
+    numbered = sets.select(F.array_join("tokens", " ").alias("id"), "tokens")
+    alike = alike_pairs(numbered, least)
+    of_set = sets.select(F.array_join("tokens", " ").alias("key"), "names")
+    across = alike.join(of_set.select(F.col("key").alias("a"), F.col("names").alias("x")), "a").join(of_set.select(F.col("key").alias("b"), F.col("names").alias("y")), "b")
+    pairs = across.select(F.explode("x").alias("name"), "y").select("name", F.explode("y").alias("other"))
+    within = sets.where(F.size("names") > 1).select("names", F.explode("names").alias("name")).select("name", F.explode("names").alias("other"))
+    pairs = pairs.union(within)
+    if least <= 0.85:
+        pairs = pairs.union(inside_pairs(forms.select("name"), forms.select(F.col("name").alias("other")), 0.25))
+    pairs = pairs.where("name <> other").select(F.least("name", "other").alias("name"), F.greatest("name", "other").alias("other")).distinct()
+    a, b = tokens(F.col("name")), tokens(F.col("other"))
     equal = same_sorted(a, b) & (F.size(a) > 0)
-    score = F.round(F.greatest(jaccard(a, b), F.when(equal, 1.0).otherwise(0.0), contained(F.lower("name"), F.lower("other_name"))), 4)
-    # a subset is met on one side only, so pairs are ordered after the join
-    pairs = left.join(right, ["key", "slice"]).where("id <> other").withColumn("score", score).where(F.col("score") >= least)
-    return pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "score").groupBy("id", "other").agg(F.max("score").alias("score"))
+    score = F.round(F.greatest(F.coalesce(jaccard(a, b), F.lit(0.0)), F.when(equal, 1.0).otherwise(0.0), contained(F.col("name"), F.col("other"))), 4)
+    pairs = pairs.where(blocked(F.col("name"), F.col("other"))).withColumn("score", score).where(F.col("score") >= least)
+    heads = forms.select("name", F.array_min("ids").alias("head"))
+    one, two = heads.withColumnRenamed("head", "p"), heads.select(F.col("name").alias("other"), F.col("head").alias("q"))
+    found = pairs.join(one, "name").join(two, "other").select("p", "q", "score")
+    # a name without letters or digits is like itself by containment only
+    same = forms.select(F.array_min("ids").alias("p"), F.explode("ids").alias("q"), F.when(F.size(tokens(F.col("name"))) > 0, 1.0).otherwise(0.85).alias("score"), "name")
+    found = found.union(same.where((F.col("score") >= least) & (F.col("name") != "") & (F.col("p") < F.col("q"))).drop("name"))
+    return found.select(F.least("p", "q").alias("id"), F.greatest("p", "q").alias("other"), "score")
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """``id`` and ``component``, the smallest id that edges ``a``, ``b`` reach.
 
     Every round hangs each node on the least of its neighbours' labels, then on
-    that label's own.  A checkpoint ends it, in spark.checkpoint.dir or, where
-    that is unset, as in tests, in a folder of the session's warehouse.
+    that label's own, and ends in a table in the shared folder.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("component")).checkpoint()
+    both = keep(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    labels = keep(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("id"), F.least("a", "low").alias("component")), "labels")
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         least = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("next"))
         up = labels.select(F.col("id").alias("next"), F.col("component").alias("up"))
-        moved = least.join(up, "next", "left").select("id", F.least("next", F.coalesce("up", "next")).alias("component"), F.col("component").alias("was")).checkpoint()
+        moved = least.join(up, "next", "left").select("id", F.least("next", F.coalesce("up", "next")).alias("component"), F.col("component").alias("was"))
+        moved = keep(moved, "labels")
         labels = moved.select("id", "component")
         if moved.where("component <> was").limit(1).count() == 0:
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def merge_variations(entities: DataFrame, id_col: str, name_col: str, mentions: str, least: float = 0.85, largest_block: int = 2_000) -> DataFrame:
+def merge_variations(entities: DataFrame, id_col: str, name_col: str, mentions: str, least: float = 0.85) -> DataFrame:
     """(victim, survivor) of names that are similar, directly or through others.
 
     Names of equal tokens, or else of equal lower case, form one class, which is
@@ -109,7 +122,7 @@ def merge_variations(entities: DataFrame, id_col: str, name_col: str, mentions:
     # spellings of one class may be contained in different names, so each is compared
     spelled = rows.groupBy("__class", F.lower("__name").alias("__name")).agg(F.min(id_col).alias("__id"))
     head = spelled.groupBy("__class").agg(F.min("__id").alias("__head"))
-    edges = similar_pairs(spelled, "__id", "__name", least, largest_block).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    edges = similar_pairs(spelled, "__id", "__name", least).select(F.col("id").alias("a"), F.col("other").alias("b"))
     edges = edges.union(spelled.join(head, "__class").where("__id <> __head").select(F.col("__id").alias("a"), F.col("__head").alias("b")))
     found = components(edges).select(F.col("id").alias("__head"), F.col("component").alias("__group"))
     grouped = rows.join(head, "__class").join(found, "__head", "left").withColumn("__group", F.coalesce("__group", "__head"))
