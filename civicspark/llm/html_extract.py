@@ -45,6 +45,10 @@ _MARKS = frozenset(
     " popup promo promoted promotion recommended related remark replies reply respond share sharing sidebar sidebars skip social sponsor sponsored"
     " subscribe subscription tags toolbar topbar widget widgets alert login signup search".split()
 )
+#: Those of them that an article's own parts may bear: inside one they tell nothing unless the part is mostly links or holds a form.
+_VAGUE_MARKS = frozenset("alert disclaimer dropdown hidden login promotion recommended related remark search signup skip social tags topbar masthead footer widget widgets".split())
+#: Share of links from which a part of an article is navigation, and above which a neighbour is none of it.
+_MOSTLY_LINKS, _FEW_LINKS = 0.5, 0.25
 #: Such words before or after a mark tell a page's state.
 _STATE_BEGINS, _STATE_ENDS = frozenset("has no with without".split()), frozenset("open opened closed collapsed expanded active enabled disabled visible".split())
 _HEAD_MARKS = frozenset({"header", "head"})
@@ -177,12 +181,26 @@ def _boilerplate(node: Node, inside: bool) -> bool:
         return False
     if node.tag in _DROPPED:
         return True
+    if inside and not node.marks & (_MARKS - _VAGUE_MARKS) and node.marks & _MARKS and not _is_navigation(node):
+        return False
     if node.tag == "header" or (node.marks & _HEAD_MARKS and node.tag != "article"):
         if not (inside and any(isinstance(p, Node) and (p.tag in _HEADINGS or p.tag == "hgroup") for p in node.parts)):
             return node.tag == "header" or not any(isinstance(p, Node) and p.tag in ("p", "article", "section") for p in node.parts)
     return bool(node.marks & _MARKS)
 
 
+def _is_navigation(node: Node) -> bool:
+    """Whether a subtree is mostly links, or holds a form."""
+    stack, chars, linked = [node], 0, 0
+    while stack:
+        n = stack.pop()
+        if n.tag in ("form", "button", "select"):
+            return True
+        chars, linked = chars + n.chars, linked + n.linked
+        stack.extend(p for p in n.parts if isinstance(p, Node))
+    return linked > _MOSTLY_LINKS * chars
+
+
 def _own_points(node: Node) -> float:
     """Points of an element's own text, less by its share of links; call it before :func:`_score`."""
     if node.tag in _HEADINGS:
@@ -284,7 +302,8 @@ def _score(root: Node) -> list[Node]:
     return nodes
 
 
-def _blocks(node: Node, out: list[str]) -> None:
+def _blocks(node: Node, out: list[str], in_article: bool) -> None:
+    """Texts below a node in page order; outside an article without lists of links."""
     stack: list = [node]
     while stack:
         n = stack.pop()
@@ -292,23 +311,29 @@ def _blocks(node: Node, out: list[str]) -> None:
             out.append(n)
             continue
         links = sum(1 for p in n.parts if isinstance(p, Node))
-        if n.tag in ("ul", "ol") and links > 2 and _density(n) > 0.6:
-            continue  # a list of links
+        if not in_article and n.tag in ("ul", "ol") and links > 2 and _density(n) > 0.6:
+            continue
         stack.extend(reversed(n.parts))
 
 
 def _with_siblings(best: Node) -> list[Node]:
-    """The best container and its siblings that score well, with what has few links between them and headings before them."""
+    """The best container and its siblings that score well, with what has few links between them and headings before them.
+
+    Where no article or main element tells the limits, neighbours of few links
+    before and behind belong to it as well, as a lead, a byline or a last word.
+    """
     if best.parent is None:
         return [best]
     least = max(3.0, 0.2 * best.points)
     around = [p for p in best.parent.parts if isinstance(p, Node)]
     good = [k for k, p in enumerate(around) if p is best or p.points >= least or p.tag == "p" and p.chars > 80 and _density(p) < 0.25]
-    first = good[0]
-    while first and around[first - 1].tag in _HEADINGS:
+    first, last = good[0], good[-1]
+    plain = lambda p: _density(p) < _FEW_LINKS
+    while first and (around[first - 1].tag in _HEADINGS or best.tag not in ("article", "main") and plain(around[first - 1])):
         first -= 1
-    between = range(first, good[-1])
-    return [p for k, p in enumerate(around) if k in good or k in between and p.chars and _density(p) < 0.25]
+    while best.tag not in ("article", "main") and last + 1 < len(around) and plain(around[last + 1]):
+        last += 1
+    return [p for k, p in enumerate(around) if k in good or first <= k <= last and p.chars and plain(p)]
 
 
 def main_text(page: str | None) -> str:
@@ -331,7 +356,7 @@ def main_text(page: str | None) -> str:
         node = node.parent
     out: list[str] = []
     for part in _with_siblings(best):
-        _blocks(part, out)
+        _blocks(part, out, best.tag in ("article", "main"))
     return "\n\n".join(out)
 
 

@@ -1,7 +1,10 @@
 """Quality, decontamination, licenses, mixing and HTML extraction."""
 
+from html.parser import HTMLParser
+
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from civicspark.llm import decontaminate as dc
 from civicspark.llm import html_extract as hx
@@ -275,3 +278,71 @@ def test_deep_pages_take_time_in_proportion():
     for opening, closing in (("<div>", "</div>"), ("<div class='header'>", "</section>"), ("<div class='sidebar'><li>", "</p>"), ("<form>", "</form>"), ("<article>", "</aside>")):
         hx.main_text(opening * 30_000 + "<p>In the middle, far down.</p>" + closing * 30_000)
     assert time.process_time() - began < 20
+
+
+LONG = "A long paragraph of the story, with commas, and clauses, that goes on for quite a while, so that it scores well, as stories do."
+REFERENCES = "<h2>References</h2><ul>" + "".join(f'<li><a href="/{k}">Source {k}</a></li>' for k in range(4)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><p>{LONG}</p>{REFERENCES}</article>", [LONG, "References", *[f"Source {k}" for k in range(4)]]),
+        (f'<article><p>{LONG}</p><p class="related">Related work is told here.</p></article>', [LONG, "Related work is told here."]),
+        (f'<article><p>{LONG}</p><section id="search"><h2>Search</h2><p>How the search went on.</p></section></article>', [LONG, "Search", "How the search went on."]),
+        (f"<body><div>A short lead.</div><div><p>{LONG}</p><p>{LONG}</p></div><div>A last word.</div></body>", ["A short lead.", LONG, LONG, "A last word."]),
+        (f"<body><h1>Headline</h1><div>By Ann Lee</div><div><p>{LONG}</p><p>{LONG}</p></div></body>", ["Headline", "By Ann Lee", LONG, LONG]),
+        # by structure these are none of the article
+        (f'<article><p>{LONG}</p><div class="related"><a href="/1">One</a> <a href="/2">Two</a></div></article>', [LONG]),
+        (f'<article><p>{LONG}</p><section id="search"><form><input>Find it</form> now</section></article>', [LONG]),
+        (f'<article><p>{LONG}</p><div class="comments"><p>First, said a reader.</p></div><div class="ad"><p>Buy now.</p></div></article>', [LONG]),
+        (f'<body><div><a href="/">Home</a> <a href="/n">News</a></div><div><p>{LONG}</p></div><div><a href="/p">Privacy</a></div></body>', [LONG]),
+    ],
+)
+def test_nothing_of_an_article_is_lost(page, want):
+    assert hx.main_text(f"<!DOCTYPE html><html><head><title>T</title></head>{page}</html>").split("\n\n") == want
+
+
+class Plain(HTMLParser):
+    """A second reader: the texts between block tags inside the article, but for dropped elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.dropped, self.run, self.out = 0, 0, "", []
+
+    def cut(self):
+        if text := " ".join(self.run.split()):
+            self.out.append(text)
+        self.run = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in hx._BLOCKS or tag == "br":
+            self.run += " " if tag == "br" else ""
+            if tag != "br":
+                self.cut()
+        self.inside += tag == "article"
+        self.dropped += tag in ("nav", "aside", "form", "footer", "header", "script", "style") or self.dropped and tag == "div" or ("class", "ad") in attrs
+
+    def handle_endtag(self, tag):
+        if tag in hx._BLOCKS:
+            self.cut()
+        self.inside -= tag == "article"
+        self.dropped -= bool(self.dropped and tag in ("nav", "aside", "form", "footer", "header", "script", "style", "div"))
+
+    def handle_data(self, data):
+        if self.inside and not self.dropped:
+            self.run += data
+
+
+def test_pages_equal_a_second_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    compared = 0
+    for r in pages:
+        if r.html and r.html.count("<article") == 1 and "</article>" in r.html:
+            reader = Plain()
+            reader.feed(r.html)
+            reader.close()
+            reader.cut()
+            assert hx.main_text(r.html).split("\n\n") == reader.out, r.page_id
+            compared += 1
+    assert compared > len(pages) / 2
