@@ -349,11 +349,11 @@ def a22(t):
     return t.permits.groupBy(F.col("normalized_category").alias("name")).agg(F.count("*").alias("frequency")).where("frequency >= 5").orderBy(F.desc("frequency"), "name")
 
 
-@query("d19", "SELECT p.row_hash, m.body FROM permits p LEFT JOIN meetings m ON m.meeting_id = p.l_orderkey WHERE p.l_linenumber = 1")
+@query("d19", "SELECT p.row_hash, m.body FROM permits p LEFT JOIN meetings m ON m.meeting_id = p.l_orderkey")
 def d19(t):
     """A column filled from another table."""
     bodies = t.meetings.select(F.col("meeting_id").alias("l_orderkey"), "body")
-    return t.permits.where("l_linenumber = 1").join(bodies, "l_orderkey", "left").select("row_hash", "body")
+    return t.permits.join(bodies, "l_orderkey", "left").select("row_hash", "body")
 
 
 @query("f40", "SELECT permit_number, TRY_CAST(permit_square_feet AS DOUBLE) AS square_feet, TRY_CAST(permit_valuation AS DOUBLE) AS valuation FROM permits")

@@ -222,14 +222,14 @@ def f47_cases(title):
     return T.slug(title)
 
 
-@query("f50", """WITH d AS (SELECT unnest(generate_series(DATE '2026-02-01', DATE '2026-03-31', INTERVAL 1 DAY))::DATE AS day)
-SELECT strftime(day, '%Y-%m') AS month, CAST(day AS STRING) AS day, dayofweek(day)::INT AS column_no, ((day - (date_trunc('month', day)::DATE - dayofweek(date_trunc('month', day)::DATE)::INT)) // 7)::INT AS week_no FROM d""")
+@query("f50", """WITH d AS (SELECT o_orderdate::DATE AS day, count(*) AS meetings FROM orders GROUP BY 1)
+SELECT meetings, strftime(day, '%Y-%m') AS month, CAST(day AS STRING) AS day, dayofweek(day)::INT AS column_no, ((day - (date_trunc('month', day)::DATE - dayofweek(date_trunc('month', day)::DATE)::INT)) // 7)::INT AS week_no FROM d""")
 def f50(t):
-    """Days of two months by week and weekday, weeks from Sunday."""
-    days = t._spark.range(1).select(F.explode(F.sequence(F.lit("2026-02-01").cast("date"), F.lit("2026-03-31").cast("date"))).alias("d"))
+    """Days with meetings by month, week and weekday, weeks from Sunday."""
+    days = t.orders.groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.count("*").alias("meetings"))
     first = F.trunc("d", "month")
     sunday = F.date_sub(first, F.dayofweek(first) - 1)
-    return days.select(F.date_format("d", "yyyy-MM").alias("month"), F.col("d").cast("string").alias("day"), (F.dayofweek("d") - 1).alias("column_no"), F.floor(F.date_diff("d", sunday) / 7).cast("int").alias("week_no"))
+    return days.select("meetings", F.date_format("d", "yyyy-MM").alias("month"), F.col("d").cast("string").alias("day"), (F.dayofweek("d") - 1).alias("column_no"), F.floor(F.date_diff("d", sunday) / 7).cast("int").alias("week_no"))
 
 
 @cases("f51", "jurisdiction string, body string", [

@@ -73,9 +73,16 @@ def w11(t):
     return t.permits.select("l_orderkey", "l_partkey").dropDuplicates(["l_orderkey", "l_partkey"])
 
 
-@query("s8", """SELECT CAST(d AS STRING) AS chunk_start, CAST(least(d + 180, DATE '2020-01-01') AS STRING) AS chunk_end
-  FROM (SELECT unnest(generate_series(DATE '2015-01-01', DATE '2020-01-01', INTERVAL 180 DAY))::DATE AS d) x""")
+@query("s8", """WITH b AS (SELECT min(o_orderdate)::DATE AS low, max(o_orderdate)::DATE + 1 AS high FROM orders),
+c AS (SELECT d::DATE AS d, least(d::DATE + 180, high) AS e FROM (SELECT unnest(generate_series(low, high - 1, INTERVAL 180 DAY)) AS d, high FROM b) x)
+SELECT CAST(d AS STRING) AS chunk_start, CAST(e AS STRING) AS chunk_end, count(o_orderkey) AS orders FROM c LEFT JOIN orders ON o_orderdate::DATE >= d AND o_orderdate::DATE < e GROUP BY 1, 2""")
 def s8(t):
-    """Half-open date chunks of 180 days."""
-    days = t._spark.range(1).select(F.explode(F.sequence(F.lit("2015-01-01").cast("date"), F.lit("2020-01-01").cast("date"), F.expr("interval 180 days"))).alias("chunk_start"))
-    return days.select(F.col("chunk_start").cast("string").alias("chunk_start"), F.least(F.date_add("chunk_start", 180), F.lit("2020-01-01").cast("date")).cast("string").alias("chunk_end"))
+    """Half-open chunks of 180 days from the first order to the last, with their orders."""
+    day = F.col("o_orderdate").cast("date")
+    dates = t.orders.select(day.alias("day"), "o_orderkey")
+    bounds = dates.agg(F.min("day").alias("low"), F.date_add(F.max("day"), 1).alias("high"))
+    starts = bounds.select(F.explode(F.sequence("low", F.date_sub("high", 1), F.expr("interval 180 days"))).alias("start"), "low", "high")
+    chunks = starts.select("start", F.least(F.date_add("start", 180), "high").alias("end"), F.floor(F.date_diff("start", "low") / 180).alias("chunk"))
+    counted = dates.join(F.broadcast(bounds), F.lit(True)).groupBy(F.floor(F.date_diff("day", "low") / 180).alias("chunk")).agg(F.count("*").alias("orders"))
+    found = chunks.join(counted, "chunk", "left")
+    return found.select(F.col("start").cast("string").alias("chunk_start"), F.col("end").cast("string").alias("chunk_end"), F.coalesce("orders", F.lit(0)).alias("orders"))

@@ -42,7 +42,7 @@ def x2(t):
     return S.headlines(S.search(index, "small brand", 40, F.col("p_retailprice") >= 950), index, t.part, "p_partkey", "p_name")
 
 
-@query("x3", """WITH t AS (SELECT id, list_filter(regexp_split_to_array(text_content, '[^A-Za-z0-9]+'), lambda w: w <> '') AS w FROM supporting_documents WHERE source <> 'code' AND id >= 20),
+@query("x3", """WITH t AS (SELECT id, list_filter(regexp_split_to_array(text_content, '[^A-Za-z0-9]+'), lambda w: w <> '') AS w FROM supporting_documents WHERE source <> 'src0'),
 g AS (SELECT id, w, list_transform(w, lambda x: lower(x)) AS l FROM t), c AS (SELECT id, w, l, len(list_filter(l, lambda x: x = 'the')) AS a, len(list_filter(l, lambda x: x = 'with')) AS b, len(list_filter(l, lambda x: x = 'les')) AS n FROM g),
 k AS (SELECT id, w, 0.4 * a + 0.4 * b AS r, greatest(least(list_position(l, 'the'), list_position(l, 'with')) - 5, 1) AS s FROM c WHERE a > 0 AND b > 0 AND n = 0 ORDER BY r DESC, id LIMIT 30)
 SELECT id, round(r / (r + 1), 6)::DOUBLE AS rank, array_to_string(list_transform(w[s:s + 14], lambda x: CASE WHEN lower(x) IN ('the', 'with') THEN '<b>' || x || '</b>' ELSE x END), ' ') AS headline FROM k""")
@@ -50,7 +50,7 @@ def x3(t):
     """The 30 best documents of a filtered search with an exclusion, with headlines."""
     docs = t.supporting_documents
     index = S.build(docs, "id", {"text_content": "B"}, fresh_path(t._spark, "documents"), ("source",))
-    return S.headlines(S.search(index, "the with -les", 30, "source <> 'code' AND id >= 20"), index, docs, "id", "text_content")
+    return S.headlines(S.search(index, "the with -les", 30, "source <> 'src0'"), index, docs, "id", "text_content")
 
 
 @query("x4", f"SELECT p_partkey AS id, len({_PART_WORDS})::BIGINT AS terms, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS generation FROM part")
