@@ -45,18 +45,6 @@ def d12(t):
     return M.upsert(old, new, ["l_orderkey", "l_linenumber"], [F.desc("day"), F.col("l_partkey"), F.col("l_quantity")], keep=["l_partkey"])
 
 
-@query("d13", "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '2000-01-01 00:00:00'")
-def d13(t):
-    """Rows beyond a high-water mark."""
-    return M.incremental(t.orders, "o_orderdate", F.lit("2000-01-01 00:00:00").cast("timestamp")).select("o_orderkey")
-
-
-@query("d15", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-def d15(t):
-    """Deletes that reach a copy."""
-    return M.propagate_deletes(t.orders.select("o_orderkey"), t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
-
-
 @query("d17", """SELECT CASE WHEN source_entity_id % 10 = 3 THEN source_entity_id - 1 ELSE source_entity_id END AS source_entity_id, target_entity_id, relationship_type FROM entity_relationships""")
 def d17(t):
     """Edges of merged entities point to the survivors."""
