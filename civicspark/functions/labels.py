@@ -235,6 +235,11 @@ REPEATED = ["homeless", "shelter", "amendment", "iga with"]
 DETAIL_POINTS = [("unit", 5, 8), ("lot", 5, 8), ("space", 5, 8), ("parking", 20, 10), ("acre", 2, 12), ("stor", 3, 8)]
 
 
+# Measures of land use and words of districts.
+LAND_USE = r"(\d+\s*(?:spaces?|parking|units?|lots?|acres?|sf|sq\s*ft|stories?))"
+DISTRICTS = "(city center|downtown|historic|overlay|specific plan)"
+
+
 def impact_score(topic: Column, title: Column, text: Column, body: Column) -> Column:
     """Points of a suggestion: dollar amounts, topic, body, repeated words, development details and districts."""
     all_text = F.lower(F.concat_ws(" ", _text(title), _text(text)))
@@ -255,8 +260,8 @@ def impact_score(topic: Column, title: Column, text: Column, body: Column) -> Co
         return out
 
     repeated = F.exists(F.lit(REPEATED), lambda w: F.length(all_text) - F.length(F.replace(all_text, w, F.lit(""))) > 3 * F.length(w))
-    found = F.regexp_extract_all(all_text, F.lit(r"(\d+\s*(?:spaces?|parking|units?|lots?|acres?|sf|sq\s*ft|stories?))"), F.lit(1))
-    districts = F.size(F.regexp_extract_all(all_text, F.lit("(city center|downtown|historic|overlay|specific plan)"), F.lit(1)))
+    found = F.regexp_extract_all(all_text, F.lit(LAND_USE), F.lit(1))
+    districts = F.size(F.regexp_extract_all(all_text, F.lit(DISTRICTS), F.lit(1)))
     return (
         total(F.regexp_extract_all(all_text, F.lit(r"(\$[\d,]+)"), F.lit(1)), dollars) + F.coalesce(_looked_up({k: str(v) for k, v in TOPIC_POINTS.items()}, topic).cast("int"), F.lit(0))
         + F.when(body == "bos", 10).otherwise(0) + F.when(repeated, 15).otherwise(0) + total(found, details) + 5 * districts
@@ -270,19 +275,25 @@ STREETS = [
 ]
 
 
+# Number, direction and name of a street address, and state and ZIP code behind its city.
+ADDRESS_HEAD = r"\d{1,5}\s+(?:(?:N|S|E|W|NORTH|SOUTH|EAST|WEST)\b\.?\s+)?(?:[A-Z][a-zA-Z']+\.?\s+){1,3}"
+ADDRESS_TAIL = r"\s*,?\s*(?:AZ|ARIZONA)?\s*,?\s*\d{5}(?:-\d{4})?"
+
+
 def addresses(text: Column, cities: list[str]) -> Column:
     """Distinct street addresses with a city and ZIP code, in upper case without a period at the end, in the order of their first place."""
-    pattern = (
-        rf"(?i)\b(\d{{1,5}}\s+(?:(?:N|S|E|W|NORTH|SOUTH|EAST|WEST)\b\.?\s+)?(?:[A-Z][a-zA-Z']+\.?\s+){{1,3}}(?:{'|'.join(STREETS)})\.?\s*,?\s*(?:{'|'.join(cities)})"
-        r"\s*,?\s*(?:AZ|ARIZONA)?\s*,?\s*\d{5}(?:-\d{4})?)\b"
-    )
+    pattern = rf"(?i)\b({ADDRESS_HEAD}(?:{'|'.join(STREETS)})\.?\s*,?\s*(?:{'|'.join(cities)}){ADDRESS_TAIL})\b"
     return F.array_distinct(F.transform(F.regexp_extract_all(_text(text), F.lit(pattern), F.lit(1)), lambda x: F.regexp_replace(F.upper(F.trim(x)), r"\.$", "")))
 
 
+# Capitalised phrases and the labels of fields.
+PHRASE = r"[A-Z][A-Za-z0-9'.-]+(?:\s+[A-Z][A-Za-z0-9'.-]+){1,5}"
+FIELD_LABELS = r"(?i)(?:Applicant|Attorney|Represented by|Planner|Architect|Engineer)\s*:"
+
+
 def entity_density(text: Column) -> Column:
     """Capitalised phrases of two to six words, plus three for each field label."""
-    phrases = F.regexp_count(_text(text), F.lit(r"[A-Z][A-Za-z0-9'.-]+(?:\s+[A-Z][A-Za-z0-9'.-]+){1,5}"))
-    return phrases + 3 * F.regexp_count(_text(text), F.lit(r"(?i)(?:Applicant|Attorney|Represented by|Planner|Architect|Engineer)\s*:"))
+    return F.regexp_count(_text(text), F.lit(PHRASE)) + 3 * F.regexp_count(_text(text), F.lit(FIELD_LABELS))
 
 
 # Notices that are no agenda items.
@@ -420,15 +431,19 @@ def applicant_parts(field: Column) -> Column:
     return F.when(blank, none).when((F.size(parts) >= 2) & (F.length(F.element_at(parts, -1)) > 4), two).when(F.size(parts) == 1, one).otherwise(none)
 
 
+# The form of a motion in summaries; a bracket ends the seconder.
+SUMMARY_MOTION = r"(?i)Motion\s+to\s+(\w+(?:\s+\w+)*?)[.,]?\s+by\s+Supervisor\s+([^,]+)(?:,\s*seconded\s+by\s+Supervisor\s+([^()]+))?"
+
+
 def summary_motion(text: Column) -> Column:
     """``motion``, ``mover`` and ``seconder`` of ``Motion to ... by Supervisor X, seconded by Supervisor Y``."""
-    pattern = r"(?i)Motion\s+to\s+(\w+(?:\s+\w+)*?)[.,]?\s+by\s+Supervisor\s+([^,]+)(?:,\s*seconded\s+by\s+Supervisor\s+([^)]+))?"
+    pattern = SUMMARY_MOTION
     part = lambda k: F.nullif(F.trim(F.regexp_extract(text, pattern, k)), F.lit(""))
     return F.struct(part(1).alias("motion"), part(2).alias("mover"), part(3).alias("seconder"))
 
 
 # Words that show that a listed name is none.
-NO_NAMES = r"(?i)(?:Nays?|Ayes|Recused|Absent|Abstain|Approve|Motion|Setting|Agenda|Road|Flood|Regular):?"
+NO_NAMES = r"(?i)(?:Nays?|Ayes|Recused|Absent|Abstain|Approve|Motion|Setting|Agenda|Road|Flood|Regular|Configuración|Audiencias|Planificación|Distrito|Control|Inundaciones):?"
 
 
 def named_votes(text: Column, label: str) -> Column:

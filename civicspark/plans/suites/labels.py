@@ -349,7 +349,7 @@ def e16(field):
 
 
 @cases("e22", "body string", [
-    ("Motion to approve the item by Supervisor Bill Gates, seconded by Supervisor Debbie Lesko (5-0)", "approve the item|Bill Gates|Debbie Lesko (5-0"), ("Motion to continue, by Supervisor Galvin", "continue|Galvin"), ("No motion", ""), (None, ""),
+    ("Motion to approve the item by Supervisor Bill Gates, seconded by Supervisor Debbie Lesko (5-0)", "approve the item|Bill Gates|Debbie Lesko"), ("Motion to continue, by Supervisor Galvin", "continue|Galvin"), ("No motion", ""), (None, ""),
 ])
 def e22(body):
     """Motions of summary pages."""
