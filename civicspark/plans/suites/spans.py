@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from civicspark.operators import phrases as P
 from civicspark.operators import spans as S
 from civicspark.plans.registry import query
 
@@ -60,3 +61,25 @@ def m6_free(t):
     size = lambda spans: F.aggregate(spans, F.lit(0), lambda n, s: n + s["end"] - s["start"])
     rows = t.documents.where("length(text) > 0").select("doc_id", F.length("text").alias("n"), found.alias("s"))
     return rows.select("doc_id", F.size("s").alias("runs"), size(F.col("s")).alias("capitals"), size(S.complement(F.col("s"), F.col("n"))).alias("free_chars"))
+
+
+@query("e3", f"""WITH n AS (SELECT c_custkey, {_LETTERS} AS x FROM customer), r AS (
+  SELECT c_custkey, 'Ann' || x || ' Lee' || x AS name, 'person' AS entity_type, CASE c_custkey % 2 WHEN 0 THEN 'applicant' ELSE 'staff' END AS role, 80 AS confidence FROM n
+  UNION ALL SELECT c_custkey, 'Acme' || x || ' Works', 'organization', 'known_org', 95 FROM n WHERE c_custkey % 3 < 2 UNION ALL SELECT c_custkey, 'ZON-12-' || (c_custkey + 10), 'case', 'reference', 95 FROM n)
+SELECT c_custkey, name, lower(name) AS normalized_name, entity_type, role, confidence FROM r""")
+def e3(t):
+    """People, known organizations and case numbers of documents; organizations by one automaton over all their names."""
+    rows = _names(t).withColumn("x", F.substring("first", 4, 20))
+    label = F.when(F.col("c_custkey") % 2 == 0, "1. Applicant: ").otherwise("Staff Contact: ")
+    org = F.when(F.col("c_custkey") % 3 < 2, F.concat(F.lit("told to ACME"), "x", F.lit(" works, twice to Acme"), "x", F.lit(" Works"))).otherwise(F.concat(F.lit("told to Acme"), "x", F.lit(" Workshop")))
+    text = F.concat(F.lit("Minutes\n"), label, "first", F.lit(" "), "last", F.lit("\n"), org, F.lit("; see zon-12-"), F.col("c_custkey") + 10, F.lit("."))
+    known = rows.select(F.concat(F.lit("Acme"), "x", F.lit(" Works")).alias("name"), F.lit("organization").alias("entity_type"))
+    return P.document_entities(rows.select("c_custkey", text.alias("text")), "c_custkey", "text", known)
+
+
+@query("x5_signals", """WITH s AS (SELECT unnest(['the', 'que', 'und', 'les', 'with']) AS phrase), d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '  ', 'g') || ' ' AS body FROM documents)
+SELECT doc_id, phrase, ((length(body) - length(replace(body, ' ' || phrase || ' ', ''))) // length(' ' || phrase || ' '))::BIGINT AS hits FROM d, s WHERE contains(body, ' ' || phrase || ' ')""")
+def x5_signals(t):
+    """How often signal words stand in whole documents."""
+    signals = t._spark.createDataFrame([(p,) for p in ("the", "que", "und", "les", "with")], "phrase string")
+    return P.phrase_hits(t.documents, "doc_id", "text", signals, "phrase").groupBy("doc_id", "phrase").agg(F.count("*").alias("hits"))
