@@ -27,6 +27,8 @@ WEIGHTS = {"A": 1000, "B": 400, "C": 200}
 BUCKETS = 64
 #: Ids of a block.
 BLOCK_IDS = 1_024
+#: Blocks of a slice; a task writes one bucket of one slice.
+SLICE_BLOCKS = 256
 #: Blocks that are scored first.
 FIRST_BLOCKS = 64
 #: A place is the field's number times this, plus the number of the word.
@@ -58,17 +60,22 @@ class StoredIndex:
 
 
 def postings(docs: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
-    """Rows (bucket, term, block, top, docs): the places of a term in the documents of a block, sorted by id."""
+    """Rows (term, block, top, docs, bucket): the places of a term in the documents of a block, sorted by id.
+
+    Words are shuffled once, by bucket and slice of blocks, so a task holds one
+    bucket's terms of some hundred thousand documents, however large the table is.
+    """
     places = [
         docs.select(F.col(id_col).alias("id"), F.lit(number).alias("field"), F.posexplode(words_of(F.col(c))).alias("word_no", "word"))
         for number, c in enumerate(fields)
     ]
     rows = reduce(DataFrame.unionByName, places).select("id", F.lower("word").alias("term"), (F.col("field").cast("long") * _FIELD + F.col("word_no")).alias("place"))
-    by_doc = rows.groupBy("term", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    worth = _worth(F.col("places"), list(fields.values()))
-    blocks = by_doc.withColumn("worth", worth).groupBy("term", F.floor(F.col("id") / BLOCK_IDS).alias("block"))
-    held = blocks.agg(F.max("worth").alias("top"), F.array_sort(F.collect_list(F.struct("id", "places"))).alias("docs"))
-    return held.select("term", "block", "top", "docs", _bucket(F.col("term")).alias("bucket"))
+    block = F.floor(F.col("id") / BLOCK_IDS)
+    rows = rows.withColumn("bucket", _bucket(F.col("term"))).withColumn("slice", F.floor(block / SLICE_BLOCKS)).repartition("bucket", "slice")
+    by_doc = rows.groupBy("bucket", "slice", "term", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    by_doc = by_doc.withColumn("worth", _worth(F.col("places"), list(fields.values())))
+    held = by_doc.groupBy("bucket", "slice", "term", block.alias("block")).agg(F.max("worth").alias("top"), F.array_sort(F.collect_list(F.struct("id", "places"))).alias("docs"))
+    return held.select("term", "block", "top", "docs", "bucket")
 
 
 def _worth(places: Column, classes: list[str]) -> Column:
@@ -100,7 +107,7 @@ def _write(index: StoredIndex, docs: DataFrame, id_col: str, attributes: tuple[s
     A generation's folder is overwritten, so what a failed write left is gone.
     """
     rows = postings(docs, id_col, index.fields)
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/generation={generation}")
+    rows.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/generation={generation}")
     docs.select(F.col(id_col).alias("id"), *attributes).write.mode("overwrite").parquet(f"{index.path}/documents/generation={generation}")
 
 
