@@ -170,3 +170,34 @@ def test_stream_equals_table(spark, tmp_path):
     for _ in range(2):  # a second drain adds nothing
         views.drain(stream.select("event_id"), str(tmp_path / "out"), str(tmp_path / "c2"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+
+
+def _exchanges(frame):
+    """Exchanges of a plan, each with what is below it."""
+    def walk(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from walk(node.children().apply(i))
+    return [n for n in walk(frame._jdf.queryExecution().optimizedPlan())]
+
+
+def test_members_without_votes_shuffle_no_pairs(spark):
+    """Pairs of meetings and members are made by the last join: nothing that could shuffle them follows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("v21", "v22", "v23", "j13"):
+            kinds = [n.nodeName() for n in _exchanges(registry.QUERIES[name](spark, PATH))]
+            top = next(i for i, k in enumerate(kinds) if k == "Join")
+            assert not {"Aggregate", "Window", "RepartitionByExpression"} & set(kinds[:top]), name
+            top_join = [n for n in _exchanges(registry.QUERIES[name](spark, PATH)) if n.nodeName() == "Join"][0]
+            assert top_join.joinType().toString() == "Inner", name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_roster_by_body(spark):
+    votes = spark.createDataFrame([(1, 1), (3, 2), (3, 2)], "agenda_item_vote_id long, member_id long")
+    items = spark.createDataFrame([(1, 9, 4, "approved", "Ayes: 2"), (3, 9, 4, "approved", "Nay: 0"), (5, 8, None, "approved", "Ayes: 2")], "id long, meeting_id long, body long, motion_result string, vote_text string")
+    roster = spark.createDataFrame([(4, 1), (4, 2), (4, 5), (4, 5), (None, 6)], "body long, member_id long")
+    absent, abstained = V.infer_missing(votes, items, roster, "body")
+    assert [tuple(r) for r in absent.collect()] == [(9, 5)] and {tuple(r) for r in abstained.collect()} == {(9, 3, 1), (9, 1, 2)}
