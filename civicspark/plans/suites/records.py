@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from civicspark.operators import records as R
 from civicspark.operators import resolve as V
 from civicspark.operators import search as S
+from civicspark.operators.votes import both_ways
 from civicspark.plans.registry import cases, query
+from civicspark.sources.shared import parts_for
 
 
 @query("d2", """WITH old AS (SELECT body, meeting_id, meeting_date, CASE WHEN meeting_id % 2 = 0 THEN 99 END AS jurisdiction_id FROM meetings WHERE meeting_date < '1998-01-01'),
@@ -137,8 +139,8 @@ def j14(t):
     """Pairs of members with their common items and equal votes."""
     a = t.member_votes
     b = a.select("agenda_item_vote_id", F.col("member_id").alias("other_id"), F.col("raw_vote").alias("other_vote"))
-    pairs = a.join(b, "agenda_item_vote_id").where("member_id <> other_id")
-    return pairs.groupBy("member_id", "other_id").agg(F.count("*").alias("common"), F.count_if(F.col("raw_vote") == F.col("other_vote")).alias("same"))
+    pairs = a.join(b, "agenda_item_vote_id").where("member_id < other_id").select("member_id", "other_id", (F.col("raw_vote") == F.col("other_vote")).alias("alike"))
+    return both_ways(pairs, "member_id", "other_id", parts_for(a), [F.count("*").alias("common"), F.count_if("alike").alias("same")])
 
 
 _NAMES = "SELECT DISTINCT concat(p_type, ' ', p_name) AS name FROM part UNION SELECT DISTINCT concat(p_name, 's') FROM part UNION SELECT DISTINCT concat(p_name, ', ', p_type) FROM part"
