@@ -21,17 +21,22 @@ PLACES = 4_096
 VIEWS = ("words", "letters", "shape")
 
 
-def words(text: Column) -> Column:
-    """Words and pairs of neighbouring words in lower case."""
-    each = F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: w != "")
+def split(text: Column) -> Column:
+    """The words of a text in lower case."""
+    return F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: w != "")
+
+
+def words(text: Column, each: Column | None = None) -> Column:
+    """Words and pairs of neighbouring words in lower case; each: the words of ``text``, where they are known."""
+    each = split(text) if each is None else each
     after = F.slice(each, 2, F.size(each))
     pairs = F.filter(F.zip_with(each, after, lambda a, b: F.concat_ws(" ", a, b)), lambda p: p.contains(" "))
     return F.concat(each, pairs)
 
 
-def letters(text: Column, n: int = 3) -> Column:
-    """Groups of ``n`` neighbouring letters of the distinct words, each word between blanks."""
-    each = F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: w != ""))
+def letters(text: Column, n: int = 3, each: Column | None = None) -> Column:
+    """Groups of ``n`` neighbouring letters of the distinct words, each word between blanks; each: the words of ``text``, where they are known."""
+    each = F.array_distinct(split(text) if each is None else each)
     cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + (3 - n)), lambda k: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), k, F.lit(n)))
     return F.flatten(F.transform(F.filter(each, lambda w: F.length(w) >= n - 2), cut))
 
@@ -49,17 +54,20 @@ def shape(text: Column) -> list[Column]:
     ]
 
 
-def with_features(rows: DataFrame, text: str, places: int = PLACES) -> DataFrame:
-    """``rows`` with vectors ``words``, ``letters`` and ``shape`` of a text; null is an empty text.
+def with_features(rows: DataFrame, text: str, places: int = PLACES, views: tuple[str, ...] = VIEWS) -> DataFrame:
+    """``rows`` with vectors ``words``, ``letters`` and ``shape`` of a text, or those of them in ``views``; null is an empty text.
 
     Columns of these names are replaced.  Whole texts are read.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    numbers = [f"__s{k}" for k in range(9)]
-    made = rows.drop(*VIEWS).withColumns({"__w": words(body), "__l": letters(body), **dict(zip(numbers, shape(body)))})
-    made = HashingTF(numFeatures=places, binary=True, inputCol="__w", outputCol="words").transform(made)
-    made = HashingTF(numFeatures=places, binary=True, inputCol="__l", outputCol="letters").transform(made)
-    return VectorAssembler(inputCols=numbers, outputCol="shape").transform(made).drop("__w", "__l", *numbers)
+    made = rows.drop(*VIEWS).withColumn("__each", split(body))  # a column of its own, so that texts are split once
+    for view, terms in (("words", words), ("letters", letters)):
+        if view in views:
+            made = HashingTF(numFeatures=places, binary=True, inputCol="__terms", outputCol=view).transform(made.withColumn("__terms", terms(body, each=F.col("__each")))).drop("__terms")
+    if "shape" in views:
+        numbers = {f"__s{k}": number for k, number in enumerate(shape(body))}
+        made = VectorAssembler(inputCols=list(numbers), outputCol="shape").transform(made.withColumns(numbers)).drop(*numbers)
+    return made.drop("__each")
 
 
 def class_weights(rows: DataFrame, label: str) -> Column:

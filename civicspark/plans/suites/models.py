@@ -11,11 +11,11 @@ from civicspark.plans.registry import query
 from civicspark.sources.shared import keep
 
 
-def _features(t):
+def _features(t, views=T.VIEWS):
     """Documents with features, label and whether they are held out; written once, as fits read them many times."""
     rows = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
     rows = rows.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
-    return keep(T.with_features(rows, "text").drop("text"), "features")
+    return keep(T.with_features(rows, "text", views=views).drop("text"), "features")
 
 
 @query("f69", r"""SELECT doc_id, length(coalesce(text, '')) AS size, length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g')) AS digits, length(regexp_replace(coalesce(text, ''), '[^.!?]', '', 'g')) AS stops FROM documents""")
@@ -31,7 +31,7 @@ def f69(t):
 @query("m1")
 def m1(t):
     """Probability of good quality of every document, by hashed words, fitted on labels that are not held out."""
-    rows = _features(t)
+    rows = _features(t, ("words",))
     model = T.fit(rows.where(~F.col("held_out")), "words", "quality")
     return T.score(model, rows, "probability").select("doc_id", "held_out", F.round("probability", 6).alias("probability"), (F.col("probability") >= 0.5).cast("int").alias("predicted"))
 

@@ -71,3 +71,10 @@ def test_planted_topics_are_found(spark):
     assert shares["even", main] > 0.85 and shares["odd", 1 - main] > 0.85
     top = {(r.topic, r.word) for r in model.top_words(spark, 5).collect()}
     assert {w[0] for k, w in top if k == main} == {"a"} and {w[0] for k, w in top if k != main} == {"b"}
+
+
+def test_features_of_some_views(spark):
+    rows = spark.createDataFrame([(0, "One two, two"), (1, None), (2, "")], "id int, text string")
+    some, whole = T.with_features(rows, "text", views=("words",)), T.with_features(rows, "text")
+    assert some.columns == ["id", "text", "words"] and set(whole.columns) == {"id", "text", *T.VIEWS}
+    assert sorted(some.select("id", "words").collect()) == sorted(whole.select("id", "words").collect())
