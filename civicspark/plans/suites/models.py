@@ -11,9 +11,14 @@ from civicspark.plans.registry import query
 from civicspark.sources.shared import keep
 
 
-def _features(t, views=T.VIEWS):
-    """Documents with features, label and whether they are held out; written once, as fits read them many times."""
+def _features(t, views=T.VIEWS, scored="all"):
+    """Documents with features, label and whether they are held out; written once, as fits read them many times.
+
+    scored: ``all`` documents, or ``labelled`` ones, where no other is fitted or told of.
+    """
     rows = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    if scored == "labelled":
+        rows = rows.where("quality is not null")
     rows = rows.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
     return keep(T.with_features(rows, "text", views=views).drop("text"), "features")
 
@@ -39,7 +44,7 @@ def m1(t):
 @query("m8_stack")
 def m8_stack(t):
     """Metrics on held-out labels of a stack over models of words, letters and shapes."""
-    rows = _features(t)
+    rows = _features(t, scored="labelled")
     stack = T.Stack(rows.where(~F.col("held_out")), "doc_id", "quality")
     seen = stack.transform(rows.where("held_out and quality is not null")).withColumn("predicted", (F.col("probability") >= 0.5).cast("int"))
     return binary_metrics(seen, "quality", "predicted")

@@ -78,3 +78,12 @@ def test_features_of_some_views(spark):
     some, whole = T.with_features(rows, "text", views=("words",)), T.with_features(rows, "text")
     assert some.columns == ["id", "text", "words"] and set(whole.columns) == {"id", "text", *T.VIEWS}
     assert sorted(some.select("id", "words").collect()) == sorted(whole.select("id", "words").collect())
+
+
+def test_labelled_features_are_those_of_all(spark):
+    from civicspark.plans.projection import Tables
+    from civicspark.plans.suites.models import _features
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    some, whole = _features(t, scored="labelled"), _features(t).where("quality is not null")
+    assert some.where("quality is null").count() == 0 and sorted(map(str, some.collect())) == sorted(map(str, whole.collect()))
