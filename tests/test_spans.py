@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from civicspark.operators import spans as S
 from pyspark.sql import functions as F
@@ -62,3 +63,11 @@ def test_negatives_touch_nothing_known(spark):
     assert {(r.doc_id, r["name"], r.start, r.end) for r in found} == want and want
     few = S.negative_spans(known, "doc_id", "text", "known", 2)
     assert few.groupBy("doc_id").count().where("count > 2").count() == 0 and few.count() > 0
+
+
+def test_texts_of_many_spans_take_no_square_of_their_number(spark):
+    n = 50_000
+    rows = spark.createDataFrame([("Ab " * n,)], "text string").select(F.length("text").alias("n"), S.find(F.col("text"), "([A-Z]+)", "k").alias("s"))
+    began = time.time()
+    found = rows.select(F.size("s").alias("runs"), F.element_at("s", -1)["start"].alias("last"), F.size(S.complement(F.col("s"), F.col("n"))).alias("gaps")).first()
+    assert (found.runs, found["last"], found.gaps) == (n, 3 * (n - 1), n) and time.time() - began < 60
