@@ -71,3 +71,9 @@ def test_texts_of_many_spans_take_no_square_of_their_number(spark):
     began = time.time()
     found = rows.select(F.size("s").alias("runs"), F.element_at("s", -1)["start"].alias("last"), F.size(S.complement(F.col("s"), F.col("n"))).alias("gaps")).first()
     assert (found.runs, found["last"], found.gaps) == (n, 3 * (n - 1), n) and time.time() - began < 60
+
+
+def test_a_phrase_of_very_many_words_takes_no_stack(spark):
+    docs = spark.createDataFrame([(1, "Ab " * 100_000 + "cd", None), (2, "an Ab Cd, Ef", None)], "id int, text string, known " + S._SPAN.join(("array<", ">")))
+    found = S.negative_spans(docs, "id", "text", "known").select("id", "start", "end").collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 299_999), (2, 3, 8)]
