@@ -77,3 +77,11 @@ def test_a_phrase_of_very_many_words_takes_no_stack(spark):
     docs = spark.createDataFrame([(1, "Ab " * 100_000 + "cd", None), (2, "an Ab Cd, Ef", None)], "id int, text string, known " + S._SPAN.join(("array<", ">")))
     found = S.negative_spans(docs, "id", "text", "known").select("id", "start", "end").collect()
     assert sorted(map(tuple, found)) == [(1, 0, 299_999), (2, 3, 8)]
+
+
+def test_texts_of_a_small_file_are_dealt_over_tasks(spark):
+    from civicspark.plans.projection import Tables
+    from civicspark.plans.suites.spans import _names
+
+    rows = _names(Tables(spark, "/root/testdata/sf0.01"))
+    assert rows.groupBy(F.spark_partition_id()).count().count() >= int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
