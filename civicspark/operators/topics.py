@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,18 @@ def _words(text: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"(?U)[^\w]+"), lambda w: F.length(w) > 1)
 
 
+def _vocabulary(rows: DataFrame, words: str, least: int, most: float, size: int) -> list[str]:
+    """The ``size`` most frequent words that are in ``least`` rows or more and in a share of ``most`` of all rows or less; equal ones by the alphabet.
+
+    Words are counted as rows of an aggregate, so no text is held in memory.
+    """
+    once = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), F.lit(1).alias("rows"), F.lit(0).alias("uses")))
+    each = F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(0).alias("rows"), F.lit(1).alias("uses")))
+    told = rows.select(F.explode(F.concat(once, each)).alias("w")).groupBy("w.word").agg(F.sum("w.rows").alias("rows"), F.sum("w.uses").alias("uses"))
+    known = told.where(F.col("rows").between(least, most * rows.count())).orderBy(F.desc("uses"), "word").limit(size)
+    return [r.word for r in known.select("word").collect()]  # ``size`` words at most
+
+
 class Topics:
     """A topic model fitted on the words of all texts of ``rows``; the seed makes it the same for the same partitions.
 
@@ -27,7 +39,7 @@ class Topics:
 
     def __init__(self, rows: DataFrame, text: str, topics: int, least: int = 5, most: float = 0.5, rounds: int = 20, seed: int = 1, vocabulary: int = VOCABULARY):
         words = rows.select(_words(text).alias("__words"))
-        self.counts = CountVectorizer(inputCol="__words", outputCol="__counts", minDF=float(least), maxDF=most, vocabSize=vocabulary).fit(words)
+        self.counts = CountVectorizerModel.from_vocabulary(_vocabulary(words, "__words", least, most, vocabulary) or [""], "__words", "__counts")  # a model has to know a word; texts hold no empty one
         counted = keep(self.counts.transform(words).select("__counts"), "word-counts")
         self.model = LDA(k=topics, maxIter=rounds, seed=seed, featuresCol="__counts", topicDistributionCol="__topics", optimizer="online", subsamplingRate=0.3).fit(counted)
 
@@ -50,5 +62,5 @@ def shares_by(rows: DataFrame, stratum: str) -> DataFrame:
 
     A stratum without such documents has no row.
     """
-    each = rows.where("topics is not null").select(stratum, F.posexplode("topics").alias("topic", "share"))
+    each = rows.select(stratum, F.posexplode("topics").alias("topic", "share"))  # none of a null; a condition on topics would be pushed down and infer them twice
     return each.groupBy(stratum, "topic").agg(F.count("*").alias("documents"), F.avg("share").alias("share"))

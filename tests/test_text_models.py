@@ -87,3 +87,19 @@ def test_labelled_features_are_those_of_all(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     some, whole = _features(t, scored="labelled"), _features(t).where("quality is not null")
     assert some.where("quality is null").count() == 0 and sorted(map(str, some.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_the_vocabulary_is_that_of_spark_and_holds_no_texts(spark):
+    from pyspark.ml.feature import CountVectorizer
+
+    rows = spark.createDataFrame([(["a", "a", "b", "e"],), (["a", "c", "b"],), (["c", "d", "d", "d"],), ([],)], "w array<string>")
+    assert M._vocabulary(rows, "w", 1, 0.5, 3) == ["a", "d", "b"] and M._vocabulary(rows, "w", 2, 0.5, 9) == ["a", "b", "c"]
+    assert sorted(M._vocabulary(rows, "w", 1, 0.5, 9)) == sorted(CountVectorizer(inputCol="w", outputCol="c", minDF=1.0, maxDF=0.5).fit(rows).vocabulary)
+
+
+def test_a_fit_holds_no_texts_in_memory(spark, monkeypatch):
+    from pyspark.ml import feature
+
+    monkeypatch.setattr(feature.CountVectorizer, "fit", lambda *_: pytest.fail("it keeps all words of a partition as one block of memory"))
+    model = M.Topics(spark.createDataFrame([("aa bb",), ("aa cc",), (None,)], "text string"), "text", 2, least=1, most=0.7)
+    assert model.counts.vocabulary == ["aa", "bb", "cc"]
