@@ -211,3 +211,19 @@ def test_alignment_deals_each_pair_once_over_enough_tasks(spark):
     pairs = spark.createDataFrame([(1, 2, True), (1, 2, False), (1, 3, True)], "a long, b long, same boolean")
     held = V.both_ways(pairs, "a", "b", 9, [F.count("*").alias("n"), F.count_if("same").alias("same")])
     assert {tuple(r) for r in held.collect()} == {(1, 2, 2, 1), (2, 1, 2, 1), (1, 3, 1, 1), (3, 1, 1, 1)} and held.rdd.getNumPartitions() == 9
+
+
+def test_members_of_a_day_are_told_in_runs(spark):
+    from civicspark.plans.projection import Tables
+    from civicspark.plans.suites import meetings as suite
+
+    t = Tables(spark, PATH)
+    rows = [(k * 7919 % 20_000, k % 5, f"1998-01-0{k % 3 + 1}") for k in range(20_000)]
+    t._made["meetings"] = spark.createDataFrame(rows, "meeting_id long, public_body_id int, meeting_date string")
+    t._made["body_memberships"] = spark.createDataFrame([(p, p % 5, "1997-01-01", None if p % 2 else "1998-01-02") for p in range(100)], "person_id long, public_body_id int, term_start string, term_end string")
+    valid = (F.col("term_start") <= F.col("meeting_date")) & (F.col("term_end").isNull() | (F.col("term_end") >= F.col("meeting_date")))
+    plain = t.meetings.join(t.body_memberships, "public_body_id").where(valid).select("meeting_id", "person_id")
+    found = suite.j13(t)
+    assert found.exceptAll(plain).count() == plain.exceptAll(found).count() == 0
+    told = [r.person_id for r in found.collect()]
+    assert sum(a != b for a, b in zip(told, told[1:])) < len(told) / 20
