@@ -227,3 +227,16 @@ def test_members_of_a_day_are_told_in_runs(spark):
     assert found.exceptAll(plain).count() == plain.exceptAll(found).count() == 0
     told = [r.person_id for r in found.collect()]
     assert sum(a != b for a, b in zip(told, told[1:])) < len(told) / 20
+
+
+def test_absent_members_are_told_in_runs(spark):
+    meetings = spark.createDataFrame([(k * 7919 % 20_000, k % 5, k % 3) for k in range(20_000)] + [(7, 2, 1), (None, 4, 0), (9, None, 0)], "meeting_id long, body int, kind int")
+    roster = spark.createDataFrame([(p % 5, p, f"name {p}") for p in range(100)] + [(0, None, "x"), (None, 8, "y")], "body int, member_id long, name string")
+    votes = spark.createDataFrame([(k % 20_000, k % 97) for k in range(0, 60_000, 7)] + [(7, None)], "meeting_id long, member_id long")
+    plain = meetings.join(roster, "body").join(votes.distinct(), ["meeting_id", "member_id"], "left_anti")
+    for chosen in (["meeting_id", "body"], ["meeting_id", "body", "kind"]):
+        found = V.without_vote(meetings.select(chosen), roster, votes, "meeting_id", "body")
+        want = plain.select(found.columns)
+        assert found.count() == want.count() and found.exceptAll(want).count() == 0
+    told = [r.member_id for r in V.without_vote(meetings.select("meeting_id", "body"), roster, votes, "meeting_id", "body").collect()]
+    assert sum(a != b for a, b in zip(told, told[1:])) < len(told) / 20
