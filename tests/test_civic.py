@@ -240,3 +240,15 @@ def test_absent_members_are_told_in_runs(spark):
         assert found.count() == want.count() and found.exceptAll(want).count() == 0
     told = [r.member_id for r in V.without_vote(meetings.select("meeting_id", "body"), roster, votes, "meeting_id", "body").collect()]
     assert sum(a != b for a, b in zip(told, told[1:])) < len(told) / 20
+
+
+def test_members_absent_from_several_items_are_told_in_runs(spark):
+    items = spark.createDataFrame([(k, k // 2, k // 2 % 5, "approved", "Ayes: 2") for k in range(20_000)], "id long, meeting_id long, body int, motion_result string, vote_text string")
+    roster = spark.createDataFrame([(p % 5, p) for p in range(100)], "body int, member_id long")
+    votes = spark.createDataFrame([(k % 20_000, k % 97) for k in range(0, 60_000, 7)], "agenda_item_vote_id long, member_id long")
+    absent, _ = V.infer_missing(votes, items, roster, "body")
+    voted = votes.join(items, votes.agenda_item_vote_id == items.id).select("meeting_id", "member_id").distinct()
+    want = items.select("meeting_id", "body").distinct().join(roster, "body").join(voted, ["meeting_id", "member_id"], "left_anti").select("meeting_id", "member_id")
+    assert absent.count() == want.count() and absent.exceptAll(want).count() == 0
+    told = [r.member_id for r in absent.collect()]
+    assert sum(a != b for a, b in zip(told, told[1:])) < len(told) / 20
