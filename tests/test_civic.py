@@ -252,3 +252,8 @@ def test_members_absent_from_several_items_are_told_in_runs(spark):
     assert absent.count() == want.count() and absent.exceptAll(want).count() == 0
     told = [r.member_id for r in absent.collect()]
     assert sum(a != b for a, b in zip(told, told[1:])) < len(told) / 20
+
+
+def test_members_of_a_day_are_dealt_over_tasks(spark):
+    """The days of meetings are few bytes, which the planner would put into a task, but many rows come of them."""
+    assert registry.QUERIES["j13"](spark, PATH).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
